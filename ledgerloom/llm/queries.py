@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate
+from ledgerloom.llm import decontaminate, packing, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, packing, warc
+from ledgerloom.llm import decontaminate, minhash, packing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_minhash": minhash.op2_minhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
+    "op2_minhash": minhash.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, minhash, packing, warc
+from ledgerloom.llm import decontaminate, language, minhash, packing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_minhash": minhash.op2_minhash,
+    "op3_language": language.op3_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_packing": packing.op10_packing,
 }

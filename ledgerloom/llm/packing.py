@@ -36,7 +36,7 @@ GRID = 16
 #: Distinct words whose ids a Python worker keeps; twice as many while it replaces them.
 CACHED_WORDS = 400_000
 #: Ranks are counted in parts of about so many pieces, in SALTS parts of a length at most.
-PART_ROWS, SALTS = 50_000, 512
+PART_ROWS, SALTS = 2_000, 1_024
 
 _PIECES = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("piece", "start", "length", "ids_crc32")]))
 _ARROW_PIECES = pa.list_(pa.struct([(k, pa.int64()) for k in ("piece", "start", "length", "ids_crc32")]))

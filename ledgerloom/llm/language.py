@@ -27,7 +27,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 EMBED, FILTERS = 8, 16
 SAMPLE_DOCS, SAMPLE_WINDOWS = 600, 4
-BATCH_WINDOWS = 128
+BATCH_WINDOWS = 32
 UNDETERMINED = "und"
 
 _LETTER = re.compile(rb"[A-Za-z]")
@@ -55,30 +55,45 @@ class ByteNet:
     def weights(self) -> list[np.ndarray]:
         return [self.embed, *self.filters, *self.bias, self.dense, self.dense_bias]
 
-    def pooled(self, windows: np.ndarray, places: bool = False):
-        """Each filter's maximum (before bias) in each window, and with `places` where it is and the embedded bytes."""
+    def pooled(self, windows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Each filter's maximum (before bias) in each window, where it is, and the embedded bytes."""
         x = self.embed[windows]
         best, at = [], []
         for w, kernel in zip(WIDTHS, self.filters, strict=True):
             long = windows.shape[1] - w + 1
-            columns = np.empty((len(windows), long, w * EMBED), np.float32)
-            for j in range(w):
-                columns[:, :, j * EMBED : (j + 1) * EMBED] = x[:, j : j + long]
+            columns = np.concatenate([x[:, j : j + long] for j in range(w)], axis=2)
             z = (columns.reshape(-1, w * EMBED) @ kernel).reshape(len(windows), long, FILTERS)
-            if places:
-                at.append(z.argmax(axis=1))
-                best.append(np.take_along_axis(z, at[-1][:, None], 1)[:, 0])
-            else:
-                best.append(z.max(axis=1))
-        return (best, at, x) if places else best
-
-    def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        hidden = np.concatenate([np.maximum(z + b, 0) for z, b in zip(self.pooled(windows), self.bias, strict=True)], axis=1)
+            at.append(z.argmax(axis=1))
+            best.append(np.take_along_axis(z, at[-1][:, None], 1)[:, 0])
+        return best, at, x
+
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """What each pair of bytes adds to each filter of width 2, 3 and 4 (first and second half), and each third byte of width 3.
+
+        A filter over embedded bytes is a sum of one term for each byte, so these tables are the convolution itself, worked out once.
+        """
+        term = [np.stack([self.embed @ k[j * EMBED : (j + 1) * EMBED] for j in range(w)]) for w, k in zip(WIDTHS, self.filters, strict=True)]
+        pair = lambda a, b: np.ascontiguousarray((a[:, None] + b[None]).reshape(1 << 16, FILTERS))
+        two, three, four = term
+        return pair(two[0], two[1]), pair(three[0], three[1]), np.ascontiguousarray(three[2]), pair(four[0], four[1]), pair(four[2], four[3])
+
+    def probabilities(self, windows: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
+        """The languages' probabilities in each window."""
+        byte = np.ascontiguousarray(windows.T).astype(np.intp)  # position by position, so that maxima run over whole rows
+        pair, many = byte[:-1] * 256 + byte[1:], len(windows)
+        look = lambda table, index: np.take(table, index.ravel(), axis=0, mode="clip").reshape(len(index), many * FILTERS)
+        two, three, third, four, fourth = tables
+        z3 = look(three, pair[:-1])
+        z3 += look(third, byte[2:])
+        z4 = look(four, pair[:-2])
+        z4 += look(fourth, pair[2:])
+        best = [z.max(axis=0).reshape(many, FILTERS) for z in (look(two, pair), z3, z4)]
+        hidden = np.concatenate([np.maximum(z + b, 0) for z, b in zip(best, self.bias, strict=True)], axis=1)
         return _softmax(hidden @ self.dense + self.dense_bias)
 
     def gradients(self, windows: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
         """Gradients of the mean cross-entropy, in the order of weights()."""
-        best, at, x = self.pooled(windows, places=True)
+        best, at, x = self.pooled(windows)
         hidden = np.concatenate([np.maximum(z + b, 0) for z, b in zip(best, self.bias, strict=True)], axis=1)
         error = _softmax(hidden @ self.dense + self.dense_bias)
         error[np.arange(len(label)), label] -= 1
@@ -167,6 +182,8 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     return fit(samples) if samples else None
 
 
+#: The tables of the network that this Python worker used last.
+_TABLES: dict = {}
 _PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -176,6 +193,8 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: list[str], text_col: str
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         net = shared.value
+        if net and _TABLES.get("of") is not net:
+            _TABLES.update(of=net, tables=net.tables())
         langs, scores = [], []
         for part in slices(batch, 1 << 20):
             texts = [t or b"" for t in utf8(part.column(part.schema.get_field_index("_text")))]
@@ -184,7 +203,7 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: list[str], text_col: str
             total = np.zeros((len(kept), len(net.languages) if net else 1))
             if kept:
                 windows, owner = cut(kept)
-                p = np.concatenate([net.probabilities(windows[i : i + BATCH_WINDOWS]) for i in range(0, len(windows), BATCH_WINDOWS)])
+                p = np.concatenate([net.probabilities(windows[i : i + BATCH_WINDOWS], _TABLES["tables"]) for i in range(0, len(windows), BATCH_WINDOWS)])
                 first = np.flatnonzero(np.diff(owner, prepend=-1))
                 total = np.add.reduceat(p.astype(np.float64), first, axis=0) / np.bincount(owner)[:, None]
             at = iter(total)

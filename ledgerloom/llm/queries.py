@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, language, minhash, packing, toxicity, warc
+from ledgerloom.llm import decontaminate, fingerprint, language, minhash, packing, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_minhash": minhash.op2_minhash,
     "op3_language": language.op3_language,
+    "op4_fingerprints": fingerprint.op4_fingerprints,
     "op6_toxicity": toxicity.op6_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_packing": packing.op10_packing,

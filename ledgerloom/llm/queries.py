@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, fingerprint, language, minhash, packing, toxicity, warc
+from ledgerloom.llm import decontaminate, fingerprint, language, licenses, minhash, packing, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_fingerprints": fingerprint.op4_fingerprints,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_licenses": licenses.op7_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_packing": packing.op10_packing,
 }

@@ -16,6 +16,7 @@ Repeated rows are documents of one class; rows with a null id are linked with no
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache, reduce
 
 import numpy as np
@@ -25,32 +26,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import append_columns, materialize, slices, table, utf8
+from ledgerloom.llm.hashing import mix, word_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 32, 6
-COORDINATES = BANDS * ROWS
+COORDINATES = 192
 RING = 1 << 20
-#: Of the 4-bit signature coordinates, so many may differ in a candidate pair: six standard deviations above the mean at a similarity of 0.85.
-MISMATCHES = 56
+#: Bands are as long as they can be while a pair at the threshold shares none with at most this probability.
+MISSED = 1e-6
+#: Packed signatures exclude a pair that differs in more coordinates than a pair at the threshold does, by so many standard deviations.
+DEVIATIONS = 5.5
 #: Ids of candidate documents up to this number are broadcast, beyond it joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at once.
 BATCH_BYTES = 2 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_BASE, _BASE_INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
-    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (_BASE, _BASE_INVERSE))
 
 
 @cache
@@ -62,31 +52,31 @@ def _ring() -> np.ndarray:
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles. Texts are hashed together, and each by itself if it is long."""
-    raw = [(t or b"").lower() for t in texts]
-    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-    out = [np.empty(0, np.uint64)] * len(raw)
-    if not len(data):
-        return out
-    size = 1 << (len(data) - 1).bit_length()
-    power, inverse = _powers(max(size, 4 * BATCH_BYTES)) if size <= 4 * BATCH_BYTES else _powers.__wrapped__(size)
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return out
-    total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
-    words = _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD[4])
-    bound = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in raw]))
+    _, _, _, words, bound = word_hashes([(t or b"").lower() for t in texts])
+    out = [np.empty(0, np.uint64)] * len(texts)
     many = len(words) - SHINGLE + 1
-    shingles = _mix(reduce(np.add, (words[j : j + many] * _ODD[j] for j in range(SHINGLE)))) if many > 0 else words[:0]
+    shingles = mix(reduce(np.add, (words[j : j + many] * _ODD[j] for j in range(SHINGLE)))) if many > 0 else words[:0]
     for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)):
         if b - a >= SHINGLE:
             out[i] = np.unique(shingles[a : b - SHINGLE + 1])
         elif b > a:
-            out[i] = _mix(np.array([(words[a:b] * _ODD[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
+            out[i] = mix(np.array([(words[a:b] * _ODD[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
     return out
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, coordinates in a band) for a threshold."""
+    likely = [r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (COORDINATES // r) <= MISSED]
+    rows = max(likely, default=1)
+    return COORDINATES // rows, rows
+
+
+def most_mismatches(percent: int) -> int:
+    """Of the 4-bit coordinates, so many may differ in a candidate pair."""
+    differ = (1 - percent / 100) * 15 / 16
+    return math.ceil(COORDINATES * differ + DEVIATIONS * math.sqrt(COORDINATES * differ * (1 - differ)))
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """All coordinates: the least number among the shingles' places for each turn of the ring."""
     place = (shingles >> np.uint64(44)).astype(np.int64)  # the first permutation: the top 20 bits of a mixed hash
@@ -99,21 +89,23 @@ _SIGNED = T.StructType(
 )
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, a digest of the set, band hashes and the signature packed to 4 bits a coordinate."""
 
+    many, rows = banding(percent)
+
     def sign(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = [s for part in slices(batch, BATCH_BYTES) for s in shingle_sets(utf8(part.column(1)))]
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         some = [i for i, s in enumerate(sets) if len(s)]
-        coordinates = np.array([signature(sets[i]) for i in some], np.uint64).reshape(len(some), BANDS, ROWS)
-        odd = np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(ROWS) + np.arange(ROWS, dtype=np.uint64)
-        bands = _mix((_mix(coordinates + (odd << np.uint64(32)))).sum(axis=2, dtype=np.uint64)).view(np.int64)
+        coordinates = np.array([signature(sets[i]) for i in some], np.uint64).reshape(len(some), COORDINATES)
+        marked = mix(coordinates + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
+        bands = mix(marked[:, : many * rows].reshape(len(some), many, rows).sum(axis=2, dtype=np.uint64)).view(np.int64)
         nibbles = (coordinates.reshape(len(some), COORDINATES // 16, 16) & np.uint64(15)) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
         packed = nibbles.sum(axis=2, dtype=np.uint64).view(np.int64)
         at = {i: k for k, i in enumerate(some)}
-        rows = lambda x: pa.array([x[at[i]] if i in at else None for i in range(len(sets))], pa.list_(pa.int64()))
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), rows(bands), rows(packed)]
+        column = lambda x: pa.array([x[at[i]] if i in at else None for i in range(len(sets))], pa.list_(pa.int64()))
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), column(bands), column(packed)]
 
     return append_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], _SIGNED, sign)
 
@@ -200,12 +192,13 @@ def _node_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
-    signed = materialize(signatures(docs, id_col, text_col), "signatures")
+    signed = materialize(signatures(docs, id_col, text_col, percent), "signatures")
+    last = banding(percent)[0] - 1
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     node = F.struct("id", "digest").alias("node")
 
-    spread = classes.select(node, F.inline(F.arrays_zip(F.col("bands").alias("bucket"), F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1)).alias("next"))))
+    spread = classes.select(node, F.inline(F.arrays_zip(F.col("bands").alias("bucket"), F.concat(F.slice("bands", 2, last), F.slice("bands", 1, 1)).alias("next"))))
     shared = classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(spread.join(shared, "bucket"), "members")
 
@@ -214,7 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         return members.join(centre, keys).select("a", F.col("node").alias("b")).where("a <> b")
 
     info = classes.select(node, "n", "sketch")
-    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (_mismatches("x", "y") <= MISMATCHES)
+    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (_mismatches("x", "y") <= most_mismatches(percent))
     pairs = stars(["bucket"]).unionByName(stars(["bucket", "next"])).distinct()
     side = lambda k, v: info.select(F.col("node").alias(k), F.struct("n", "sketch").alias(v))
     pairs = materialize(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").where(near).select("a", "b"), "stars")
@@ -243,6 +236,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_first(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the least of its component; rows with a null id stay. Texts are not moved while the ids that go are few enough to be broadcast."""
+    gone = materialize(near_duplicates(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))

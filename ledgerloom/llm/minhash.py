@@ -6,8 +6,8 @@ minimum over slices of a table. Coordinates are banded; documents that share a b
 
 No group is expanded into all its pairs. Equal shingle sets are one class. In each bucket, classes are first compared to its first class (in whole
 buckets and in those that also share the next band), which links a group of copies by as many pairs as it has members; then only classes outside
-the largest component of their bucket are compared to the classes of other components there. What the comparison leaves out lies
-in one component already, so components are those of all links. Sizes and packed signatures exclude pairs before texts are compared.
+the largest component of their bucket are compared to the classes of other components there, and of these only pairs that their overlap with the
+first class (exactly) or their packed signatures do not rule out. What is left out lies in one component already, so components are those of all links.
 
 Defined results: null or empty texts and texts without words have no shingles and are linked with nothing; a text of fewer words than a shingle has one.
 Repeated rows are documents of one class; rows with a null id are linked with nothing and have component_id null. Other columns are ignored.
@@ -145,8 +145,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b: structs of id and digest), those whose full sets have 100 * intersection >= percent * union."""
+def _compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b: structs of id and digest) with what their full sets say: `linked` (100 * intersection >= percent * union), the shingles in
+    `common`, b's number of shingles n, and those of b that are not in a, `outside`."""
 
     def check(batches):
         held: dict[bytes, np.ndarray] = {}
@@ -158,20 +159,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     if digest not in held:
                         new[digest] = text
                 held |= dict(zip(new, shingle_sets(list(new.values())), strict=True))
-                good = []
+                rows = []
                 for x, y in zip(a, b, strict=True):
                     p, q = held[x], held[y]
-                    same = len(p) + len(q) - len(np.union1d(p, q))
-                    good.append(100 * same >= percent * (len(p) + len(q) - same))
-                last = a[-1]
-                held = {last: held[last]}
-                yield pa.RecordBatch.from_arrays([part.column("a_id").filter(pa.array(good)), *(part.column(k).filter(pa.array(good)) for k in ("a_digest", "b_id", "b_digest"))], names=["a_id", "a_digest", "b_id", "b_digest"])
+                    outside = np.setdiff1d(q, p, assume_unique=True)
+                    common = len(q) - len(outside)
+                    rows.append((100 * common >= percent * (len(p) + len(q) - common), common, len(q), outside.view(np.int64)))
+                held = {a[-1]: held[a[-1]]}
+                made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+                names = ["a_id", "a_digest", "b_id", "b_digest"]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in names] + made, names=[*names, "linked", "common", "n", "outside"])
 
     flat = pairs.select(F.col("a.id").alias("a_id"), F.col("a.digest").alias("a_digest"), F.col("b.id").alias("b_id"), F.col("b.digest").alias("b_digest"))
     text = lambda k: texts.select(F.col("node.id").alias(f"{k}_id"), F.col("node.digest").alias(f"{k}_digest"), F.col("text").alias(f"{k}_text"))
     joined = flat.join(text("b"), ["b_id", "b_digest"]).join(text("a"), ["a_id", "a_digest"])
-    good = joined.select("a_id", "a_digest", "a_text", "b_id", "b_digest", "b_text").mapInArrow(check, joined.select("a_id", "a_digest", "b_id", "b_digest").schema)
-    return good.select(F.struct(F.col("a_id").alias("id"), F.col("a_digest").alias("digest")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_digest").alias("digest")).alias("b"))
+    extra = [T.StructField("linked", T.BooleanType()), T.StructField("common", T.LongType()), T.StructField("n", T.LongType()), T.StructField("outside", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*joined.select("a_id", "a_digest", "b_id", "b_digest").schema.fields, *extra])
+    done = joined.select("a_id", "a_digest", "a_text", "b_id", "b_digest", "b_text").mapInArrow(check, schema)
+    node = lambda k: F.struct(F.col(f"{k}_id").alias("id"), F.col(f"{k}_digest").alias("digest")).alias(k)
+    return done.select(node("a"), node("b"), "linked", "common", "n", "outside")
+
+
+def _through_centres(checked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different components among classes that were compared to the same centre.
+
+    Two sets share what both have in common with the centre, at most the lesser of the two numbers, and what both have outside of it. So a link needs either
+    enough shingles in common with the centre, or shingles outside it that both hold; the latter are few, and are counted by a join on them.
+    """
+    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    placed = checked.join(root("b"), "b", "left").join(root("a"), "a", "left").select(
+        "a", "b", F.coalesce("root_b", "b").alias("root"), F.coalesce("root_a", "a").alias("main"), "common", "n", "outside"
+    )
+    open_ = placed.groupBy("a").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("some"), F.count("*").alias("many")).where("some = 1 AND many > 1").select("a")
+    placed = materialize(placed.join(open_, "a", "left_semi").withColumn("own", F.col("root") == F.col("main")), "centred")
+    need = percent * (F.col("x.n") + F.col("y.n"))  # against (100 + percent) * intersection
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.own") | (F.col("x.b") < F.col("y.b")))
+    least = F.least("x.common", "y.common")
+
+    inner = placed.where(F.col("common") * 100 >= F.col("n") * percent).drop("outside")
+    by_common = inner.where("NOT own").alias("x").join(inner.alias("y"), (F.col("x.a") == F.col("y.a")) & apart & (least * (100 + percent) >= need))
+
+    index = placed.withColumn("shingle", F.explode("outside")).drop("outside")
+    bound = (least + F.least(F.col("x.n") - F.col("x.common"), F.col("y.n") - F.col("y.common"))) * (100 + percent) >= need
+    shared = index.where("NOT own").alias("x").join(index.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & apart & bound)
+    counted = shared.groupBy(F.col("x.a").alias("c"), F.col("x.b").alias("p"), F.col("y.b").alias("q")).agg(F.count("*").alias("more"), F.first(least).alias("least"), F.first(need).alias("need"))
+    by_outside = counted.where(F.expr(f"(least + more) * {100 + percent} >= need"))
+    both = by_common.select(F.col("x.b").alias("p"), F.col("y.b").alias("q")).unionByName(by_outside.select("p", "q"))
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def _node_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -212,21 +246,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     side = lambda k, v: info.select(F.col("node").alias(k), F.struct("n", "sketch").alias(v))
     pairs = materialize(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").where(near).select("a", "b"), "stars")
     texts = materialize(_node_texts(docs, members.select("node"), id_col, text_col), "texts")
-    links = materialize(_verified(pairs, texts, percent), "links")
-    roots = materialize(components(links), "roots")
+    checked = materialize(_compared(pairs, texts, percent), "checked")
+    roots = materialize(components(checked.where("linked").select("a", "b")), "roots")
 
-    # Buckets that still hold classes of several components. Members outside the largest component of their bucket meet those of other components.
+    # Buckets that still hold classes of several components. Members outside the largest component of their bucket meet those of other components:
+    # by way of the bucket's first class if both were compared to it, else by their packed signatures.
     open_ = members.where("size > 2").select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     by_root = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    most = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("size")).where("roots > 1")
+    most = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     first = members.groupBy("bucket").agg(F.min("node").alias("first"))
-    rest = materialize(
-        open_.join(most, "bucket").join(first, "bucket").where("node <> first").join(info, "node").select("bucket", "node", "root", (F.col("root") == F.col("most.root")).alias("main"), "n", "sketch"), "rest"
-    )
+    known = checked.select(F.col("a").alias("first"), F.col("b").alias("node"), F.lit(True).alias("known"))
+    rest = open_.join(most, "bucket").join(first, "bucket").where("node <> first").join(info, "node").join(known, ["first", "node"], "left")
+    rest = rest.select("bucket", "node", "root", (F.col("root") == F.col("most.root")).alias("main"), "n", "sketch", F.coalesce("known", F.lit(False)).alias("known"))
+    rest = materialize(rest, "rest")
     x, y = rest.where("NOT main").alias("x"), rest.alias("y")
-    crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node"))) & near
-    more = x.join(y, crossing).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = materialize(_verified(more, texts, percent), "links")
+    crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node"))) & ~(F.col("x.known") & F.col("y.known")) & near
+    by_sketch = x.join(y, crossing).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    more = by_sketch.unionByName(_through_centres(checked, roots, percent)).distinct()
+    more = materialize(_compared(more, texts, percent).where("linked").select("a", "b"), "links")
     roots = materialize(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
 
     of_class = materialize(classes.select(node, "digest").join(roots, "node", "left").select("digest", F.coalesce("root.id", "node.id").alias("component_id")), "class-components")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 _OWN: dict[str, str] = {}
 
 #: Bytes of text that a Python task holds at once besides the Arrow batch itself.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 _BASE, _BASE_INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 _LENGTH = np.uint64(0xA0761D6478BD642F)
 #: Powers for texts of so many bytes are kept.
-_KEPT = 1 << 23
+_KEPT = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:

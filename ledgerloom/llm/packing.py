@@ -34,7 +34,7 @@ CAPACITY = 4096
 END_ID = 1
 GRID = 16
 #: Distinct words whose ids a Python worker keeps; twice as many while it replaces them.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Ranks are counted in parts of about so many pieces, in SALTS parts of a length at most.
 PART_ROWS, SALTS = 2_000, 1_024
 

@@ -39,7 +39,7 @@ ONE_EDIT, TWO_EDITS = 5, 11
 #: Words on either side of a hit that tell a quotation from abuse.
 CONTEXT = 8
 #: Distinct words whose result a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _REPORTING = frozenset(b"said says wrote writes quote quoted quotes quoting called calls asked replied reported according alleged".split())

@@ -21,7 +21,7 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,18 +180,23 @@ def _compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return done.select(node("a"), node("b"), "linked", "common", "n", "outside")
 
 
-def _through_centres(checked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components among classes that were compared to the same centre.
+def _centred(checked: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row for each class that was compared to another: b, the least of those others as its centre a, the components of both, and how b relates to a."""
+    centre = checked.groupBy("b").agg(F.min("a").alias("a"))
+    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    placed = checked.drop("linked").join(centre, ["a", "b"]).join(root("b"), "b", "left").join(root("a"), "a", "left")
+    return placed.select("a", "b", F.coalesce("root_b", "b").alias("root"), F.coalesce("root_a", "a").alias("main"), "common", "n", "outside").withColumn("own", F.col("root") == F.col("main"))
+
+
+def _through_centres(centred: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different components among classes of one centre.
 
     Two sets share what both have in common with the centre, at most the lesser of the two numbers, and what both have outside of it. So a link needs either
-    enough shingles in common with the centre, or shingles outside it that both hold; the latter are few, and are counted by a join on them.
+    enough shingles in common with the centre, or shingles outside it that both hold. Of the latter, each class looks up only so many, its rarest, that it cannot miss
+    a link by leaving the others out (a prefix filter); those that no other class of the centre holds meet nothing.
     """
-    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    placed = checked.join(root("b"), "b", "left").join(root("a"), "a", "left").select(
-        "a", "b", F.coalesce("root_b", "b").alias("root"), F.coalesce("root_a", "a").alias("main"), "common", "n", "outside"
-    )
-    open_ = placed.groupBy("a").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("some"), F.count("*").alias("many")).where("some = 1 AND many > 1").select("a")
-    placed = materialize(placed.join(open_, "a", "left_semi").withColumn("own", F.col("root") == F.col("main")), "centred")
+    open_ = centred.groupBy("a").agg(F.max((~F.col("own")).cast("int")).alias("some"), F.count("*").alias("many")).where("some = 1 AND many > 1").select("a")
+    placed = materialize(centred.join(open_, "a", "left_semi"), "centred")
     need = percent * (F.col("x.n") + F.col("y.n"))  # against (100 + percent) * intersection
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.own") | (F.col("x.b") < F.col("y.b")))
     least = F.least("x.common", "y.common")
@@ -199,13 +204,16 @@ def _through_centres(checked: DataFrame, roots: DataFrame, percent: int) -> Data
     inner = placed.where(F.col("common") * 100 >= F.col("n") * percent).drop("outside")
     by_common = inner.where("NOT own").alias("x").join(inner.alias("y"), (F.col("x.a") == F.col("y.a")) & apart & (least * (100 + percent) >= need))
 
-    index = placed.withColumn("shingle", F.explode("outside")).drop("outside")
+    # A partner has at least percent / 100 of the shingles, so at least as many are shared, of which at most `common` lie in the centre.
+    must = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("common"))
+    listed = placed.withColumn("look", F.size("outside") - must + 1).where("look > 0").withColumn("shingle", F.explode("outside")).drop("outside")
+    often = listed.groupBy("a", "shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "shingle"))
+    index = listed.join(often, ["a", "shingle"]).withColumn("rank", rank).where("rank <= look AND often > 1").drop("rank", "look", "often")
     bound = (least + F.least(F.col("x.n") - F.col("x.common"), F.col("y.n") - F.col("y.common"))) * (100 + percent) >= need
-    shared = index.where("NOT own").alias("x").join(index.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & apart & bound)
-    counted = shared.groupBy(F.col("x.a").alias("c"), F.col("x.b").alias("p"), F.col("y.b").alias("q")).agg(F.count("*").alias("more"), F.first(least).alias("least"), F.first(need).alias("need"))
-    by_outside = counted.where(F.expr(f"(least + more) * {100 + percent} >= need"))
-    both = by_common.select(F.col("x.b").alias("p"), F.col("y.b").alias("q")).unionByName(by_outside.select("p", "q"))
-    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    by_outside = index.where("NOT own").alias("x").join(index.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & apart & bound)
+    both = by_common.select(F.col("x.b").alias("p"), F.col("y.b").alias("q")).unionByName(by_outside.select(F.col("x.b").alias("p"), F.col("y.b").alias("q")))
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def _node_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -250,19 +258,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     roots = materialize(components(checked.where("linked").select("a", "b")), "roots")
 
     # Buckets that still hold classes of several components. Members outside the largest component of their bucket meet those of other components:
-    # by way of the bucket's first class if both were compared to it, else by their packed signatures.
+    # by way of the centre if both have the same, else by their packed signatures.
     open_ = members.where("size > 2").select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     by_root = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     most = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    centred = materialize(_centred(checked, roots), "centred")
     first = members.groupBy("bucket").agg(F.min("node").alias("first"))
-    known = checked.select(F.col("a").alias("first"), F.col("b").alias("node"), F.lit(True).alias("known"))
-    rest = open_.join(most, "bucket").join(first, "bucket").where("node <> first").join(info, "node").join(known, ["first", "node"], "left")
-    rest = rest.select("bucket", "node", "root", (F.col("root") == F.col("most.root")).alias("main"), "n", "sketch", F.coalesce("known", F.lit(False)).alias("known"))
-    rest = materialize(rest, "rest")
+    rest = open_.join(most, "bucket").join(first, "bucket").where("node <> first").join(info, "node").join(centred.select(F.col("b").alias("node"), F.col("a").alias("centre")), "node", "left")
+    rest = materialize(rest.select("bucket", "node", "root", (F.col("root") == F.col("most.root")).alias("main"), "n", "sketch", "centre"), "rest")
     x, y = rest.where("NOT main").alias("x"), rest.alias("y")
-    crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node"))) & ~(F.col("x.known") & F.col("y.known")) & near
+    other_centre = ~F.coalesce(F.col("x.centre") == F.col("y.centre"), F.lit(False))
+    crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node"))) & other_centre & near
     by_sketch = x.join(y, crossing).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    more = by_sketch.unionByName(_through_centres(checked, roots, percent)).distinct()
+    by_centre = _through_centres(centred, percent).join(side("b", "y"), "b").join(side("a", "x"), "a").where(near).select("a", "b")
+    more = by_sketch.unionByName(by_centre).distinct()
     more = materialize(_compared(more, texts, percent).where("linked").select("a", "b"), "links")
     roots = materialize(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
 

@@ -48,10 +48,11 @@ def ledger_sql(side: str, spark: bool, book: str = "0") -> str:
     return _OUT.format(**words) + rows + ") AS r"
 
 
-def ledgers(spark: SparkSession, sf_dir: str, book: str = "0") -> tuple[DataFrame, DataFrame]:
-    """Ledgers A and B from the orders of a data folder."""
+def ledgers(spark: SparkSession, sf_dir: str, books: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Ledgers A and B from the orders of a data folder, dealt out to so many books by order."""
     orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
-    return tuple(spark.sql(ledger_sql(side, True, book).replace("FROM orders", "FROM {orders}"), orders=orders) for side in "AB")
+    book = {"A": f"row_index % {books}", "B": f"floor(row_index / 3) % {books}"}
+    return tuple(spark.sql(ledger_sql(side, True, book[side]).replace("FROM orders", "FROM {orders}"), orders=orders) for side in "AB")
 
 
 def event_ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

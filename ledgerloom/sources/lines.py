@@ -93,9 +93,8 @@ def classify(lines: DataFrame) -> DataFrame:
 def assign_words(words: Column, columns: list[tuple[str, float, float]]) -> dict[str, Column]:
     """The text of each column (role, first x, last x): words whose middle lies in it. The last of two columns of a role counts."""
     middle = lambda w: (w["bbox"]["x0"] + w["bbox"]["x1"]) / 2
-    return {
-        role: F.nullif(F.array_join(F.transform(F.filter(words, lambda w, a=a, b=b: (middle(w) >= a) & (middle(w) <= b)), lambda w: w["text"]), " "), F.lit("")) for role, a, b in columns
-    }
+    within = lambda a, b: lambda w: (middle(w) >= a) & (middle(w) <= b)
+    return {role: F.nullif(F.array_join(F.transform(F.filter(words, within(a, b)), lambda w: w["text"]), " "), F.lit("")) for role, a, b in columns}
 
 
 def parse_lines(classified: DataFrame, columns: list[tuple[str, float, float]], party: str, number_format: str | None = None, date_format: str | None = None) -> DataFrame:

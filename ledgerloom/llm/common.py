@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 #: Scratch folders made for sessions that name none (tests), by application.
 _OWN: dict[str, str] = {}
 
+#: Rows of an Arrow batch. Spark's 10000 documents would be held several times over, in the JVM and in Python.
+_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Bytes of text that a Python task holds at once besides the Arrow batch itself.
 SLICE_BYTES = 4 << 20
 
@@ -49,8 +52,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What the operator that this Python worker runs keeps between batches.
+_STATE: dict = {}
+
+
+def worker_state(owner: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What `make` makes, kept in this process until another owner asks, or the same with another key (an object of its own, or a string).
+
+    So a worker that serves several operators holds the state of one.
+    """
+    held = _STATE.get("key")
+    if _STATE.get("owner") != owner or not (held is key or isinstance(key, str) and held == key):
+        _STATE.clear()
+        _STATE.update(owner=owner, key=key, value=make())
+    return _STATE["value"]
+
+
 def append_columns(
-    df: DataFrame, keep: list[str], new: T.StructType, fn: Callable[[pa.RecordBatch], list[pa.Array]], setup: Callable[[], None] | None = None
+    df: DataFrame, keep: list[str], new: T.StructType, fn: Callable[[pa.RecordBatch], list[pa.Array]]
 ) -> DataFrame:
     """Columns `keep` of df, and the columns `new` that fn makes of each Arrow batch (in slices of bounded bytes).
 
@@ -58,6 +77,9 @@ def append_columns(
     more than one row.
     """
     schema = T.StructType([df.schema[k] for k in keep] + list(new.fields))
+    settings = df.sparkSession.conf
+    if settings.get(_ROWS) == "10000":  # Spark's own; a session's choice stays
+        settings.set(_ROWS, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append_columns, table, utf8
+from ledgerloom.llm.common import append_columns, table, utf8, worker_state
 
 WINDOW = 10
 #: Windows in one automaton, which each Python worker holds. A larger benchmark is scanned by several, one after the other.
@@ -63,20 +63,13 @@ def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id",
     return items.mapInArrow(cut, "window string, item string").distinct()
 
 
-#: The automaton that this Python worker built last, by the number of its broadcast.
-_BUILT: dict[int, ahocorasick.Automaton] = {}
-
-
-def _automaton(shared) -> ahocorasick.Automaton:
-    if id(shared) not in _BUILT:
-        _BUILT.clear()
-        made = ahocorasick.Automaton()
-        for text, items in shared.value:
-            made.add_word(text, (len(text), items))
-        if len(made):
-            made.make_automaton()
-        _BUILT[id(shared)] = made
-    return _BUILT[id(shared)]
+def _automaton(windows: list[tuple[str, list[str]]]) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for text, items in windows:
+        made.add_word(text, (len(text), items))
+    if len(made):
+        made.make_automaton()
+    return made
 
 
 def _scan(made: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[int], set[str]]:
@@ -129,7 +122,7 @@ def scan(
         last = shard == shards - 1
 
         def found(batch: pa.RecordBatch, shared=shared, last=last) -> list[pa.Array]:
-            made = _automaton(shared)
+            made = worker_state("decontaminate", shared.value, lambda: _automaton(shared.value))
             column = lambda k: batch.column(batch.schema.get_field_index(k))
             hits, items, rows = [], [], []
             for text, before, known in zip(utf8(column("_text")), column("_hits").to_pylist(), column("_items").to_pylist(), strict=True):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append_columns, slices, table, utf8
+from ledgerloom.llm.common import append_columns, slices, table, utf8, worker_state
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -182,8 +182,6 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     return fit(samples) if samples else None
 
 
-#: The tables of the network that this Python worker used last.
-_TABLES: dict = {}
 _PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -193,8 +191,7 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: list[str], text_col: str
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         net = shared.value
-        if net and _TABLES.get("of") is not net:
-            _TABLES.update(of=net, tables=net.tables())
+        tables = worker_state("language", net, net.tables) if net else ()
         langs, scores = [], []
         for part in slices(batch, 1 << 20):
             texts = [t or b"" for t in utf8(part.column(part.schema.get_field_index("_text")))]
@@ -203,7 +200,7 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: list[str], text_col: str
             total = np.zeros((len(kept), len(net.languages) if net else 1))
             if kept:
                 windows, owner = cut(kept)
-                p = np.concatenate([net.probabilities(windows[i : i + BATCH_WINDOWS], _TABLES["tables"]) for i in range(0, len(windows), BATCH_WINDOWS)])
+                p = np.concatenate([net.probabilities(windows[i : i + BATCH_WINDOWS], tables) for i in range(0, len(windows), BATCH_WINDOWS)])
                 first = np.flatnonzero(np.diff(owner, prepend=-1))
                 total = np.add.reduceat(p.astype(np.float64), first, axis=0) / np.bincount(owner)[:, None]
             at = iter(total)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append_columns, materialize, table, utf8
+from ledgerloom.llm.common import append_columns, materialize, table, utf8, worker_state
 
 CAPACITY = 4096
 END_ID = 1
@@ -40,7 +40,6 @@ PART_ROWS, SALTS = 2_000, 1_024
 
 _PIECES = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("piece", "start", "length", "ids_crc32")]))
 _ARROW_PIECES = pa.list_(pa.struct([(k, pa.int64()) for k in ("piece", "start", "length", "ids_crc32")]))
-_WORKER: dict = {}
 
 
 def _byte_symbols() -> dict[int, int]:
@@ -101,19 +100,13 @@ class WordIds:
         return out
 
 
-def _ids(texts: list[bytes], path: str) -> list[bytes]:
-    if _WORKER.get("path") != path:
-        _WORKER.update(path=path, ids=WordIds(path))
-    return _WORKER["ids"](texts)
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece: a document's ids and then end_id, cut every `capacity` ids."""
     last = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = []
-        for ids in _ids([t or b"" for t in utf8(batch.column(1))], tokenizer_path):
+        for ids in worker_state("packing", tokenizer_path, lambda: WordIds(tokenizer_path))([t or b"" for t in utf8(batch.column(1))]):
             ids += last
             step = 4 * capacity
             rows.append([{"piece": i, "start": i * capacity, "length": len(part := ids[i * step : (i + 1) * step]) // 4, "ids_crc32": zlib.crc32(part)} for i in range(-(-len(ids) // step))])

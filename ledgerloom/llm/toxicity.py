@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append_columns, materialize, table, utf8
+from ledgerloom.llm.common import append_columns, materialize, table, utf8, worker_state
 from ledgerloom.llm.minhash import signatures
 
 SAMPLE = {1: 4000, 0: 12_000}
@@ -115,6 +115,15 @@ class Lexicon:
         return self.accepts[state]
 
 
+@dataclass
+class _Known:
+    """The automaton, the words it was asked about, and those that are hits."""
+
+    lexicon: Lexicon
+    seen: set[bytes] = field(default_factory=set)
+    hits: dict[bytes, tuple[int, int]] = field(default_factory=dict)
+
+
 @dataclass
 class ToxicModel:
     """What is learnt: the lexicon's words and the weights of the features."""
@@ -123,35 +132,24 @@ class ToxicModel:
     weights: list[float]
     ordinary: frozenset[str] = frozenset()
     threshold: float = THRESHOLD
-    lexicon: Lexicon | None = field(default=None, repr=False, compare=False)
-    hits: dict[bytes, tuple[int, int]] = field(default_factory=dict, repr=False, compare=False)
-    seen: set[bytes] = field(default_factory=set, repr=False, compare=False)
-
-    def __getstate__(self):
-        return {k: getattr(self, k) for k in ("words", "weights", "ordinary", "threshold")}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
-
     def features(self, text: bytes) -> list[float]:
         """log(1 + n) of abusive and quoted hits, spelled right and wrong; hits in a hundred words."""
-        if self.lexicon is None:
-            self.lexicon = Lexicon(self.words)
+        known = worker_state("toxicity", self, lambda: _Known(Lexicon(self.words)))
         words = text.translate(_WORDS).split()
         distinct = set(words)
-        for word in distinct - self.seen:
-            self.seen.add(word)
+        for word in distinct - known.seen:
+            known.seen.add(word)
             spelled = word.decode("utf-8", "replace")
-            if (found := self.lexicon.find(spelled)) and not (found[1] and spelled in self.ordinary):
-                self.hits[word] = found
+            if (found := known.lexicon.find(spelled)) and not (found[1] and spelled in self.ordinary):
+                known.hits[word] = found
         counts = [0, 0, 0, 0]
-        if distinct & self.hits.keys():
+        if distinct & known.hits.keys():
             quoted = _quotation(text, words)
             for i, word in enumerate(words):
-                if word in self.hits:
-                    counts[2 * quoted(i) + (self.hits[word][1] > 0)] += 1
-        if len(self.seen) > REMEMBERED:
-            self.seen, self.hits = set(), {}
+                if word in known.hits:
+                    counts[2 * quoted(i) + (known.hits[word][1] > 0)] += 1
+        if len(known.seen) > REMEMBERED:
+            known.seen, known.hits = set(), {}
         return [*(math.log1p(n) for n in counts), min(1.0, 10 * (counts[0] + counts[1]) / max(len(words), 20))]
 
     def score(self, text: bytes) -> float:

@@ -64,7 +64,7 @@ def reconcile(
     spark: SparkSession = a.sparkSession
     if config.polarity_mode == "auto_detect":
         config = config.with_(polarity_mode=detect_polarity(a, b))
-    left, right = a.select(*ENTRY_COLUMNS), b.select(*ENTRY_COLUMNS)
+    left, right = (side.select(*[F.col(c).alias(c) for c in ENTRY_COLUMNS]) for side in (a, b))  # columns of their own, also if both come from one table
     groups: DataFrame = spark.createDataFrame([], GROUP)
     ambiguous: DataFrame = spark.createDataFrame([], AMBIGUOUS)
     for number in sorted(set(config.enabled_passes)):

@@ -367,4 +367,10 @@ ORACLES = {
       SELECT p_partkey, round(least(1.0, sum(s) / max(n)), 6) AS containment FROM f GROUP BY p_partkey""",
     "ngram_index": f"WITH {_LEDGERS}, g AS (SELECT {_GRAMS.format(_FLAT.format('description', ''))} AS g FROM b) SELECT count(*) AS entries, round(avg(len(g)), 6) AS mean_ngrams, (SELECT count(DISTINCT x) FROM (SELECT unnest(g) AS x FROM g)) AS distinct_ngrams FROM g",
     "line_kinds": f"""WITH {_LINES}, t AS (SELECT doc, trim(text, ' ') AS t FROM line) SELECT doc, CASE WHEN length(t) < 2 THEN 'empty' WHEN {_terms('t', lines.HEADER_TERMS)} >= 2 THEN 'header' WHEN regexp_matches(t, {_rx(lines.FOOTER)}) THEN 'footer' WHEN regexp_matches(t, {_rx(lines.SUBTOTAL)}) THEN 'subtotal' WHEN regexp_matches(t, {_rx(lines.SKIPPED)}) THEN 'footer' ELSE 'data' END AS kind, count(*) AS n FROM t GROUP BY 1, 2""",
+    "merged_lines": f"""WITH {_LINES}, t AS (SELECT *, trim(text, ' ') AS t, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2) AS w FROM line),
+      head AS (SELECT doc, arg_min(w, line_index) AS h FROM t WHERE page = 1 AND line_index < 10 AND {_terms('text', lines.HEADER_TERMS[:-1])} >= 2 GROUP BY doc),
+      j AS (SELECT t.*, CASE WHEN length(t) < 2 THEN 'empty' WHEN page > 1 AND len(w) > 0 AND coalesce(len(h), 0) > 0 AND len(list_filter(h, lambda x: list_contains(w, x))) / CAST(len(h) AS DOUBLE) >= 0.6 THEN 'repeated_header' WHEN regexp_matches(t, {_rx(lines.PAGE_FOOTER)}) THEN 'page_footer'
+        WHEN regexp_matches(t, {_rx(lines.PAGE_SUBTOTAL)}) THEN 'subtotal' WHEN regexp_matches(t, {_rx(lines.CONTINUED)}) THEN 'continuation_marker' END AS reason FROM t LEFT JOIN head USING (doc)),
+      k AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS flat FROM j WHERE reason IS NULL), d AS (SELECT *, flat = lag(flat) OVER (PARTITION BY doc ORDER BY line_index) AND length(flat) > 5 AS twice FROM k)
+      SELECT doc, CAST(line_index AS INT) AS line_index, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT doc, CAST(line_index AS INT), 'duplicate_boundary' FROM d WHERE twice""",
 }

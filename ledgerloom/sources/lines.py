@@ -155,3 +155,30 @@ def clean_ocr_text(text: Column) -> Column:
     """Single spaces, plain quotes and dashes, l and O between digits as 1 and 0, no stray strokes at the ends."""
     flat = F.trim(F.regexp_replace(F.translate(text, "‘’“”–—", "''\"\"--"), r"\s+", " "))
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, r"(?<=\d)l(?=\d)", "1"), r"(?<=\d)O(?=\d)", "0"), r"^[|lI]\s|\s[|lI]$", ""))
+
+
+def detect_columns(lines: DataFrame, first: int = 20) -> DataFrame:
+    """(doc, role, x_start, x_end, confidence): the columns of each document's table.
+
+    The header is the first of the first lines with words of two roles; each header word that names a role begins a column that reaches to the next one. A document
+    without a header gets a usual layout of its width: date, description, debit, credit and balance in 15, 35, 15, 15 and 20 hundredths.
+    """
+    from ledgerloom.sources.csv_ledger import HEADER_WORDS
+
+    role = F.coalesce(*[F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower("w.text"), w)), role) for role, words in HEADER_WORDS.items()])
+    named = lines.where(F.col("line_index") < first).select("doc", "page_number", "line_index", F.explode("words").alias("w")).withColumn("role", role)
+    heads = named.where("role IS NOT NULL").groupBy("doc", "page_number", "line_index").agg(F.count_distinct("role").alias("roles")).where("roles >= 2")
+    head = heads.groupBy("doc").agg(F.min(F.struct("page_number", "line_index")).alias("h")).select("doc", "h.page_number", "h.line_index")
+    along = Window.partitionBy("doc").orderBy("x_start")
+    found = named.where("role IS NOT NULL").join(head, ["doc", "page_number", "line_index"]).select("doc", "role", F.col("w.bbox.x0").alias("x_start"))
+    once = found.groupBy("doc", "role").agg(F.min("x_start").alias("x_start"))
+    by_header = once.withColumn("x_end", F.coalesce(F.lead("x_start").over(along) - 1e-6, F.lit(1e9))).withColumn("confidence", F.lit(0.9))
+    width = lines.select("doc", F.explode("words").alias("w")).groupBy("doc").agg(F.max("w.bbox.x1").alias("width")).join(head, "doc", "left_anti")
+    shares = [("date", 0.0, 0.15), ("description", 0.15, 0.5), ("debit", 0.5, 0.65), ("credit", 0.65, 0.8), ("balance", 0.8, 1.0)]
+    usual = F.array(*[F.struct(F.lit(r).alias("role"), (F.col("width") * a).alias("x_start"), (F.col("width") * b).alias("x_end"), F.lit(0.3).alias("confidence")) for r, a, b in shares])
+    return by_header.select("doc", "role", "x_start", "x_end", "confidence").unionByName(width.select("doc", F.inline(usual)))
+
+
+def low_confidence(entries: DataFrame, below: float = 70.0) -> DataFrame:
+    """Entries to be looked over by hand."""
+    return entries.where(F.col("ocr_confidence") < below)

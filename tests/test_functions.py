@@ -98,3 +98,31 @@ def test_lines(spark):
     columns = [("date", 0, 60), ("description", 90, 190), ("debit", 195, 260), ("credit", 290, 360)]
     got = lines.parse_lines(classified, columns, "A").orderBy("row_index").collect()
     assert [(str(r.date), r.description, r.debit, r.credit) for r in got] == [("2024-02-01", "Rent to landlord", 50.0, None), ("2024-02-02", "Pay", None, 70.0)]
+
+
+def test_keys(spark):
+    from ledgerloom.functions import keys
+
+    row = spark.range(1).select(keys.fnv1a(F.lit("hello")), keys.fnv1a(F.lit("")), keys.amount_to_cents(F.lit(-2.5)), keys.match_key(F.lit(None).cast("date"), F.lit(-1.5), F.lit("A-1")), keys.sha256(F.lit("a"))).first()
+    assert list(row) == ["4f9f2cab", "811c9dc5", -250, "0000-00-00|150|a1", "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb"]
+
+
+def test_best_matches(spark):
+    queries = spark.createDataFrame([(1, "rent march")], "id long, text string")
+    targets = spark.createDataFrame([(1, "Rent March"), (2, "rent marsh"), (3, "zzz"), (4, "rent march x")], "id long, text string")
+    assert [r.target_id for r in X.best_matches(queries, targets, 2).orderBy("rank").collect()] == [1, 4]
+
+
+def test_columns_of_lines(spark):
+    from ledgerloom.schema import LINES
+
+    box = lambda x: {"x0": float(x), "y0": 0.0, "x1": x + 40.0, "y1": 10.0}
+    word = lambda t, x: {"text": t, "confidence": 90.0, "bbox": box(x)}
+    rows = [("d", 1, 0, "Date Particulars Debit", 90.0, box(0), [word("Date", 0), word("Particulars", 100), word("Debit", 300)]), ("e", 1, 0, "x", 90.0, box(0), [word("x", 60)])]
+    got = {(r.doc, r.role, r.x_start, r.confidence) for r in lines.detect_columns(spark.createDataFrame(rows, LINES)).collect()}
+    assert {("d", "date", 0.0, 0.9), ("d", "description", 100.0, 0.9), ("d", "debit", 300.0, 0.9), ("e", "description", 15.0, 0.3)} <= got and len(got) == 8
+
+
+def test_clean_text(spark):
+    row = spark.range(1).select(lines.clean_ocr_text(F.lit("| 1l2  4O5 “a” ")), csv_ledger.ledger_summary is not None and F.lit(1)).first()
+    assert row[0] == '112 405 "a"'

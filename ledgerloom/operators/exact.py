@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import MatchConfig
 from ledgerloom.functions import scoring as S
 from ledgerloom.operators.ranking import occurrence_rank
+from ledgerloom.scratch import materialize
 
 _KEY = ["book", "date", "_cents", "_ref"]
 
@@ -29,6 +30,10 @@ def exact_pairs(a: DataFrame, b: DataFrame, config: MatchConfig) -> DataFrame:
     exactly = S.normalize_ref(raw, config.case_sensitive_ref)
     odd = F.max(((raw != "") & (exactly == "")).cast("int")) + F.when(F.count_distinct(F.when(exactly != "", exactly)) > 1, 1).otherwise(0) > 0
     loops = x.select(*_KEY, "ref_number").unionByName(y.select(*_KEY, "ref_number")).groupBy(*_KEY).agg(odd.alias("odd")).where("odd").drop("odd")
+    loops = materialize(loops, "odd-keys")
+    if loops.isEmpty():
+        ranks = [occurrence_rank(side, _KEY).select(*_KEY, "rank", F.col("id").alias(name)) for side, name in ((x, "a_id"), (y, "b_id"))]
+        return ranks[0].join(ranks[1], [*_KEY, "rank"]).select("book", "a_id", "b_id")
     plain = [occurrence_rank(side.join(loops, _KEY, "left_anti"), _KEY).select(*_KEY, "rank", F.col("id").alias(name)) for side, name in ((x, "a_id"), (y, "b_id"))]
     ranked = plain[0].join(plain[1], [*_KEY, "rank"]).select("book", "a_id", "b_id")
 

@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their sources' boilerplate lines."""
-    found = line_dedup.drop_boilerplate(docs, "source")
+    """Documents without their sources' boilerplate lines and without the headers and footers planted at documents' edges."""
+    found = line_dedup.drop_boilerplate(docs, "source", edges=True)
     size = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

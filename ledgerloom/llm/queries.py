@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_fingerprints": fingerprint.op4_fingerprints,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op5_planted_lines": line_dedup.op5_planted_lines,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_licenses": licenses.op7_licenses,
     "op8_html_text": html_text.op8_html_text,

@@ -73,6 +73,25 @@ def test_splits_are_the_loop_in_each_book(spark):
     assert got == {(tuple(x), tuple(y)) for x, y in model.splits(a, b, cfg)}
 
 
+@pytest.mark.parametrize("undated", [False, True])
+def test_splits_by_component(spark, undated):
+    rng = random.Random(12)
+    a, b = ledger(rng, "A", 60), ledger(rng, "B", 120)
+    for r in a + b:
+        r["amount_abs"] = r["amount"] = rng.randrange(50, 900) / 100
+        r["date"] = None if undated and rng.random() < 0.1 else datetime.date(2024, 1, 1) + datetime.timedelta(days=20 * rng.randrange(6) + rng.randrange(4))
+    for r in a[:5]:
+        r["amount_abs"] = r["amount"] = 10_000.0  # more than any five entries
+    a[5]["date"] = datetime.date(2030, 1, 1)
+    cfg = MatchConfig()
+    fa, fb = frames(spark, a, b)
+    targets, parts = split.components(*split.possible(split._entries(fa), split._entries(fb), cfg), cfg)
+    assert targets.where("amount_abs > 9000").count() == 0
+    assert targets.select("component").distinct().count() == parts.select("component").distinct().count() == (1 if undated else 6)
+    got = {(tuple(r.entries_a), tuple(r.entries_b)) for r in split.splits(fa, fb, cfg).collect()}
+    assert got == {(tuple(x), tuple(y)) for x, y in model.splits(a, b, cfg)} and len(got) > 20
+
+
 def test_subset_sum():
     assert split.subset_sum(10.0, [7.0, 6.0, 4.0, 3.0], 0.05, 5, 10**6) == [0, 3]
     assert split.subset_sum(10.0, [9.0, 5.0], 0.05, 5, 10**6) is None

@@ -2,7 +2,7 @@
 
 Building: end tags that HTML lets authors leave out are implied, an end tag without its start is ignored, rows and cells outside a table are
 plain blocks, and what is left open ends with the page. Visibility: elements that are never shown, `hidden`, `display: none` and `visibility: hidden` in attributes or in simple
-rules (a tag, a class or an id) of the page's own style sheets. Layout: blocks begin lines, paragraphs and their like stand between blank lines, list items have
+rules (a tag, classes and ids of one element) of the page's own style sheets that hold for a screen of 1280 pixels, by weight, specificity and order. Layout: blocks begin lines, paragraphs and their like stand between blank lines, list items have
 bullets or numbers and are indented, table cells are padded to columns, preformatted text keeps its white space.
 
 Nothing that is visible is dropped: menus, asides and footers are text like any other.
@@ -25,12 +25,17 @@ from ledgerloom.llm.common import append_columns, table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*+(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_DISPLAY = re.compile(r"none|(?:block|inline|flow|flow-root|flex|grid|table|ruby|list-item|contents|inherit|initial|unset|revert|inline-[a-z]+|table-[a-z-]+|ruby-[a-z-]+|revert-layer|-webkit-[a-z-]+)(?:\s+[a-z-]+)*")
+#: The width of the screen that media queries are asked of.
+WIDTH = 1280
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-_NEVER = frozenset("head script style template noscript iframe object embed noembed noframes title meta link svg math canvas audio video datalist".split())
+_NEVER = frozenset("head script style template noscript iframe object embed noembed noframes title meta link canvas audio video datalist".split())
+#: What drawings and formulas hold but do not show, and the attribute that marks it.
+_UNDRAWN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset(("annotation", "annotation-xml"))}
+_UNDRAWN_MARK = "<undrawn"
 _MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset menu".split())
 _BLOCK = _MARGIN | frozenset("html body div section article aside nav header footer main address li dt dd tr caption form figcaption details summary legend center thead tbody tfoot hgroup search dialog option optgroup".split())
 _CELLS = frozenset(("td", "th"))
@@ -119,6 +124,8 @@ def parse(html: str) -> tuple[Element, list[str]]:
             stack.append(start("tr", {}))
         if stack[-1].tag == "head" and tag not in _NEVER | {"base", "basefont", "bgsound"}:
             stack.pop()
+        if any(tag in names and any(e.tag == of for e in stack) for of, names in _UNDRAWN.items()):
+            attrs[_UNDRAWN_MARK] = ""
         made = start(tag, attrs)
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
@@ -135,36 +142,99 @@ def parse(html: str) -> tuple[Element, list[str]]:
     return root, styles
 
 
-def _hiding(styles: list[str]) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
-    """What simple rules say of tags, classes and ids: none, hidden or shown."""
-    said: tuple[dict[str, str], dict[str, str], dict[str, str]] = ({}, {}, {})
-    for selectors, body in (rule for style in styles if "none" in style or "hidden" in style for rule in _RULE.findall(re.sub(r"/\*.*?\*/", "", style, flags=re.S))):
-        state = _declared(body)
-        for selector in selectors.split(",") if state else ():
-            selector = selector.strip()
-            if re.fullmatch(r"[a-zA-Z][\w-]*", selector):
-                said[0][selector.lower()] = state
-            elif re.fullmatch(r"[.#][\w-]+", selector):
-                said[1 if selector[0] == "." else 2][selector[1:]] = state
+def _holds(query: str) -> bool:
+    """Whether a media query holds for a screen of WIDTH pixels. A feature not known here does not hold."""
+    words = query.strip().lower().removeprefix("only ")
+    turned = words.startswith("not ")
+    for part in re.split(r"\s+and\s+|\s+and(?=\()", words.removeprefix("not ").strip()):
+        width = re.fullmatch(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)\s*\)", part.strip())
+        if width:
+            limit = float(width[2]) * (1 if width[3] == "px" else 16)
+            held = WIDTH >= limit if width[1] == "min" else WIDTH <= limit
+        else:
+            held = part.strip() in ("", "all", "screen") or re.fullmatch(r"\(\s*(orientation\s*:\s*landscape|prefers-color-scheme\s*:\s*light)\s*\)", part.strip()) is not None
+        if not held:
+            return turned
+    return not turned
+
+
+def _rules(style: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet that hold for a screen, in order."""
+    style, out, at, depth = re.sub(r"/\*.*?(?:\*/|\Z)", "", style, flags=re.S), [], 0, []
+    skip = 0  # open blocks from the first on that does not hold
+    for found in re.finditer(r"[{};]", style):
+        said, at = style[at : found.start()].strip(), found.end()
+        if found[0] == ";":
+            if depth and depth[-1] is not None:
+                depth[-1][1].append(said)
+        elif found[0] == "{":
+            name = re.match(r"@([\w-]+)(.*)", said, re.S)
+            if skip:
+                skip += 1
+            elif name and name[1].lower() == "media":
+                skip = 0 if any(map(_holds, name[2].split(","))) else 1
+            elif name and not (name[1].lower() == "layer" or name[1].lower() == "supports" and not name[2].strip().lower().startswith("not")):
+                skip = 1
+            depth.append(None if name or skip else (said, []))
+        elif depth:
+            rule = depth.pop()
+            if rule is not None:
+                out.append((rule[0], ";".join([*rule[1], said])))
+            skip = max(0, skip - 1)
+    return out
+
+
+def _declared(style: str) -> dict[str, tuple[bool, str]]:
+    """What declarations say of display (none or shown) and of visibility (hidden or shown), and whether it is important; the last of equal weight wins."""
+    said: dict[str, tuple[bool, str]] = {}
+    for part in style.lower().split(";"):
+        name, _, value = part.partition(":")
+        name, important = name.strip(), "!" in value
+        value = value.partition("!")[0].strip()
+        if name == "display" and _DISPLAY.fullmatch(value):
+            state = "none" if value == "none" else "shown"
+        elif name == "visibility" and value in ("hidden", "collapse", "visible", "initial"):
+            state = "hidden" if value in ("hidden", "collapse") else "shown"
+        else:
+            continue
+        if important or not said.get(name, (False, ""))[0]:
+            said[name] = important, state
     return said
 
 
-def _declared(style: str) -> str:
-    style = _SPACE.sub("", style.lower())
-    return "none" if "display:none" in style else "hidden" if "visibility:hidden" in style or "visibility:collapse" in style else "shown" if "visibility:visible" in style else ""
+def _hiding(styles: list[str]) -> dict[str, list[tuple]]:
+    """By tag, .class or #id: (all that an element must have, specificity, place, declarations) of the rules that speak of display or visibility."""
+    rules: dict[str, list[tuple]] = {}
+    if not any("none" in style or "hidden" in style or "collapse" in style for style in styles):
+        return rules
+    for place, (selectors, body) in enumerate(rule for style in styles for rule in _rules(style)):
+        said = _declared(body)
+        for selector in selectors.split(",") if said else ():
+            selector = selector.strip()
+            if re.fullmatch(r"(?:\*|[a-zA-Z][\w-]*)?(?:[.#][\w-]+)*", selector) and selector:
+                parts = [x if x[0] in ".#" else x.lower() for x in re.findall(r"[.#]?[\w-]+|\*", selector)]
+                rank = (0, sum(x[0] == "#" for x in parts), sum(x[0] == "." for x in parts), sum(x[0] not in ".#*" for x in parts))
+                rules.setdefault(parts[-1], []).append((frozenset(parts), rank, place, said))
+    return rules
 
 
 def _state(e: Element, rules) -> str:
-    """none (with all it holds), hidden (unless shown within), shown, or nothing said."""
+    """none (with all it holds), hidden (unless shown within), shown, or nothing said: of the declarations, the important, the specific and the last win."""
     attrs = e.attrs
-    if e.tag in _NEVER or "hidden" in attrs or e.tag == "input" and attrs.get("type", "").lower() == "hidden" or e.tag == "dialog" and "open" not in attrs:
+    if e.tag in _NEVER or _UNDRAWN_MARK in attrs or e.tag == "input" and attrs.get("type", "").lower() == "hidden":
         return "none"
-    own = _declared(attrs["style"]) if "style" in attrs else ""
-    tags, classes, ids = rules
-    if tags or classes or ids:
-        said = [own, ids.get(attrs.get("id", ""), ""), *(classes.get(c, "") for c in attrs.get("class", "").split()), tags.get(e.tag, "")]
-        return "none" if "none" in said else next((s for s in said if s), "")
-    return own
+    display = "none" if "hidden" in attrs or e.tag == "dialog" and "open" not in attrs else ""
+    if not rules and "style" not in attrs:
+        return display
+    won: dict[str, tuple] = {}
+    own = {"*", e.tag, "#" + attrs.get("id", ""), *("." + c for c in attrs.get("class", "").split())}
+    said = [(rank, place, what) for name in own if name in rules for needs, rank, place, what in rules[name] if needs <= own]
+    if "style" in attrs:
+        said.append(((1, 0, 0, 0), 0, _declared(attrs["style"])))
+    for rank, place, what in said:
+        for name, (important, state) in what.items():
+            won[name] = max(won.get(name, ()), (important, rank, place, state))
+    return "none" if (won["display"][3] if "display" in won else display) == "none" else won["visibility"][3] if "visibility" in won else ""
 
 
 class _Page:
@@ -240,7 +310,7 @@ def _write(root: Element, rules, flat: bool = False) -> str:
                 page.block(1)
             page.block(2)
             continue
-        if tag in _CELLS and flat:
+        if tag == "text" or tag in _CELLS and flat:
             page.space = True
         spacing = 2 if tag in _MARGIN else 1 if tag in _BLOCK else 0
         if spacing:

@@ -228,6 +228,21 @@ def test_rendering(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<style>@media print{.nav{display:none}}</style><p class=nav>menu", "menu"), ("<style>@media (max-width:600px){#main{display:none}} i{display:none}</style><p id=main>main<i>no", "main"),
+        ("<style>@media screen and (min-width:600px){.n{display:none}}</style><p class=n>no</p>yes", "yes"), ("<style>@import 'x';@media not print{@media all{.n{display:none}}}.o{display:none}</style><p class=n>no</p><p class=o>no</p>yes", "yes"),
+        ("<style>@keyframes k{from{display:none}to{visibility:hidden}}</style>from", "from"), ("<style>.m{display:none} .m{display:block}</style><p class=m>m", "m"), ("<style>.m{display:block} .m{display:none}</style><p class=m>no</p>yes", "yes"),
+        ("<style>#a{display:block} p.m{display:inline} .m{display:none} p{display:none!important}</style><p id=a>no</p><b id=a class=m>b</b>", "b"), ("<style>p.m{display:block}.m{display:none}</style><p class=m>m<p class=x>x", "m\n\nx"),
+        ("<style>.m{display:none}</style><p class=m style='display:block'>m", "m"), ("<style>.m{display:none;display:bogus}</style><p class=m>no</p>yes", "yes"), ("<p hidden style='display:block'>shown", "shown"),
+        ("x <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> y", "x a=1 y"), ("<svg><defs><text>no</text></defs><title>no</title><text>one</text><text>two</text></svg>", "one two"),
+    ],
+)
+def test_rendering_of_conditional_rules_and_drawings(html, text):
+    assert html_text.render(html) == text
+
+
 def test_html_depth_and_columns(spark):
     deep = "<div>" * 30_000 + "deep" + "<table><tr><td>" * 2000 + "x"
     frame = spark.createDataFrame([(1, deep, "t"), (2, None, "t"), (2, None, "t")], "page_id long, html string, text string")

@@ -98,7 +98,7 @@ def reconcile_groups(spark, sf_dir):
 
 
 def reconcile_events(spark, sf_dir):
-    """Passes 1, 3 and 5 over the denser pair of event ledgers."""
+    """Passes 1 and 5 over the denser pair of event ledgers; pass 3 does not run."""
     found = engine.reconcile(*event_ledgers(spark, sf_dir), MatchConfig(enabled_passes=(1, 5)))
     return engine.type_histogram(found.groups).select("match_type", "n_groups")
 

@@ -40,6 +40,10 @@ def ledger_sql(side: str, spark: bool, book: str = "0") -> str:
     base = _BASE.format(**words)
     if side == "A":
         rows = f"SELECT k AS row_index, d AS date, descr AS description, -c AS amount_cents, ref AS ref_number FROM ({base}) AS o WHERE m NOT IN (16, 19)"
+    elif spark:  # one scan: each order becomes the array of its rows
+        one = "named_struct('row_index', 3 * k + {j}, 'date', {date}, 'description', {text}, 'amount_cents', {cents}, 'ref_number', CAST({ref} AS STRING))"
+        made = {where: ", ".join(one.format(j=j, date=date, text=text, cents=cents, ref=ref) for w, j, date, cents, text, ref in _B_ROWS if w == where) for where in dict.fromkeys(row[0] for row in _B_ROWS)}
+        rows = f"SELECT inline(CASE {' '.join(f'WHEN {where} THEN array({held})' for where, held in made.items())} END) FROM ({base}) AS o".format(**words)
     else:
         rows = " UNION ALL ".join(
             f"SELECT 3 * k + {j} AS row_index, {date} AS date, {text} AS description, {cents} AS amount_cents, CAST({ref} AS {{text}}) AS ref_number FROM ({base}) AS o WHERE {where}".format(**words)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ledgerloom.config import MatchConfig
 from ledgerloom.functions import scoring as S
 from ledgerloom.functions import text as X
 from ledgerloom.operators.buckets import near_pairs
+from ledgerloom.operators.settle import settle
 from ledgerloom.scratch import materialize
 
 #: Candidates share at least so many distinct trigrams.
@@ -38,21 +42,38 @@ def similar_pairs(a: DataFrame, b: DataFrame, config: MatchConfig) -> DataFrame:
     return scored.where(F.col("similarity") >= config.description_threshold).drop("a_description", "b_description")
 
 
+def _one_round(live: DataFrame):
+    """A pair that is first for both of its entries is taken by the sweep whatever comes before; those are taken at once, and their entries leave."""
+    of_a = live.groupBy("book", "a_id").agg(F.min("o").alias("o_a"))
+    of_b = live.groupBy("book", "b_id").agg(F.min("o").alias("o_b"))
+
+    def rest(taken: DataFrame) -> DataFrame:
+        return live.join(taken.select("book", "a_id"), ["book", "a_id"], "left_anti").join(taken.select("book", "b_id"), ["book", "b_id"], "left_anti")
+
+    return live.join(of_a, ["book", "a_id"]).join(of_b, ["book", "b_id"]).where("o = o_a AND o = o_b").drop("o_a", "o_b"), rest
+
+
 def best_first(pairs: DataFrame) -> DataFrame:
-    """The pairs that a sweep over all of them in order, taking each whose entries are both free, would take.
+    """The pairs that a sweep over all of them in order, taking each whose entries are both free, would take."""
+    ordered = pairs.withColumn("o", F.struct(-F.col("similarity"), "a_row_index", -F.col("jaccard"), "place", "b_row_index"))
+    ordered_names = ordered.columns
 
-    A pair that is first for both of its entries is taken by the sweep whatever comes before; those are taken at once, their entries leave, and so on.
-    """
-    order = F.struct(-F.col("similarity"), "a_row_index", -F.col("jaccard"), "place", "b_row_index").alias("o")
-    live, done = materialize(pairs.withColumn("o", order), "similar"), None
-    while True:
-        of_a = live.groupBy("book", "a_id").agg(F.min("o").alias("o_a"))
-        of_b = live.groupBy("book", "b_id").agg(F.min("o").alias("o_b"))
-        taken = materialize(live.join(of_a, ["book", "a_id"]).join(of_b, ["book", "b_id"]).where("o = o_a AND o = o_b").drop("o_a", "o_b"), "taken")
-        done = taken if done is None else done.unionByName(taken)
-        live = materialize(live.join(taken.select("book", "a_id"), ["book", "a_id"], "left_anti").join(taken.select("book", "b_id"), ["book", "b_id"], "left_anti"), "similar")
-        if live.isEmpty():
-            return done.drop("o")
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, used_a, used_b = None, set(), set()
+        for batch in batches:
+            chosen = []
+            column = lambda k, batch=batch: batch.column(batch.schema.get_field_index(k)).to_pylist()
+            for i, (of, x, y) in enumerate(zip(column("component"), column("a_id"), column("b_id"), strict=True)):
+                if of != component:
+                    component, used_a, used_b = of, set(), set()
+                if x not in used_a and y not in used_b:
+                    used_a.add(x)
+                    used_b.add(y)
+                    chosen.append(i)
+            if chosen:
+                yield batch.select(ordered_names).take(pa.array(chosen))
+
+    return settle(ordered, _one_round, [F.col("o")], sweep, ordered.schema).drop("o")
 
 
 def fuzzy_groups(a: DataFrame, b: DataFrame, config: MatchConfig) -> DataFrame:

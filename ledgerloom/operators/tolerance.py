@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import MatchConfig
 from ledgerloom.functions import scoring as S
 from ledgerloom.operators.buckets import near_pairs
+from ledgerloom.operators.settle import settle
 from ledgerloom.scratch import materialize
 
 
@@ -27,23 +31,61 @@ def candidates(a: DataFrame, b: DataFrame, config: MatchConfig) -> DataFrame:
     )
 
 
-def decide(pairs: DataFrame) -> DataFrame:
-    """The candidates of each entry of A at its turn, with their number `live`, as if entries of A came one after the other and took a sole candidate away.
-
-    An entry is ready when no undecided entry before it shares a candidate with it; all ready entries are decided at once, which takes as many rounds as the
-    longest chain of entries that wait for each other. Each round works on what the one before left.
-    """
-    live, done = materialize(pairs, "candidates"), None
-    while True:
-        first = live.groupBy("book", "b_id").agg(F.min("a_row_index").alias("first"))
-        seen = live.join(first, ["book", "b_id"])
-        ready = seen.groupBy("book", "a_id").agg(F.min((F.col("a_row_index") == F.col("first")).cast("int")).alias("ready"), F.count("*").alias("live")).where("ready = 1").drop("ready")
-        decided = materialize(live.join(ready, ["book", "a_id"]), "decided")
-        done = decided if done is None else done.unionByName(decided)
+_PAIR = "book long, a_id string, a_row_index long, b_id string, b_row_index long, a_amount_abs double, b_amount_abs double, diff double, days int, ref boolean"
+
+
+def _one_round(live: DataFrame):
+    """An entry is ready when no undecided entry before it shares a candidate with it; all ready entries are decided at once."""
+    first = live.groupBy("book", "b_id").agg(F.min("a_row_index").alias("first"))
+    seen = live.join(first, ["book", "b_id"])
+    ready = seen.groupBy("book", "a_id").agg(F.min((F.col("a_row_index") == F.col("first")).cast("int")).alias("ready"), F.count("*").alias("live")).where("ready = 1").drop("ready")
+
+    def rest(decided: DataFrame) -> DataFrame:
         taken = decided.where("live = 1").select("book", "b_id")
-        live = materialize(live.join(decided.select("book", "a_id").distinct(), ["book", "a_id"], "left_anti").join(taken, ["book", "b_id"], "left_anti"), "candidates")
-        if live.isEmpty():
-            return done
+        return live.join(decided.select("book", "a_id").distinct(), ["book", "a_id"], "left_anti").join(taken, ["book", "b_id"], "left_anti")
+
+    return live.join(ready, ["book", "a_id"]), rest
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The loop over entries of A of one component after the other. Held are the entries of B that the component has taken, and the candidates of one entry."""
+    names = [*(x.split()[0] for x in _PAIR.split(", ")), "live"]
+    component, entry, taken, own = None, None, set(), []
+
+    def decided() -> list[tuple]:
+        free = [row for row in own if row[3] not in taken]
+        if len(free) == 1:
+            taken.add(free[0][3])
+        return [(*row, len(free)) for row in free]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_KINDS)], names=names)
+
+    out: list[tuple] = []
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in (*names[:-1], "component")]
+        for *row, of in zip(*columns, strict=True):
+            if (of, row[1]) != (component, entry):
+                out += decided()
+                own = []
+                if of != component:
+                    taken = set()
+                component, entry = of, row[1]
+            own.append(tuple(row))
+        if out:
+            yield batch_of(out)
+            out = []
+    out = decided()
+    if out:
+        yield batch_of(out)
+
+
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.int64()]
+
+
+def decide(pairs: DataFrame) -> DataFrame:
+    """The candidates of each entry of A at its turn, with their number `live`, as if entries of A came one after the other and took a sole candidate away."""
+    return settle(pairs, _one_round, [F.col("a_row_index"), F.col("a_id")], _in_order, f"{_PAIR}, live long")
 
 
 def _scored(decided: DataFrame) -> DataFrame:
@@ -56,7 +98,7 @@ def _scored(decided: DataFrame) -> DataFrame:
 
 def amount_date_groups(a: DataFrame, b: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
     """The match groups of pass 2, and the candidates of entries that have several (in ascending amount, then order of B), which stay unmatched."""
-    scored = _scored(decide(candidates(a, b, config)))
+    scored = materialize(_scored(decide(candidates(a, b, config))), "amount-date")  # groups and candidates are read one after the other
     groups = scored.where("live = 1").select(
         "book", "a_id", "b_id", F.lit("amount_date").alias("match_type"), "confidence", "match_reason", "amount_difference", "date_difference",
         F.lit(0.0).alias("description_similarity"), F.lit(2).alias("pass_number"),

@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Scratch folders made for sessions that name none (tests), by application.
+#: Scratch folders made for local sessions that name none (tests), by application.
 _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder of a local session. A cluster's executors have no folder in common, so there it has to be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
     return _OWN[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df and read it back, which cuts its lineage; the files go when the application ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the scratch folder; what is written there goes when the application ends."""
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df and read it back, which cuts its lineage; the files go when the application ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,11 @@
 """Ledgers from CSV files whose columns, number locale and date format are found out.
 
-A file is one record of work (files have at most MOST_BYTES); many files are read at once. Splitting a file into cells, and finding its header among its first rows, is
-done where the file is read; everything else, typed values above all, is column expressions over all rows of all files.
+A file is one record of work (files have at most files.MOST_BYTES; larger ones are refused, as are empty ones and those of other kinds); many files are read at once. Splitting a
+file into cells, and finding its header among its first rows, is done where the file is read, once; everything else, typed values above all, is column expressions over all rows
+of all files.
+
+A side's rows are numbered through all of its files, in order of their paths, so row numbers and ids are unique however many files and books a side has. Two calls for one party
+number their rows alike: read all files of a side by one call.
 """
 
 from __future__ import annotations
@@ -11,14 +15,15 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import detect_number_format, format_votes, parse_amount
 from ledgerloom.functions.dates import detect_date_formats, parse_date
 from ledgerloom.schema import LEDGER
+from ledgerloom.scratch import materialize
+from ledgerloom.sources import files
 
-MOST_BYTES = 50 * 1024 * 1024
 #: Words that name a column's role, in the order in which roles are tried.
 HEADER_WORDS = {
     "date": ["date", "day", "txn date", "transaction date", "value date", "posting date"],
@@ -79,8 +84,13 @@ def split_cells(text: str) -> list[list[str]]:
     return [r for r in csv.reader(io.StringIO(text), delimiter=mark) if r and r != [""]]
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each data row of each file, its cells by role. Files of one row, or too large or empty, give none."""
+def read_cells(spark: SparkSession, path: str, bad: str = "refuse") -> DataFrame:
+    """One row for each data row of each file, its cells by role, and a row numbered -1 for a file of fewer than two rows. It is written, as what follows reads it several times.
+
+    bad: "refuse" raises if a file is too large, empty or no CSV file; "skip" leaves such files out (files.inspect names them).
+    """
+    if bad == "refuse":
+        files.refuse_bad(spark, path, "csv")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _CELLS.split(", ")]
@@ -88,6 +98,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 rows = split_cells(bytes(content).decode("utf-8", "replace"))
                 if len(rows) < 2:
+                    yield pd.DataFrame([(file, -1, "", "single", False, *("" for _ in ROLES))], columns=names)
                     continue
                 at, first = columns_of(rows)
                 style = "separate" if "debit" in at and "credit" in at else "single"
@@ -98,8 +109,21 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
                         [(file, i, " | ".join(r), style, first > 0, *(cell(r, role) for role in ROLES)) for i, r in enumerate(data[start : start + 20_000], start)], columns=names
                     )
 
-    files = spark.read.format("binaryFile").load(path).where((F.col("length") > 0) & (F.col("length") <= MOST_BYTES))
-    return files.select("path", "content").mapInPandas(cut, _CELLS)
+    readable = spark.read.format("binaryFile").load(path).where((F.col("length") > 0) & (F.col("length") <= files.MOST_BYTES) & (files.kind_of(F.col("path")) == "csv"))
+    return materialize(readable.select("path", "content").mapInPandas(cut, _CELLS), "csv-cells")
+
+
+def _formats(cells: DataFrame) -> DataFrame:
+    """(path, number_format, date_format, unclear, start): what each file's first data rows say, and how many rows the files before it have. One row a file."""
+    first = cells.where((F.col("row_index") >= 0) & (F.col("row_index") < SAMPLE_ROWS))
+    kinds = [F.when(F.col(f"c_{r}") != "", F.col(f"c_{r}")) for r in ("debit", "credit", "amount", "balance")]
+    numbers = first.select("path", F.explode(F.array(*kinds)).alias("s")).where("s IS NOT NULL").select("path", format_votes(F.col("s")).alias("v"))
+    number = numbers.groupBy("path").agg(detect_number_format(F.col("v"))["config"].alias("number_format"))
+    dates = detect_date_formats(first.where("c_date <> ''").select("path", F.col("row_index").alias("pos"), F.col("c_date").alias("sample")), ["path"])
+    sizes = cells.groupBy("path").agg((F.max("row_index") + 1).alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = sizes.withColumn("start", start).drop("n")
+    return numbered.join(number, "path", "left").join(dates, "path", "left").na.fill({"number_format": "US", "date_format": "DD/MM/YYYY", "unclear": False})
 
 
 def parse_cells(cells: DataFrame, party: str, book: str = "0", lone_side: bool = True) -> DataFrame:
@@ -107,12 +131,7 @@ def parse_cells(cells: DataFrame, party: str, book: str = "0", lone_side: bool =
 
     book: a SQL expression over `path`. lone_side: a file with a debit or credit column but not both still has its amounts (False: they are lost).
     """
-    first = cells.where(F.col("row_index") < SAMPLE_ROWS)
-    kinds = [F.when(F.col(f"c_{r}") != "", F.col(f"c_{r}")) for r in ("debit", "credit", "amount", "balance")]
-    numbers = first.select("path", F.explode(F.array(*kinds)).alias("s")).where("s IS NOT NULL").select("path", format_votes(F.col("s")).alias("v"))
-    number = numbers.groupBy("path").agg(detect_number_format(F.col("v"))["config"].alias("number_format"))
-    dates = detect_date_formats(first.where("c_date <> ''").select("path", F.col("row_index").alias("pos"), F.col("c_date").alias("sample")), ["path"])
-    known = cells.join(number, "path", "left").join(dates, "path", "left").na.fill({"number_format": "US", "date_format": "DD/MM/YYYY"})
+    known = cells.where("row_index >= 0").join(_formats(cells).drop("unclear"), "path").withColumn("row_index", F.col("start") + F.col("row_index"))
     amount = lambda r: parse_amount(F.col(f"c_{r}"), F.col("number_format"))["value"]
     read = known.select(
         "path", "row_index", "raw", "style", parse_date(F.col("c_date"), F.col("date_format"))["date"].alias("date"), F.col("c_description").alias("description"),
@@ -133,9 +152,16 @@ def parse_cells(cells: DataFrame, party: str, book: str = "0", lone_side: bool =
     return entries.select(*[F.col(f.name).cast(f.dataType) for f in LEDGER.fields])
 
 
-def read_ledger(spark: SparkSession, path: str, party: str, book: str = "0", lone_side: bool = True) -> DataFrame:
-    """The entries of all CSV files of a path."""
-    return parse_cells(read_cells(spark, path), party, book, lone_side)
+def read_ledger(spark: SparkSession, path: str, party: str, book: str = "0", lone_side: bool = True, bad: str = "refuse") -> DataFrame:
+    """The entries of all CSV files of a path. Files that cannot be read raise, or with bad="skip" are left out."""
+    return parse_cells(read_cells(spark, path, bad), party, book, lone_side)
+
+
+def warnings(cells: DataFrame) -> DataFrame:
+    """(path, warning): files of fewer than two rows, and those whose dates may be read in two ways."""
+    short = cells.where("row_index < 0").select("path", F.lit("CSV has fewer than 2 rows").alias("warning"))
+    unclear = _formats(cells).where("unclear").select("path", F.format_string("Date format is ambiguous (DD/MM vs MM/DD). Using %s. You can override this in settings.", "date_format").alias("warning"))
+    return short.unionByName(unclear)
 
 
 def ledger_summary(entries: DataFrame) -> DataFrame:

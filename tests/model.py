@@ -1,6 +1,6 @@
 """The passes as plain loops over small ledgers, to hold the Spark plans against."""
 
-from ledgerloom.operators.split import subset_sum
+from itertools import combinations
 
 
 def norm(ref, case=False):
@@ -50,6 +50,28 @@ def amount_date(a, b, cfg):
     return out, several
 
 
+def subset(target, amounts, tolerance, most):
+    """The first of the best sums, by listing all of them.
+
+    Sets are tried in lexicographic order of their indexes; one that has a set within tolerance as its beginning is not tried, and nothing is after one within a cent.
+    """
+    tried = sorted(c for n in range(2, most + 1) for c in combinations(range(len(amounts)), n))
+    best, off, ended = None, float("inf"), []
+    for c in tried:
+        rests = [target]
+        for i in c:
+            rests.append(rests[-1] - amounts[i])
+        if any(c[: len(e)] == e for e in ended) or any(amounts[i] > r + tolerance for i, r in zip(c, rests)):
+            continue
+        if abs(rests[-1]) <= tolerance:
+            ended.append(c)
+            if abs(rests[-1]) < off:
+                best, off = list(c), abs(rests[-1])
+                if off < 0.01:
+                    break
+    return best
+
+
 def splits(a, b, cfg):
     out, used = [], set()
 
@@ -58,11 +80,11 @@ def splits(a, b, cfg):
             if e["id"] in used or e["amount_abs"] < 1:
                 continue
             c = [o for o in multi if o["id"] not in used and o["amount_abs"] <= e["amount_abs"] + cfg.amount_tolerance_fixed and days(e["date"], o["date"]) <= cfg.date_tolerance_days]
-            c = sorted(c, key=lambda o: -o["amount_abs"])[:20]
+            c = sorted(c, key=lambda o: -o["amount_abs"])[: cfg.split_pool]
             if len(c) < 2:
                 continue
             tol = max(cfg.amount_tolerance_fixed, e["amount_abs"] * cfg.amount_tolerance_percent)
-            found = subset_sum(e["amount_abs"], [o["amount_abs"] for o in c], tol, cfg.split_max_entries, 10**6)
+            found = subset(e["amount_abs"], [o["amount_abs"] for o in c], tol, cfg.split_max_entries)
             if found:
                 ids = [c[i]["id"] for i in found]
                 used.update([e["id"], *ids])

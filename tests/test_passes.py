@@ -73,8 +73,11 @@ def test_splits_are_the_loop_in_each_book(spark):
     assert got == {(tuple(x), tuple(y)) for x, y in model.splits(a, b, cfg)}
 
 
-@pytest.mark.parametrize("undated", [False, True])
-def test_splits_by_component(spark, undated):
+@pytest.mark.parametrize(("undated", "turn"), [(False, 5000), (True, 7)])
+def test_splits_of_dense_ledgers(spark, monkeypatch, undated, turn):
+    """Targets that see one another's parts, in one turn or in many; and lists that run out."""
+    monkeypatch.setattr(split, "TURN", turn)
+    monkeypatch.setattr(split, "SPARE", 2)
     rng = random.Random(12)
     a, b = ledger(rng, "A", 60), ledger(rng, "B", 120)
     for r in a + b:
@@ -82,17 +85,20 @@ def test_splits_by_component(spark, undated):
         r["date"] = None if undated and rng.random() < 0.1 else datetime.date(2024, 1, 1) + datetime.timedelta(days=20 * rng.randrange(6) + rng.randrange(4))
     for r in a[:5]:
         r["amount_abs"] = r["amount"] = 10_000.0  # more than any five entries
+    for r in [*a[6:20], *b[:60]]:  # many equal amounts of one day
+        r["date"], r["amount_abs"] = datetime.date(2024, 1, 2), rng.choice([1.0, 2.0, 3.0, 5.0])
     a[5]["date"] = datetime.date(2030, 1, 1)
-    cfg = MatchConfig()
-    fa, fb = frames(spark, a, b)
-    targets, parts = split.components(*split.possible(split._entries(fa), split._entries(fb), cfg), cfg)
-    assert targets.where("amount_abs > 9000").count() == 0
-    assert targets.select("component").distinct().count() == parts.select("component").distinct().count() == (1 if undated else 6)
-    got = {(tuple(r.entries_a), tuple(r.entries_b)) for r in split.splits(fa, fb, cfg).collect()}
-    assert got == {(tuple(x), tuple(y)) for x, y in model.splits(a, b, cfg)} and len(got) > 20
+    cfg = MatchConfig(split_pool=10, split_max_entries=4)
+    got = {(tuple(r.entries_a), tuple(r.entries_b)) for r in split.splits(*frames(spark, a, b), cfg).collect()}
+    assert got == {(tuple(x), tuple(y)) for x, y in model.splits(a, b, cfg)} and len(got) > 8
 
 
 def test_subset_sum():
+    rng = random.Random(4)
+    for _ in range(300):
+        amounts = sorted((rng.choice([0.0, 0.03, 1.0, 2.5, 4.0, 9.99]) + rng.randrange(300) / 100 for _ in range(rng.randrange(0, 9))), reverse=True)
+        target, tolerance, most = rng.randrange(100, 1500) / 100, rng.choice([0.0, 0.05, 0.5]), rng.randrange(2, 6)
+        assert split.subset_sum(target, amounts, tolerance, most, 10**6) == model.subset(target, amounts, tolerance, most), (target, amounts, tolerance, most)
     assert split.subset_sum(10.0, [7.0, 6.0, 4.0, 3.0], 0.05, 5, 10**6) == [0, 3]
     assert split.subset_sum(10.0, [9.0, 5.0], 0.05, 5, 10**6) is None
     assert split.subset_sum(5.0, [5.0, 0.0], 0.05, 5, 10**6) == [0, 1]

@@ -11,17 +11,20 @@ from ledgerloom.functions import amounts, dates, scoring
 from ledgerloom.functions import text as X
 from ledgerloom.operators import exact, fuzzy, residue, split, tolerance
 from ledgerloom.plans import engine, report
-from ledgerloom.scratch import materialize, scratch_dir
+from ledgerloom.scratch import materialize, scratch_path
 from ledgerloom.sources import csv_ledger, lines, results
 
 _A, _B = ledger_sql("A", False), ledger_sql("B", False)
 _REF = "lower(regexp_replace(coalesce(ref_number, ''), '[^a-zA-Z0-9]', '', 'g'))"
-_LEDGERS = f"a AS ({_A}), b AS ({_B})"
+_LEDGERS = f"a AS MATERIALIZED ({_A}), b AS MATERIALIZED ({_B})"
 _KEYED = f"""{_LEDGERS},
 x AS (SELECT *, row_number() OVER (PARTITION BY date, abs(amount_cents), {_REF} ORDER BY row_index) AS n, {_REF} AS k FROM a WHERE date IS NOT NULL),
 y AS (SELECT *, row_number() OVER (PARTITION BY date, abs(amount_cents), {_REF} ORDER BY row_index) AS n, {_REF} AS k FROM b WHERE date IS NOT NULL),
-exact AS (SELECT x.id AS a_id, y.id AS b_id, x.amount_abs, x.ref_number FROM x JOIN y ON x.date = y.date AND abs(x.amount_cents) = abs(y.amount_cents) AND x.k = y.k AND x.n = y.n),
-left_a AS (SELECT * FROM a WHERE id NOT IN (SELECT a_id FROM exact)), left_b AS (SELECT * FROM b WHERE id NOT IN (SELECT b_id FROM exact))"""
+exact AS MATERIALIZED (SELECT x.id AS a_id, y.id AS b_id, x.amount_abs, x.ref_number FROM x JOIN y ON x.date = y.date AND abs(x.amount_cents) = abs(y.amount_cents) AND x.k = y.k AND x.n = y.n),
+left_a AS MATERIALIZED (SELECT * FROM a ANTI JOIN exact ON a.id = exact.a_id), left_b AS MATERIALIZED (SELECT * FROM b ANTI JOIN exact ON b.id = exact.b_id)"""
+#: Matching amounts are at most one step apart on this scale, linear up to 50 and logarithmic beyond.
+_STEP = "CAST(floor(CASE WHEN amount_abs < 50 THEN amount_abs / 0.055 ELSE 50 / 0.055 + ln(amount_abs / 50) / 0.0011 END) AS BIGINT)"
+_BUCKETS = f"step_a AS MATERIALIZED (SELECT *, {_STEP} AS step FROM left_a), step_b AS MATERIALIZED (SELECT *, unnest([{_STEP} - 1, {_STEP}, {_STEP} + 1]) AS step FROM left_b)"
 _GRAMS = """list_distinct(CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) < 3 THEN [{0}] ELSE list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)) END)"""
 _FLAT = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', '{1}', 'g'), '\\s+', ' ', 'g'))"
 _TOKENS = "list_filter(string_split(" + _FLAT.format("{0}", " ") + ", ' '), lambda t: t <> '')"
@@ -150,7 +153,7 @@ def field_differences(spark, sf_dir):
 
 def result_documents(spark, sf_dir):
     """Groups by type after writing the result as JSON and reading it back."""
-    path = f"{scratch_dir(spark)}/documents-{spark.sparkContext.applicationId}"
+    path = scratch_path(spark, "documents")
     results.write_documents(_first_and_last(spark, sf_dir), path)
     return results.read_documents(spark, path).groupBy("match_type").agg(F.count("*").alias("n_groups"), F.sum(F.size("entries_a")).alias("n_a"), F.sum(F.size("entries_b")).alias("n_b"))
 
@@ -174,7 +177,7 @@ def number_formats(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     kind = F.when(F.col("o_orderkey") % 3 == 0, "US").when(F.col("o_orderkey") % 3 == 1, "EU").otherwise("IN")
     text = F.when(kind == "US", amounts.format_amount(F.col("o_totalprice"))).when(kind == "EU", amounts.format_amount(F.col("o_totalprice"), "EU", "€", False)).otherwise(amounts.format_amount(F.col("o_totalprice"), "IN", "₹"))
-    votes = orders.where("o_totalprice >= 100000").select(kind.alias("written"), amounts.format_votes(text).alias("v"))
+    votes = orders.select(kind.alias("written"), amounts.let(text, amounts.format_votes).alias("v"))  # the text is worked out once
     found = votes.groupBy("written").agg(amounts.detect_number_format(F.col("v")).alias("d"))
     return found.select("written", "d.format", "d.samples")
 
@@ -189,13 +192,13 @@ def date_texts(spark, sf_dir):
 
 
 def csv_ledger_entries(spark, sf_dir):
-    """Ledger A written as CSV files and read back with inferred columns, amounts and dates."""
-    path = f"{scratch_dir(spark)}/csv-{spark.sparkContext.applicationId}"
-    a = ledgers(spark, sf_dir)[0]
+    """Ledger A written as CSV files, in order of its rows, and read back with inferred columns, amounts and dates; row numbers run through all files."""
+    path = scratch_path(spark, "csv")
+    a = ledgers(spark, sf_dir)[0].orderBy("row_index")
     shown = a.select(F.date_format("date", "dd/MM/yyyy").alias("Txn Date"), F.col("description").alias("Narration"), F.col("ref_number").alias("Cheque No"), amounts.format_amount(F.abs("amount"), symbol="").alias("Withdrawal"), F.lit("").alias("Deposit"))
     shown.write.mode("overwrite").option("header", True).option("quoteAll", True).option("maxRecordsPerFile", 5000).csv(path)
     read = csv_ledger.read_ledger(spark, f"{path}/*.csv", "A")
-    return read.select("date", "description", "ref_number", "amount_cents")
+    return read.select("id", "row_index", "date", "description", "ref_number", "amount_cents")
 
 
 def ledger_summary(spark, sf_dir):
@@ -263,14 +266,35 @@ def merged_lines(spark, sf_dir):
 _SUMMED = f"""{_KEYED},
 key_a AS (SELECT *, concat_ws('|', coalesce(CAST(date AS VARCHAR), ''), CAST(amount_cents AS VARCHAR), substr(trim(lower(description)), 1, 50), coalesce(ref_number, '')) AS key FROM left_a),
 key_b AS (SELECT *, concat_ws('|', coalesce(CAST(date AS VARCHAR), ''), CAST(amount_cents AS VARCHAR), substr(trim(lower(description)), 1, 50), coalesce(ref_number, '')) AS key FROM left_b),
-of_a AS (SELECT *, count(*) OVER (PARTITION BY key) AS many FROM key_a), of_b AS (SELECT *, count(*) OVER (PARTITION BY key) AS many FROM key_b),
+of_a AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY key) AS many FROM key_a), of_b AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY key) AS many FROM key_b),
 groups AS (
   SELECT 'exact' AS match_type, 100 AS confidence, 1 AS pass FROM exact UNION ALL SELECT 'unmatched_a', 0, 5 FROM of_a WHERE many = 1 UNION ALL SELECT 'unmatched_b', 0, 5 FROM of_b WHERE many = 1
   UNION ALL SELECT 'duplicate', 0, 5 FROM (SELECT DISTINCT key FROM of_a WHERE many > 1) UNION ALL SELECT 'duplicate', 0, 5 FROM (SELECT DISTINCT key FROM of_b WHERE many > 1)
 )"""
 _NEAR = "abs(x.amount_abs - y.amount_abs) <= greatest(x.amount_abs, y.amount_abs) * 0.001 OR abs(x.amount_abs - y.amount_abs) <= 0.05"
 _CENTS = "CAST(floor({0} * 100 + 0.5) AS BIGINT)"
+_CAND = f"""{_KEYED}, {_BUCKETS},
+pair AS MATERIALIZED (
+  SELECT x.id AS a_id, y.id AS b_id, x.row_index AS a_row, y.row_index AS b_row, x.amount_abs AS a_amount, y.amount_abs AS b_amount, abs(x.amount_abs - y.amount_abs) AS diff, CAST(coalesce(abs(x.date - y.date), -1) AS INT) AS days,
+    x.ref_number IS NOT NULL AND y.ref_number IS NOT NULL AND lower(x.ref_number) = lower(y.ref_number) AS ref
+  FROM step_a x JOIN step_b y ON x.step = y.step AND ({_NEAR}) AND y.amount_abs <= x.amount_abs + greatest(x.amount_abs * 0.001, 0.05) AND coalesce(abs(x.date - y.date), -1) <= 3
+)"""
 _MONEY = "concat(CAST(" + _CENTS + " // 100 AS VARCHAR), '.', lpad(CAST(" + _CENTS + " % 100 AS VARCHAR), 2, '0'))"
+#: Entries of A in order; each takes the sole candidate that those before it have left.
+_TURNS = f"""{_CAND},
+folded AS MATERIALIZED (
+  SELECT list_reduce(list({{'a': a_row, 'c': c}} ORDER BY a_row), lambda s, e: CASE WHEN len(list_filter(e.c, lambda y: NOT list_contains(s.c, y))) = 1
+    THEN {{'a': e.a, 'c': list_append(s.c, list_filter(e.c, lambda y: NOT list_contains(s.c, y))[1]), 'p': list_append(s.p, e.a)}} ELSE s END, {{'a': CAST(0 AS BIGINT), 'c': CAST([] AS BIGINT[]), 'p': CAST([] AS BIGINT[])}}) AS f
+  FROM (SELECT a_row, list(b_row) AS c FROM pair GROUP BY a_row)
+),
+taken AS MATERIALIZED (SELECT unnest(f.p) AS by_row, unnest(f.c) AS b_row FROM folded),
+live AS MATERIALIZED (SELECT p.*, t.by_row IS NOT NULL AND t.by_row = p.a_row AS chosen FROM pair p LEFT JOIN taken t USING (b_row) WHERE t.by_row IS NULL OR t.by_row >= p.a_row),
+scored AS (
+  SELECT *, greatest(a_amount, b_amount) AS base, CAST(floor(greatest(0.0, least(100.0, 95 - CASE WHEN days > 0 THEN days * 3 ELSE 0 END - CASE WHEN diff >= 0.01 AND greatest(a_amount, b_amount) > 0 THEN diff / greatest(a_amount, b_amount) * 100 ELSE 0.0 END + CASE WHEN ref THEN 5 ELSE 0 END)) + 0.5) AS INT) AS confidence,
+    concat('Amount + Date match: ', CASE WHEN diff < 0.01 THEN concat('amount identical ($', {_MONEY.format("greatest(a_amount, b_amount)")}, ')') ELSE concat('amount within tolerance (±$', {_MONEY.format("diff")}, ')') END,
+      CASE WHEN days = 0 THEN ', same date' WHEN days = 1 THEN ', 1 day apart' WHEN days > 1 THEN concat(', ', days, ' days apart') ELSE ', date not compared' END, CASE WHEN ref THEN ', reference number matches' ELSE '' END) AS match_reason
+  FROM live
+)"""
 _PARTS = "pair AS (SELECT p.p_partkey, p.p_name || ' ' || p.p_type AS p, q.p_name || ' ' || q.p_type AS q FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1)"
 _LINES = "line AS (SELECT doc, i - 1 AS line_index, (i - 1) // 3 + 1 AS page, l[i] AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS doc, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 
@@ -313,10 +337,13 @@ QUERIES = {
 }
 ORACLES = {
     "exact_matches": f"WITH {_KEYED} SELECT a_id, b_id, 100 AS confidence, 'Exact match: date identical, amount identical ($' || {_MONEY.format('amount_abs')} || ')' || CASE WHEN ref_number IS NULL THEN '' ELSE ', reference number identical' END AS match_reason FROM exact",
-    "amount_date_candidates": f"WITH {_KEYED} SELECT x.id AS a_id, y.id AS b_id, round(abs(x.amount_abs - y.amount_abs), 2) AS diff, CAST(coalesce(abs(x.date - y.date), -1) AS INT) AS days, x.ref_number IS NOT NULL AND y.ref_number IS NOT NULL AND lower(x.ref_number) = lower(y.ref_number) AS ref FROM left_a x, left_b y WHERE ({_NEAR}) AND y.amount_abs <= x.amount_abs + greatest(x.amount_abs * 0.001, 0.05) AND coalesce(abs(x.date - y.date), -1) <= 3",
-    "trigram_pairs": f"""WITH {_KEYED},
-      ga AS (SELECT *, {_GRAMS.format(_FLAT.format('description', ''))} AS g FROM left_a), gb AS (SELECT *, {_GRAMS.format(_FLAT.format('description', ''))} AS g FROM left_b),
-      near AS (SELECT x.id AS a_id, y.id AS b_id, x.description AS p, y.description AS q, x.g AS g, y.g AS h, CAST(len(list_intersect(x.g, y.g)) AS BIGINT) AS shared FROM ga x, gb y WHERE {_NEAR}),
+    "amount_date_candidates": f"WITH {_CAND} SELECT a_id, b_id, round(diff, 2) AS diff, days, ref FROM pair",
+    "amount_date_matches": f"WITH {_TURNS} SELECT a_id, b_id, confidence, match_reason FROM scored WHERE chosen",
+    "ambiguous_candidates": f"""WITH {_TURNS}, several AS (SELECT *, count(*) OVER (PARTITION BY a_row) AS many FROM scored WHERE a_row NOT IN (SELECT by_row FROM taken))
+      SELECT CAST(0 AS BIGINT) AS book, a_id AS entry_id, CAST(row_number() OVER (PARTITION BY a_row ORDER BY b_amount, b_row) - 1 AS INT) AS cand_pos, b_id AS cand_id, confidence, match_reason, diff AS amount_difference, days AS date_difference FROM several WHERE many > 1""",
+    "trigram_pairs": f"""WITH {_KEYED}, {_BUCKETS},
+      ga AS (SELECT *, {_GRAMS.format(_FLAT.format('description', ''))} AS g FROM step_a), gb AS (SELECT *, {_GRAMS.format(_FLAT.format('description', ''))} AS g FROM step_b),
+      near AS (SELECT x.id AS a_id, y.id AS b_id, x.description AS p, y.description AS q, x.g AS g, y.g AS h, CAST(len(list_intersect(x.g, y.g)) AS BIGINT) AS shared FROM ga x JOIN gb y ON x.step = y.step AND ({_NEAR})),
       words AS (SELECT *, {_TOKENS.format('p')} AS u, {_TOKENS.format('q')} AS v FROM near WHERE shared >= 2),
       sorted AS (SELECT *, array_to_string(list_sort(u), ' ') AS su, array_to_string(list_sort(v), ' ') AS sv FROM words)
       SELECT a_id, b_id, shared, round(shared / CAST(len(g) + len(h) - shared AS DOUBLE), 6) AS trigram, round({_LEV.format('su', 'sv')}, 6) AS token_sort,
@@ -351,9 +378,9 @@ ORACLES = {
       SELECT 'exact' AS match_type, count(*) AS n_groups FROM m HAVING count(*) > 0 UNION ALL SELECT 'unmatched_a', count(*) FROM l WHERE s = 0 AND many = 1 HAVING count(*) > 0 UNION ALL SELECT 'unmatched_b', count(*) FROM l WHERE s = 1 AND many = 1 HAVING count(*) > 0
       UNION ALL SELECT 'duplicate', count(*) FROM (SELECT DISTINCT s, date, c, lower(d)[1:50] FROM l WHERE many > 1) HAVING count(*) > 0""",
     "amount_texts": f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 2, 4) THEN -1 ELSE 1 END * {_CENTS.format('o_totalprice')} AS cents, o_orderkey % 6 IN (1, 2, 4) AS is_negative, o_orderkey % 6 = 5 AS is_credit FROM orders",
-    "number_formats": "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'EU' ELSE 'IN' END AS written, CASE o_orderkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'EU' ELSE 'AMBIGUOUS' END AS format, count(*) AS samples FROM orders WHERE o_totalprice >= 100000 GROUP BY 1, 2",
+    "number_formats": "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'EU' ELSE 'IN' END AS written, CASE o_orderkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'EU' ELSE 'AMBIGUOUS' END AS format, count(*) AS samples FROM orders GROUP BY 1, 2",
     "date_texts": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders",
-    "csv_ledger_entries": f"WITH {_LEDGERS} SELECT date, description, ref_number, amount_cents FROM a",
+    "csv_ledger_entries": f"WITH {_LEDGERS} SELECT concat('A:', CAST(r AS VARCHAR)) AS id, r AS row_index, date, description, ref_number, amount_cents FROM (SELECT *, row_number() OVER (ORDER BY row_index) - 1 AS r FROM a)",
     "ledger_summary": f"WITH {_LEDGERS}, u AS (SELECT 'A' AS party, * FROM a UNION ALL SELECT 'B', * FROM b) SELECT party, count(*) AS total_rows, count(date) AS valid_rows, count(*) - count(date) AS skipped_rows, CAST(coalesce(sum(-amount_cents) FILTER (amount_cents < 0), 0) AS BIGINT) AS debit_cents, CAST(coalesce(sum(amount_cents) FILTER (amount_cents >= 0), 0) AS BIGINT) AS credit_cents, min(date) AS earliest, max(date) AS latest FROM u GROUP BY party",
     "polarity": f"WITH {_LEDGERS}, few AS (SELECT * FROM a ORDER BY row_index LIMIT 20), n AS (SELECT count(*) FILTER (sign(few.amount) = sign(b.amount)) AS same, count(*) FILTER (sign(few.amount) <> sign(b.amount)) AS opposite FROM few JOIN b ON abs(b.amount_abs - few.amount_abs) < few.amount_abs * 0.01 WHERE few.amount_abs >= 0.01) SELECT CASE WHEN opposite > 2 * same THEN 'opposite_sign' WHEN same > 2 * opposite THEN 'same_sign' ELSE 'absolute' END AS polarity FROM n",
     "text_similarities": f"""WITH {_PARTS}, w AS (SELECT *, {_TOKENS.format('p')} AS u, {_TOKENS.format('q')} AS v, {_GRAMS.format(_FLAT.format('p', ''))} AS g, {_GRAMS.format(_FLAT.format('q', ''))} AS h, lower(p) AS lp, lower(q) AS lq FROM pair),

@@ -35,6 +35,8 @@ def settle(pairs: DataFrame, one_round: Callable[[DataFrame], tuple[DataFrame, C
             found = materialize(found, "decided")
             done.append(found)
             live = materialize(rest(found), "live")
+            if live.isEmpty():
+                break
         many = live.count()
         if many == 0:
             break

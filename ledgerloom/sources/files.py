@@ -18,8 +18,12 @@ def kind_of(path: Column) -> Column:
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, kind, problem) of all files of a path, from their listing alone; problem is null where a file can be read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length").withColumn("kind", kind_of(F.col("path")))
+    """(path, length, kind, problem) of all files of a path, from their listing alone; problem is null where a file can be read. Spark's scan passes empty files over, its listing does not."""
+    held = spark.read.format("binaryFile").load(path)
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/*(?=/)", "$1:")
+    listed = spark.createDataFrame([(x,) for x in held.inputFiles()], "path string").select(plain(F.col("path")).alias("path"))
+    sized = held.select(plain(F.col("_metadata.file_path")).alias("path"), "length")
+    files = listed.join(sized, "path", "left").na.fill({"length": 0}).withColumn("kind", kind_of(F.col("path")))
     megabytes = F.format_number(F.col("length") / 1048576, 1)
     problem = (
         F.when(F.col("length") > MOST_BYTES, F.concat(F.lit("File too large ("), megabytes, F.lit(f" MB). Maximum is {MOST_BYTES >> 20}MB.")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -11,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Scratch folders made for sessions that name none (tests), by application.
-_OWN: dict[str, str] = {}
+from ledgerloom.scratch import materialize, scratch_path  # noqa: F401  the corpus operators take them from here
 
 #: Rows of an Arrow batch. Spark's 10000 documents would be held several times over, in the JVM and in Python.
 _ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
@@ -25,31 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return _OWN[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the scratch folder; what is written there goes when the application ends."""
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: its lineage is cut, and the loss of an executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(name: str, *taken: list[str]) -> str:
+    """name, with as many underscores before it as make it differ (whatever the case) from all columns that a table has."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
 
 
 #: What the operator that this Python worker runs keeps between batches.
@@ -68,18 +46,25 @@ def worker_state(owner: str, key: Any, make: Callable[[], Any]) -> Any:
     return _STATE["value"]
 
 
+def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """mapInArrow with batches of BATCH_ROWS rows, for every corpus operator alike. The session's setting is read when the plan runs, so it is set here unless the session has its own."""
+    settings = df.sparkSession.conf
+    if settings.get(_ROWS) == "10000":  # Spark's default
+        settings.set(_ROWS, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def append_columns(
     df: DataFrame, keep: list[str], new: T.StructType, fn: Callable[[pa.RecordBatch], list[pa.Array]]
 ) -> DataFrame:
     """Columns `keep` of df, and the columns `new` that fn makes of each Arrow batch (in slices of bounded bytes).
 
     fn sees every column of df by name, gives one array for each new field, and never sees more than SLICE_BYTES of data in
-    more than one row.
+    more than one row. A new column whose name a kept one has is refused.
     """
+    if twice := {k.lower() for k in keep} & {f.name.lower() for f in new.fields}:
+        raise ValueError(f"columns {sorted(twice)} are both kept and made: rename them first")
     schema = T.StructType([df.schema[k] for k in keep] + list(new.fields))
-    settings = df.sparkSession.conf
-    if settings.get(_ROWS) == "10000":  # Spark's own; a session's choice stays
-        settings.set(_ROWS, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +72,7 @@ def append_columns(
                 made = fn(part)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(k)) for k in keep] + made, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

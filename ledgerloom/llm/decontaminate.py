@@ -4,8 +4,8 @@ Normalising lower-cases A-Z and makes every ASCII byte other than a letter or di
 offset in the normalised text is the offset in the original.
 
 Defined results: a null text has no words; an item without words has no window; an item of fewer words than the window is one
-window; repeated items and repeated documents count each by itself (a repeated item_id counts once); a null item_id is named
-by nothing and leaves its windows out; an empty benchmark hits nothing. Other columns of either table are ignored unless named in `keep`.
+window; repeated items and repeated documents count each by itself (a repeated item_id counts once); the windows of an item without
+an id are hit like others, though nothing names the item; an empty benchmark hits nothing. Other columns of either table are ignored unless named in `keep`.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append_columns, table, utf8, worker_state
+from ledgerloom.llm.common import append_columns, free_name, map_batches, materialize, table, utf8, worker_state
 
 WINDOW = 10
 #: Windows in one automaton, which each Python worker holds. A larger benchmark is scanned by several, one after the other.
@@ -59,8 +59,8 @@ def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id",
             ]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["window", "item"])
 
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    return items.mapInArrow(cut, "window string, item string").distinct()
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    return map_batches(items, cut, "window string, item string").distinct()
 
 
 def _automaton(windows: list[tuple[str, list[str]]]) -> ahocorasick.Automaton:
@@ -89,7 +89,7 @@ def _scan(made: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[int], s
             ranges[-1] = max(ranges[-1], last)
         else:
             ranges += [first, last]
-        items.update(of)
+        items.update(x for x in of if x is not None)
     return ranges, items
 
 
@@ -102,18 +102,21 @@ def scan(
     item_col: str = "item_id",
     item_text_col: str = "text",
     most: int = AUTOMATON_WINDOWS,
+    prefix: str = "",
 ) -> DataFrame:
-    """Columns `keep` of docs with the hits of benchmark windows: counts, the items, and where they stand in the text (code points).
+    """Columns `keep` of docs with the hits of benchmark windows: counts, the items, and where they stand in the text (code points). prefix begins the names of these.
 
     One pass over the texts as long as the benchmark has at most `most` (window, item) pairs; else one for each such share of
     them, in which only the hits found so far are carried along. Nothing is shuffled but the benchmark's windows.
     """
     spark = docs.sparkSession
-    pairs = windows(benchmark, window, item_col, item_text_col)
+    pairs = materialize(windows(benchmark, window, item_col, item_text_col), "windows")
     shards = -(-max(1, pairs.count()) // most)
     sharded = pairs.withColumn("shard", F.pmod(F.xxhash64("window", "item"), F.lit(shards)))
-    out = docs.select(*[F.col(k) for k in dict.fromkeys(keep)], F.col(text_col).alias("_text"), F.lit(None).cast(_RANGES).alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
     carried = list(dict.fromkeys(keep))
+    found_names = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in _FOUND])
+    of_text, of_hits, of_items = (free_name(n, carried, found_names.names) for n in ("_text", "_hits", "_items"))
+    out = docs.select(*[F.col(f"`{k}`") for k in carried], F.col(f"`{text_col}`").alias(of_text), F.lit(None).cast(_RANGES).alias(of_hits), F.lit(None).cast("array<string>").alias(of_items))
     for shard in range(shards):
         held: dict[str, list[str]] = {}
         for row in sharded.where(F.col("shard") == shard).select("window", "item").toLocalIterator():
@@ -125,7 +128,7 @@ def scan(
             made = worker_state("decontaminate", shared.value, lambda: _automaton(shared.value))
             column = lambda k: batch.column(batch.schema.get_field_index(k))
             hits, items, rows = [], [], []
-            for text, before, known in zip(utf8(column("_text")), column("_hits").to_pylist(), column("_items").to_pylist(), strict=True):
+            for text, before, known in zip(utf8(column(of_text)), column(of_hits).to_pylist(), column(of_items).to_pylist(), strict=True):
                 words = normalise(text or b"")
                 ranges, of = _scan(made, words)
                 ranges, of = (before or []) + ranges, set(known or ()) | of
@@ -139,8 +142,8 @@ def scan(
             return [pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
 
         if last:
-            return append_columns(out, carried, _FOUND, found)
-        out = append_columns(out, [*carried, "_text"], T.StructType([T.StructField("_hits", _RANGES), T.StructField("_items", T.ArrayType(T.StringType()))]), found)
+            return append_columns(out, carried, found_names, found)
+        out = append_columns(out, [*carried, of_text], T.StructType([T.StructField(of_hits, _RANGES), T.StructField(of_items, T.ArrayType(T.StringType()))]), found)
     return out
 
 
@@ -173,7 +176,7 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""
-WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (
   SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS win
   FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - {WINDOW} + 1) + 1)) AS i FROM item WHERE len(w) > 0)
@@ -186,7 +189,7 @@ hit AS (
   WHERE i + size.n - 1 <= n_words AND win.n = size.n AND win.win = array_to_string(w[i:i + size.n - 1], ' ')
 ),
 word AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS of FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS of FROM (SELECT DISTINCT r, item FROM hit WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(of, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN word USING (r) LEFT JOIN items USING (r)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table, utf8
+from ledgerloom.llm.common import map_batches, table, utf8
 from ledgerloom.llm.hashing import mix, word_hashes
 
 SEGMENT = 16
@@ -80,8 +80,8 @@ def sketch(of: np.ndarray, digest: np.ndarray, docs: int, many: int) -> tuple[np
     return count.reshape(docs, many), keys.reshape(docs, many), checks.reshape(docs, many)
 
 
-def peel(count: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Recover what differences of sketches hold: (document, digest, sign) of each element, and whether each document came out whole."""
+def peel(count: np.ndarray, keys: np.ndarray, checks: np.ndarray, bits: np.uint64 = np.uint64(2**64 - 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Recover what differences of sketches hold: (document, digest, sign) of each element, and whether each document came out whole. bits: those that the checks have."""
     docs, many = count.shape
     count, keys, checks = count.ravel().copy(), keys.ravel().copy(), checks.ravel().copy()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -91,7 +91,7 @@ def peel(count: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.nd
         sign = count[one]
         key = np.where(sign > 0, keys[one], np.uint64(0) - keys[one])
         check = np.where(sign > 0, checks[one], np.uint64(0) - checks[one])
-        good = check == mix(key ^ np.uint64(0x5851F42D4C957F2D))
+        good = (check & bits) == (mix(key ^ np.uint64(0x5851F42D4C957F2D)) & bits)
         one, sign, key = one[good], sign[good], key[good]
         if not len(one):
             break
@@ -140,6 +140,20 @@ def likeness(differ: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - differ / np.maximum(a + b, 1)
 
 
+def difference(a: str, b: str) -> tuple[list[int], list[int], bool]:
+    """What two returned fingerprints say of their texts: (digests that only a has, those that only b has, whether that is all). Texts that differ in more digests than the cells can
+    peel give those that come out, and False; their likeness in the result rows comes from sketches of more cells."""
+
+    def read(fingerprint: str) -> tuple[np.ndarray, ...]:
+        raw = base64.b64decode(fingerprint.split(":")[1])
+        many = len(raw) // 16
+        return np.frombuffer(raw, "<i4", many).astype(np.int64), np.frombuffer(raw, "<u8", many, 4 * many), np.frombuffer(raw, "<u4", many, 12 * many)
+
+    count, keys, checks = (x - y for x, y in zip(read(a), read(b), strict=True))
+    _, found, sign, whole = peel(count[None], keys[None], checks.astype(np.uint64)[None], np.uint64(0xFFFFFFFF))
+    return sorted(found[sign > 0].tolist()), sorted(found[sign < 0].tolist()), bool(whole[0])
+
+
 _FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 
 
@@ -186,7 +200,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def _dealt(batch: pa.RecordBatch, at: np.ndarray, ids: np.ndarray, ahead: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), ahead)), pa.array(ids), batch.column(0), batch.column(1)], names=["range", "ahead", "k", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(deal, "range long, ahead boolean, k long, doc_id long, text string")
+    dealt = map_batches(rows, deal, "range long, ahead boolean, k long, doc_id long, text string")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, current = [], [], 0, None
@@ -211,7 +225,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         yield compare(ids, texts)
 
     spread = dealt.repartition("range").sortWithinPartitions("range", "ahead", "k", "text")
-    return spread.select("range", "ahead", "doc_id", "text").mapInArrow(stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_batches(spread.select("range", "ahead", "doc_id", "text"), stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Building: end tags that HTML lets authors leave out are implied, an end tag without its start is ignored, rows and cells outside a table are
 plain blocks, and what is left open ends with the page. Visibility: elements that are never shown, `hidden`, `display: none` and `visibility: hidden` in attributes or in simple
 rules (a tag, classes and ids of one element) of the page's own style sheets that hold for a screen of 1280 pixels, by weight, specificity and order. Layout: blocks begin lines, paragraphs and their like stand between blank lines, list items have
-bullets or numbers and are indented, table cells are padded to columns, preformatted text keeps its white space.
+bullets or numbers and are indented, table cells are padded to columns (a colspan counts up to 1000; one of more than four digits is no number), preformatted text keeps its white space.
 
 Nothing that is visible is dropped: menus, asides and footers are text like any other.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append_columns, table
+from ledgerloom.llm.common import append_columns, free_name, table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*+(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -376,7 +376,7 @@ def _rows(root: Element, rules, hidden: bool) -> list[str]:
                     shell.children = [holder]
                     shown = _write(shell, rules, flat=True)
                     wide = cell.attrs.get("colspan", "1")
-                    span = min(int(wide), 100) if wide.isdecimal() and cell.tag in _CELLS else 1
+                    span = min(int(wide), 1000) if re.fullmatch(r"[0-9]{1,4}", wide) and cell.tag in _CELLS else 1
                 cells.append((shown, max(1, span)))
             rows.append(cells)
         elif node.tag in _ROWS or node.tag in ("colgroup", "col"):
@@ -420,11 +420,13 @@ _RENDERED = T.StructType([T.StructField("text", T.StringType()), T.StructField("
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """Columns `keep` of pages with the visible text, its length and number of lines. No shuffle."""
 
+    name = free_name("_html", keep, _RENDERED.names)
+
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts = [render(h) for h in batch.column(batch.schema.get_field_index("_html")).to_pylist()]
+        texts = [render(h) for h in batch.column(batch.schema.get_field_index(name)).to_pylist()]
         return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())]
 
-    return append_columns(pages.select(*[F.col(k) for k in keep], F.col(html_col).alias("_html")), keep, _RENDERED, run)
+    return append_columns(pages.select(*[F.col(k) for k in keep], F.col(html_col).alias(name)), keep, _RENDERED, run)
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append_columns, slices, table, utf8, worker_state
+from ledgerloom.llm.common import append_columns, free_name, map_batches, slices, table, utf8, worker_state
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -177,7 +177,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary())], names=["lang", "piece"])
 
     most = 2 * sample_docs * SAMPLE_WINDOWS * len(counts)
-    rows = chosen.select("lang", "text").mapInArrow(windows, "lang string, piece binary").limit(most).collect()
+    rows = map_batches(chosen.select("lang", "text"), windows, "lang string, piece binary").limit(most).collect()
     samples = sorted((r[0], bytes(r[1])) for r in rows)
     return fit(samples) if samples else None
 
@@ -188,13 +188,14 @@ _PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructF
 def predict(docs: DataFrame, net: ByteNet | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns `keep` of docs with lang_pred and score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
+    name = free_name("_text", keep, _PREDICTED.names)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         net = shared.value
         tables = worker_state("language", net, net.tables) if net else ()
         langs, scores = [], []
         for part in slices(batch, 1 << 20):
-            texts = [t or b"" for t in utf8(part.column(part.schema.get_field_index("_text")))]
+            texts = [t or b"" for t in utf8(part.column(part.schema.get_field_index(name)))]
             some = [bool(net) and bool(_LETTER.search(t) or any(c.isalpha() for c in t.decode())) for t in texts]
             kept = [t for t, s in zip(texts, some, strict=True) if s]
             total = np.zeros((len(kept), len(net.languages) if net else 1))
@@ -210,7 +211,7 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: list[str], text_col: str
                 scores.append(float(min(1.0, row.max())) if s else 0.0)
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return append_columns(docs.select(*[F.col(k) for k in keep], F.col(text_col).alias("_text")), keep, _PREDICTED, run)
+    return append_columns(docs.select(*[F.col(k) for k in keep], F.col(text_col).alias(name)), keep, _PREDICTED, run)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

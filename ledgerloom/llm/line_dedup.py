@@ -55,31 +55,32 @@ def planted(pages: DataFrame, text: Column) -> DataFrame:
 
 
 def drop_boilerplate(
-    pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, host: Column | None = None, edges: bool = False
+    pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, host: Column | None = None, edges: bool = False, dropped: str = "_dropped"
 ) -> DataFrame:
-    """pages with their hosts' boilerplate lines, and with `edges` the lines planted at pages' edges, taken out of the text; all columns stay, in order, and `_dropped` counts the lines taken out."""
-    own = F.col(host_col) if host is None else host
-    found = boilerplate(pages, own, F.col(text_col), ratio, min_pages)
+    """pages with their hosts' boilerplate lines, and with `edges` the lines planted at pages' edges, taken out of the text; all columns stay, in order, and `dropped` counts the lines taken out."""
+    own = F.col(f"`{host_col}`") if host is None else host
+    # Columns go by number within, so that no name of theirs meets one used here.
+    numbered = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(pages.columns)], F.coalesce(own.cast("string"), F.lit("")).alias("host"), own.isNull().alias("no_host"))
+    text = f"c{pages.columns.index(text_col)}"
+    found = boilerplate(pages, own, F.col(f"`{text_col}`"), ratio, min_pages)
     few = found.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0] <= BROADCAST_LINES
-    found = found.select(F.col("host").alias("_host"), F.col("no_host").alias("_no_host"), F.col("codes").alias("_codes"))
-    named = pages.withColumn("_host", F.coalesce(own.cast("string"), F.lit(""))).withColumn("_no_host", own.isNull())
-    joined = named.join(F.broadcast(found) if few else found, ["_host", "_no_host"], "left")
-    lines = F.split(text_col, "\n")
-    of_host = lambda x: F.coalesce(F.array_contains(F.col("_codes"), _code(x)), F.lit(False))
+    joined = numbered.join(F.broadcast(found) if few else found, ["host", "no_host"], "left")
+    lines = F.split(text, "\n")
+    of_host = lambda x: F.coalesce(F.array_contains(F.col("codes"), _code(x)), F.lit(False))
     if edges:
-        joined = joined.crossJoin(F.broadcast(planted(pages, F.col(text_col)).withColumnRenamed("planted", "_planted")))
-        # Places of the lines that are not blank; lines up to `_first` and from `_last` on are at the edges.
+        joined = joined.crossJoin(F.broadcast(planted(pages, F.col(f"`{text_col}`"))))
+        # Places of the lines that are not blank; lines up to `first` and from `last` on are at the edges.
         full = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-        joined = joined.withColumn("_full", full).withColumn("_first", F.coalesce(F.get("_full", F.lit(EDGE - 1)), F.array_max("_full"))).withColumn("_last", F.coalesce(F.get("_full", F.size("_full") - EDGE), F.lit(0)))
-        kept = F.filter(lines, lambda x, i: (x == "") | ~(of_host(x) | ((i <= F.col("_first")) | (i >= F.col("_last"))) & F.array_contains("_planted", _code(x))))
-        some = F.col("_codes").isNotNull() | (F.size("_planted") > 0)
+        joined = joined.withColumn("full", full).withColumn("first", F.coalesce(F.get("full", F.lit(EDGE - 1)), F.array_max("full"))).withColumn("last", F.coalesce(F.get("full", F.size("full") - EDGE), F.lit(0)))
+        kept = F.filter(lines, lambda x, i: (x == "") | ~(of_host(x) | ((i <= F.col("first")) | (i >= F.col("last"))) & F.array_contains("planted", _code(x))))
+        some = F.col("codes").isNotNull() | (F.size("planted") > 0)
     else:
-        kept, some = F.filter(lines, lambda x: ~of_host(x) | (x == "")), F.col("_codes").isNotNull()
-    changed = joined.withColumn("_kept", F.when(some & F.col(text_col).isNotNull(), kept))
-    none_left = F.size(F.filter("_kept", lambda x: F.trim(x) != "")) == 0
-    new = F.when(F.col("_kept").isNull() | none_left, F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    gone = F.when(F.col("_kept").isNull() | none_left, F.lit(0)).otherwise(F.size(lines) - F.size("_kept"))
-    return changed.select(*[(new if c == text_col else F.col(c)).alias(c) for c in pages.columns], gone.alias("_dropped"))
+        kept, some = F.filter(lines, lambda x: ~of_host(x) | (x == "")), F.col("codes").isNotNull()
+    changed = joined.withColumn("kept", F.when(some & F.col(text).isNotNull(), kept))
+    none_left = F.size(F.filter("kept", lambda x: F.trim(x) != "")) == 0
+    new = F.when(F.col("kept").isNull() | none_left, F.col(text)).otherwise(F.array_join("kept", "\n"))
+    gone = F.when(F.col("kept").isNull() | none_left, F.lit(0)).otherwise(F.size(lines) - F.size("kept"))
+    return changed.select(*[(new if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(pages.columns)], gone.alias(dropped))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append_columns, materialize, slices, table, utf8
+from ledgerloom.llm.common import append_columns, map_batches, materialize, slices, table, utf8
 from ledgerloom.llm.hashing import mix, word_hashes
 
 SHINGLE = 5
@@ -175,7 +175,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     joined = flat.join(text("b"), ["b_id", "b_digest"]).join(text("a"), ["a_id", "a_digest"])
     extra = [T.StructField("linked", T.BooleanType()), T.StructField("common", T.LongType()), T.StructField("n", T.LongType()), T.StructField("outside", T.ArrayType(T.LongType()))]
     schema = T.StructType([*joined.select("a_id", "a_digest", "b_id", "b_digest").schema.fields, *extra])
-    done = joined.select("a_id", "a_digest", "a_text", "b_id", "b_digest", "b_text").mapInArrow(check, schema)
+    done = map_batches(joined.select("a_id", "a_digest", "a_text", "b_id", "b_digest", "b_text"), check, schema)
     node = lambda k: F.struct(F.col(f"{k}_id").alias("id"), F.col(f"{k}_digest").alias("digest")).alias(k)
     return done.select(node("a"), node("b"), "linked", "common", "n", "outside")
 

@@ -4,15 +4,16 @@ Texts are tokenised in Spark and cut into pieces. Only the histogram of piece le
 corpus) comes to the driver, where the packing is planned:
 
 * The covering program (least number of configurations that cover every length's demand) is solved by multiplicative
-  weights; each step adds the configuration that an unbounded knapsack dynamic program prices highest. Lengths count in classes of GRID tokens, rounded up.
-* Rounding: whole numbers of each configuration are filled with real lengths, longest first within a class; what is left goes, longest first, to the
-  fullest sequence that still holds it. Equal sequences are one run with a count, so the work depends on the number of lengths, not of documents.
-* A plan that needs more sequences than plain best fit decreasing on the same histogram is replaced by the latter.
+  weights; a pricing is one unbounded knapsack dynamic program, from which the best configurations of several sizes are read. Lengths count in classes of GRID tokens.
+* Rounding: configurations are placed in order of their amounts, fractions carried on, and filled with real lengths whose errors against their classes make good each other. The
+  program is solved again for what is left until it places no more. The rest, and the shortest pieces, go longest first to the fullest sequence that still holds them. Equal
+  sequences are one run with a count, so the work depends on the number of lengths, not of documents.
 
 Pieces get their places by rank among the pieces of their length. The rank is counted in salted parts, so a length that a third of all pieces have
 is no single task.
 
-Defined results: a null or empty text is the end token alone; repeated documents are packed each by itself; no documents make no rows.
+Defined results: a null or empty text is the end token alone; repeated documents are packed each by itself, as are those with a null id, which stays null; other columns are
+ignored; no documents make no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from ledgerloom.llm.common import append_columns, materialize, table, utf8, work
 
 CAPACITY = 4096
 END_ID = 1
-GRID = 16
+#: Lengths count in classes of GRID tokens, in coarser ones up to COARSEST for what the finer cannot place; FILLERS of all pieces, the shortest, are kept to fill gaps.
+GRID, COARSEST, FILLERS = 8, 32, 0.05
 #: Distinct words whose ids a Python worker keeps; twice as many while it replaces them.
 CACHED_WORDS = 200_000
 #: Ranks are counted in parts of about so many pieces, in SALTS parts of a length at most.
@@ -158,86 +160,119 @@ class _Runs:
         return [run for gap in self.gaps for run in self.by_gap[gap]]
 
 
-def _price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of highest value: an unbounded knapsack by dynamic programming over the filled capacity."""
+def _filled(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest value of every filled capacity, and the size taken last for it: an unbounded knapsack by dynamic programming. sizes ascend."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    count = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for room in range(int(sizes[0]), capacity + 1):
-        fits = sizes[: np.searchsorted(sizes, room, "right")]
-        total = best[room - fits] + value[: len(fits)]
+        n = count[room]
+        total = best[room - sizes[:n]]
+        total += value[:n]
         k = int(total.argmax())
         if total[k] > best[room - 1]:
             best[room], last[room] = total[k], k
         else:
             best[room] = best[room - 1]
-    chosen: dict[int, int] = {}
-    room = capacity
+    return best, last
+
+
+def _configuration(first: int, last: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
+    """The size `first` and the best filling of what it leaves."""
+    chosen, room = {first: 1}, capacity - int(sizes[first])
     while room > 0:
-        if last[room] < 0:
+        if (k := int(last[room])) < 0:
             room -= 1
             continue
-        k = int(last[room])
         chosen[k] = chosen.get(k, 0) + 1
         room -= int(sizes[k])
     return chosen
 
 
-def configuration_lp(sizes: list[int], demand: list[float], capacity: int, step: float = 0.1, most: int = 4000) -> list[tuple[dict[int, int], float]]:
+def configuration_lp(sizes: list[int], demand: list[float], capacity: int, step: float = 0.34, columns: int = 32) -> list[tuple[dict[int, int], float]]:
     """A near-optimal fractional cover by multiplicative weights: (copies by index of size, number of such sequences).
 
-    A size's weight falls exponentially with the share of its demand that is covered. Each step adds the configuration of highest weight, by as much as
-    covers `step` of the demand of one of its sizes. sizes ascend.
+    A size's weight falls exponentially with the share of its demand that is covered. Each pricing adds, for the `columns` sizes covered least, the configuration of highest weight
+    that holds the size, by as much as covers `step` of the demand of one of its sizes; one whose sizes have been covered by others since the pricing waits for the next. sizes ascend.
     """
     size, need = np.asarray(sizes), np.asarray(demand, float)
     covered = np.zeros(len(size))
     used: dict[tuple, float] = {}
-    for _ in range(most):
-        low = covered.min()
-        if low >= 1:
-            break
+    while (low := covered.min()) < 1 - 1e-9:
         weight = np.exp(-(covered - low) / step) / need
-        weight[covered >= 1] *= 1e-6
-        chosen = _price(weight, size, capacity)
-        amount = step * min(need[k] / n for k, n in chosen.items())
-        for k, n in chosen.items():
-            covered[k] += amount * n / need[k]
-        key = tuple(sorted(chosen.items()))
-        used[key] = used.get(key, 0) + amount
+        weight[covered >= 1 - 1e-9] *= 1e-6
+        _, last = _filled(weight, size, capacity)
+        priced = covered.copy()
+        order = np.argsort(covered, kind="stable")[:columns]
+        for nth, k in enumerate(order[covered[order] < 1 - 1e-9].tolist()):
+            chosen = _configuration(k, last, size, capacity)
+            if nth and any(covered[j] - priced[j] > step / 2 for j in chosen):
+                continue
+            amount = step * min(need[j] / n for j, n in chosen.items())
+            for j, n in chosen.items():
+                covered[j] += amount * n / need[j]
+            key = tuple(sorted(chosen.items()))
+            used[key] = used.get(key, 0) + amount
     return [(dict(k), x) for k, x in used.items()]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Runs (number of equal sequences, [(length, copies), ...]) that hold every piece of the histogram {length: count}."""
-    plain = _Runs(capacity)
-    for length in sorted(histogram, reverse=True):
-        plain.fit(length, histogram[length])
-    rounded = _Runs(capacity)
-    left = dict(histogram)
-    classes: dict[int, list[int]] = {}
-    for length in sorted(histogram):
-        classes.setdefault(min(-(-length // grid), capacity // grid), []).append(length)
-    if classes and capacity % grid == 0:
+def _real(config: dict[int, int], sizes: list[int], classes: dict[int, list[int]], left: dict[int, int], capacity: int, grid: int) -> dict[int, int]:
+    """Real lengths for a configuration of classes, none if they are too long. Classes are rounded to the nearest; so that errors do not add up, each piece is the longest of its
+    class that makes good the error so far, else the shortest."""
+    held: dict[int, int] = {}
+    meant = real = 0
+    for k in sorted(config, reverse=True):
+        for _ in range(config[k]):
+            free = [x for x in classes[sizes[k]] if left[x] > held.get(x, 0)]
+            if not free:
+                return {}
+            meant += sizes[k] * grid
+            length = next((x for x in reversed(free) if real + x <= min(meant, capacity)), free[0])
+            held[length] = held.get(length, 0) + 1
+            real += length
+    return held if real <= capacity else {}
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID) -> tuple[list[tuple[int, list[tuple[int, int]]]], int]:
+    """Runs (number of equal sequences, [(length, copies), ...]) that hold every piece of the histogram {length: count}, and how many pieces the program placed.
+
+    The fractional program is rounded in its order of amounts, fractions carried from one configuration to the next; a configuration that the stock no longer holds waits, and the
+    program is solved again for the pieces that are left, in coarser classes once the finer place no more. The shortest pieces, a share FILLERS of all, stay out of it.
+    """
+    made = _Runs(capacity)
+    left = {x: n for x, n in histogram.items() if n}
+    spare, reserve = int(FILLERS * sum(left.values())), {}
+    for length in sorted(left):
+        reserve[length] = min(spare, left[length])
+        spare -= reserve[length]
+        left[length] -= reserve[length]
+    placed = 0
+    while total := sum(left.values()):
+        classes: dict[int, list[int]] = {}
+        for length in sorted(x for x, n in left.items() if n):
+            classes.setdefault(max(1, (length + grid // 2) // grid), []).append(length)
         sizes = sorted(classes)
-        stock = [sum(histogram[x] for x in classes[c]) for c in sizes]
+        stock = [sum(left[x] for x in classes[c]) for c in sizes]
+        carry, before = 0.0, placed
         for config, amount in sorted(configuration_lp(sizes, stock, capacity // grid), key=lambda x: -x[1]):
-            copies = min(int(amount), *(stock[k] // n for k, n in config.items()))
+            carry += amount
+            copies = min(int(carry), *(stock[k] // n for k, n in config.items()))
+            carry = min(carry - copies, 1.0)
             for k, n in config.items():
                 stock[k] -= copies * n
-            while copies > 0:  # equal sequences as long as no real length runs out
-                held: dict[int, int] = {}
-                for k, n in config.items():
-                    for length in reversed(classes[sizes[k]]):
-                        if n and (free := left[length] - held.get(length, 0)) > 0:
-                            held[length] = held.get(length, 0) + min(n, free)
-                            n -= min(n, free)
+            while copies > 0 and (held := _real(config, sizes, classes, left, capacity, grid)):  # equal sequences as long as no real length runs out
                 run = min(copies, *(left[x] // n for x, n in held.items()))
                 for x, n in held.items():
                     left[x] -= run * n
-                rounded.add(run, capacity - sum(x * n for x, n in held.items()), list(held.items()))
+                    placed += run * n
+                made.add(run, capacity - sum(x * n for x, n in held.items()), list(held.items()))
                 copies -= run
-    for length in sorted(left, reverse=True):
-        rounded.fit(length, left[length])
-    runs, fewer = rounded.all(), plain.all()
-    return runs if sum(n for n, _ in runs) <= sum(n for n, _ in fewer) else fewer
+        if placed == before:
+            if grid >= COARSEST:
+                break
+            grid *= 2
+    for length in sorted(histogram, reverse=True):
+        made.fit(length, left.get(length, 0) + reserve.get(length, 0))
+    return made.all(), placed
 
 
 def _slots(runs: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarray]:
@@ -268,7 +303,7 @@ def ranked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset. `found` is read three times: materialise it first."""
     histogram = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # at most `capacity` rows
-    shared = found.sparkSession.sparkContext.broadcast(_slots(plan(histogram, capacity)))
+    shared = found.sparkSession.sparkContext.broadcast(_slots(plan(histogram, capacity)[0]))
 
     def place(batch: pa.RecordBatch) -> list[pa.Array]:
         slots = shared.value

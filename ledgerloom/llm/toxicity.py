@@ -5,7 +5,8 @@ deterministic automaton, built as its states are met, which a word walks through
 read in a window of words: between quotation marks, or beside a verb of reporting, it counts as quoted, else as abuse. A logistic model over the counts
 gives the score.
 
-Training takes a bounded sample: at most SAMPLE documents of each label, those of least hash.
+Training takes a bounded sample: at most SAMPLE documents of each label, those of least hash. So the lexicon is bounded, as each of its words is in a share of the sample's toxic
+documents, and so are the ordinary words near it: misspellings that the sample's other documents hold.
 
 Defined results: null and empty texts score as a text without a hit; without labelled rows of both kinds every score is 0; a document that is labelled
 twice counts as toxic if any label says so; null labels and ids teach nothing; repeated rows are each scored.
@@ -23,15 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import append_columns, materialize, table, utf8, worker_state
+from ledgerloom.llm.common import append_columns, free_name, map_batches, materialize, table, utf8, worker_state
 from ledgerloom.llm.minhash import signatures
 
 SAMPLE = {1: 4000, 0: 12_000}
 THRESHOLD = 0.7
 #: A lexicon word is in at least this share (and number) of the toxic documents, near copies counted once, and so many times likelier there than elsewhere.
-LEAST_SHARE, LEAST_DOCS, LEAST_RATIO, MOST_WORDS = 0.008, 5, 20.0, 2000
-#: Misspellings that clean documents hold are ordinary words; so many of them are kept at most.
-MOST_ORDINARY = 20_000
+LEAST_SHARE, LEAST_DOCS, LEAST_RATIO = 0.008, 5, 20.0
 #: Where a feature is too rare to be learnt, its weight stays near this.
 PRIOR = (3.0, 2.0, 1.0, 0.5, 0.0)
 #: Words of at least so many characters may be misspelled by one edit, by two from the second length on.
@@ -238,16 +237,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     def distinct(batches):
         for batch in batches:
             for of, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                words = [w.decode("utf-8", "replace") for w in set((text or b"").translate(_WORDS).split()) if len(w) <= 40]
+                words = [w.decode("utf-8", "replace") for w in set((text or b"").translate(_WORDS).split())]
                 yield pa.RecordBatch.from_arrays([pa.array([of] * len(words), pa.int64()), pa.array(words, pa.string())], names=["of", "word"])
 
-    toxic = rows.where("label = 1").join(F.broadcast(groups), "id").select("of", "text").mapInArrow(distinct, "of long, word string").distinct().groupBy("word").agg(F.count("*").alias("toxic"))
-    other = rows.where("label = 0").select(F.lit(0).cast("long"), "text").mapInArrow(distinct, "of long, word string").groupBy("word").agg(F.count("*").alias("other"))
+    toxic = map_batches(rows.where("label = 1").join(F.broadcast(groups), "id").select("of", "text"), distinct, "of long, word string").distinct().groupBy("word").agg(F.count("*").alias("toxic"))
+    other = map_batches(rows.where("label = 0").select(F.lit(0).cast("long"), "text"), distinct, "of long, word string").groupBy("word").agg(F.count("*").alias("other"))
     kinds = len({r[0] for r in groups.select("of").distinct().collect()})
     ratio = ((F.col("toxic") + 0.5) / (kinds + 1)) / ((F.coalesce("other", F.lit(0)) + 0.5) / (sizes[0] + 1))
     frequent = toxic.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * kinds)) & (F.length("word") >= 3))
     kept = frequent.join(other, "word", "left").where(ratio >= LEAST_RATIO)
-    lexicon = sorted(r[0] for r in kept.orderBy(F.desc("toxic"), "word").limit(MOST_WORDS).collect())
+    lexicon = sorted(r[0] for r in kept.select("word").collect())
     near = spark.sparkContext.broadcast(ToxicModel(lexicon, []))
 
     def misspelled(batches):
@@ -257,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
             found = [w for w in words if (hit := find(w)) and hit[1]]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
-    ordinary = other.select("word").mapInArrow(misspelled, "word string").limit(MOST_ORDINARY).collect()
+    ordinary = map_batches(other.select("word"), misspelled, "word string").collect()  # of the sample's words
     model = ToxicModel(lexicon, [], frozenset(r[0] for r in ordinary))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -274,13 +273,14 @@ _SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("p
 def score(docs: DataFrame, model: ToxicModel, keep: list[str], spelledcol: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Columns `keep` of docs with the score of every whole text, and 1 where it reaches the model's threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred words
+    of_text = free_name("_text", keep, list(names))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        scores = [shared.value.score(t or b"") for t in utf8(batch.column(batch.schema.get_field_index("_text")))]
+        scores = [shared.value.score(t or b"") for t in utf8(batch.column(batch.schema.get_field_index(of_text)))]
         return [pa.array(scores, pa.float64()), pa.array([int(s >= model.threshold) for s in scores], pa.int32())]
 
     new = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, _SCORED, strict=True)])
-    return append_columns(docs.select(*[F.col(k) for k in keep], F.col(spelledcol).alias("_text")), keep, new, run)
+    return append_columns(docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{spelledcol}`").alias(of_text)), keep, new, run)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize, scratch_path, slices, table
+from ledgerloom.llm.common import map_batches, materialize, scratch_path, slices, table
 
 #: Records in one archive at most; with the size of an input split it bounds what a task reads at once.
 ARCHIVE_RECORDS = 2000
+#: Revisits up to this number (of some 300 bytes each) are broadcast to the archives, which then stay where they are read; beyond it, archives are joined by shuffle.
+BROADCAST_REVISITS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRAWLED = "2024-01-01T00:00:00Z"
 
@@ -46,7 +48,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("body"),
     ).withColumn("digest", payload_digest(F.col("body")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("body").cast("string"), F.lit("\r\n\r\n"))
-    key = F.md5(F.concat_ws("|", "id", "url", "digest"))
+    key = F.md5(F.concat_ws("|", "id", "url", "digest", F.monotonically_increasing_id().cast("string")))  # equal rows are records of their own
     code = F.concat_ws("-", *[F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:"), code, F.lit(f">\r\nWARC-Date: {date}\r\n"),
@@ -103,7 +105,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
                     kinds = [pa.int64() if n in ("offset", "payload_bytes") else pa.string() for n in names]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
 
-    return _files(spark, path).mapInArrow(parse, _HEADER)
+    return map_batches(_files(spark, path), parse, _HEADER)
 
 
 def _header(offset: int, fields: dict[str, str], http: bytes, payload: bytes) -> tuple:
@@ -139,7 +141,9 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
 def dedupe_archives(spark: SparkSession, source: str, target: str, min_bytes: int = 0, date: str = CRAWLED) -> None:
     """Read the archives of `source`, and write them to `target` with repeated payloads as revisits."""
     headers = materialize(read_headers(spark, source), "warc-headers")
-    revisits = resolve_revisits(headers, min_bytes).groupBy("archive").agg(
+    found = materialize(resolve_revisits(headers, min_bytes), "warc-revisits")
+    few = found.count() <= BROADCAST_REVISITS
+    revisits = found.groupBy("archive").agg(
         F.collect_list(F.struct("offset", "original_id", "original_record", "original_url", "original_date", "payload_digest")).alias("revisits")
     )  # at most ARCHIVE_RECORDS in a list
 
@@ -157,7 +161,8 @@ def dedupe_archives(spark: SparkSession, source: str, target: str, min_bytes: in
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
 
-    _write(_files(spark, source).join(revisits, "archive", "left").select("content", "revisits").mapInArrow(rewrite, "value string"), target)
+    joined = _files(spark, source).join(F.broadcast(revisits) if few else revisits, "archive", "left").select("content", "revisits")
+    _write(map_batches(joined, rewrite, "value string"), target)
 
 
 def _fresh(fields: dict[str, str], http: bytes, payload: bytes, original: dict | None, date: str) -> bytes:

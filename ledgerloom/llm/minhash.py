@@ -6,8 +6,9 @@ minimum over slices of a table. Coordinates are banded; documents that share a b
 
 No group is expanded into all its pairs. Equal shingle sets are one class. In each bucket, classes are first compared to its first class (in whole
 buckets and in those that also share the next band), which links a group of copies by as many pairs as it has members; then only classes outside
-the largest component of their bucket are compared to the classes of other components there, and of these only pairs that their overlap with the
-first class (exactly) or their packed signatures do not rule out. What is left out lies in one component already, so components are those of all links.
+the largest component of a bucket are compared to classes of other components: those near the same first class by way of their overlap with it, all others by an index of their
+rarest shingles, of which alike sets share one (both are exact filters), and only where their packed signatures do not rule them out. So a bucket of many documents on one template
+that are not alike costs as much as it has members. What is left out lies in one component already, so components are those of all links.
 
 Defined results: null or empty texts and texts without words have no shingles and are linked with nothing; a text of fewer words than a shingle has one.
 Repeated rows are documents of one class; rows with a null id are linked with nothing and have component_id null. Other columns are ignored.
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import append_columns, map_batches, materialize, slices, table, utf8
 from ledgerloom.llm.hashing import mix, word_hashes
+from ledgerloom.operators.components import components, join_totals
 
 SHINGLE = 5
 COORDINATES = 192
@@ -37,6 +39,8 @@ MISSED = 1e-6
 DEVIATIONS = 5.5
 #: Ids of candidate documents up to this number are broadcast, beyond it joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Cells that shingles are counted in, to tell rare from frequent ones (2 to this power), and rows of a shingle that meet others in one task.
+COUNT_BITS, SALT_ROWS = 18, 500
 #: Bytes of text that are hashed at once.
 BATCH_BYTES = 1 << 20
 
@@ -121,30 +125,6 @@ def _mismatches(a: str, b: str) -> Column:
     return total
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b): the least node of its connected component, by alternating large and small stars.
-
-    Only edges are moved: each step sends a node's neighbours to the least of them. A hub is a skewed join key, whose minimum is
-    reduced before the shuffle. Every step is written, so lineage stays short.
-    """
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialize(large, "large-star")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        edges = materialize(small.distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = now
-
-
 def _compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b: structs of id and digest) with what their full sets say: `linked` (100 * intersection >= percent * union), the shingles in
     `common`, b's number of shingles n, and those of b that are not in a, `outside`."""
@@ -216,6 +196,46 @@ def _through_centres(centred: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
+def _rarest(texts: DataFrame, percent: int) -> DataFrame:
+    """(node, shingle): of each set so many of its rarest shingles that two sets which are alike have one in common (a prefix filter). How rare a shingle is comes from counts in
+    2^COUNT_BITS cells, which all sets share; any order would do for the result, and the table's size depends on no data."""
+
+    def places(batches):
+        for batch in batches:
+            for part in slices(batch, BATCH_BYTES):
+                place, n = np.unique(np.concatenate(shingle_sets(utf8(part.column(0)))) >> np.uint64(64 - COUNT_BITS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(n)], names=["place", "n"])
+
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    for place, n in map_batches(texts.select("text"), places, "place long, n long").groupBy("place").agg(F.sum("n")).collect():  # at most 2^COUNT_BITS rows
+        counts[place] = n
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def look(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = []
+        for part in slices(batch, BATCH_BYTES):
+            for s in shingle_sets(utf8(part.column(part.schema.get_field_index("text")))):
+                order = np.lexsort((s, shared.value[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+                rows.append(s[order[: len(s) + percent * len(s) // -100 + 1]].view(np.int64))
+        return [pa.array(rows, pa.list_(pa.int64()))]
+
+    made = append_columns(texts.select("node", "text"), ["node"], T.StructType([T.StructField("look", T.ArrayType(T.LongType()))]), look)
+    return made.select("node", F.explode("look").alias("shingle"))
+
+
+def _by_rarest(nodes: DataFrame, texts: DataFrame, near: Column, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among nodes (node, root, minor, centre, n, sketch) of different components and centres, of which one is outside the largest component of a bucket."""
+    index = materialize(_rarest(texts.join(nodes.select("node"), "node", "left_semi"), percent), "rarest")
+    found = index.join(nodes.select("node", "minor"), "node").groupBy("shingle").agg(F.count("*").alias("n"), F.max("minor").alias("some")).where("n > 1 AND some")
+    kept = join_totals(index, found.select("shingle", "n"), ["shingle"], index.count()).withColumnRenamed("n", "often")
+    placed = materialize(kept.join(nodes, "node").withColumn("salts", F.ceil(F.col("often") / SALT_ROWS).cast("int")), "rarest-placed")
+    x = placed.where("minor").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
+    y = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("y")
+    other_centre = ~F.coalesce(F.col("x.centre") == F.col("y.centre"), F.lit(False))
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.minor") | (F.col("x.node") < F.col("y.node")))
+    return x.join(y, meet & other_centre & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _node_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, text) of the nodes; nodes of one id are told apart by the digest of their sets."""
     wanted = nodes.select(F.col("node.id").alias("_id"), "node").distinct()
@@ -241,12 +261,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     node = F.struct("id", "digest").alias("node")
 
     spread = classes.select(node, F.inline(F.arrays_zip(F.col("bands").alias("bucket"), F.concat(F.slice("bands", 2, last), F.slice("bands", 1, 1)).alias("next"))))
-    shared = classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(spread.join(shared, "bucket"), "members")
+    shared = classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(join_totals(spread, shared, ["bucket"], classes.count() * (last + 1)).withColumnRenamed("n", "size"), "members")
+    many = members.count()
 
     def stars(keys: list[str]) -> DataFrame:
-        centre = members.groupBy(*keys).agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return members.join(centre, keys).select("a", F.col("node").alias("b")).where("a <> b")
+        centre = members.groupBy(*keys).agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+        return join_totals(members, centre, keys, many).select("a", F.col("node").alias("b")).where("a <> b")
 
     info = classes.select(node, "n", "sketch")
     near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (_mismatches("x", "y") <= most_mismatches(percent))
@@ -258,20 +279,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     roots = materialize(components(checked.where("linked").select("a", "b")), "roots")
 
     # Buckets that still hold classes of several components. Members outside the largest component of their bucket meet those of other components:
-    # by way of the centre if both have the same, else by their packed signatures.
+    # by way of the centre if both have the same, else by their rarest shingles.
     open_ = members.where("size > 2").select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    by_root = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    most = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    by_root = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("low"))
+    most = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.min("low").alias("first"), F.sum("n").alias("n")).where("roots > 1")
     centred = materialize(_centred(checked, roots), "centred")
-    first = members.groupBy("bucket").agg(F.min("node").alias("first"))
-    rest = open_.join(most, "bucket").join(first, "bucket").where("node <> first").join(info, "node").join(centred.select(F.col("b").alias("node"), F.col("a").alias("centre")), "node", "left")
-    rest = materialize(rest.select("bucket", "node", "root", (F.col("root") == F.col("most.root")).alias("main"), "n", "sketch", "centre"), "rest")
-    x, y = rest.where("NOT main").alias("x"), rest.alias("y")
-    other_centre = ~F.coalesce(F.col("x.centre") == F.col("y.centre"), F.lit(False))
-    crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node"))) & other_centre & near
-    by_sketch = x.join(y, crossing).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    outside = join_totals(open_, most, ["bucket"], many).where("node <> first").groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("most.root")).alias("minor"))
+    nodes = materialize(outside.join(info, "node").join(centred.select(F.col("b").alias("node"), F.col("a").alias("centre")), "node", "left"), "open-nodes")
+    by_rarest = _by_rarest(nodes, texts, near, percent)
     by_centre = _through_centres(centred, percent).join(side("b", "y"), "b").join(side("a", "x"), "a").where(near).select("a", "b")
-    more = by_sketch.unionByName(by_centre).distinct()
+    more = by_rarest.unionByName(by_centre).distinct()
     more = materialize(_compared(more, texts, percent).where("linked").select("a", "b"), "links")
     roots = materialize(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
 

@@ -91,3 +91,13 @@ def test_empty_table_and_other_columns(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.root) for r in minhash.components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+
+
+def test_many_documents_on_one_template(spark):
+    """Documents that share half of their shingles meet in many buckets and are not linked; what is compared grows with their number, not its square."""
+    rng = random.Random(5)
+    template = words(120, rng)
+    docs = [template[:60] + words(60, rng) for _ in range(400)]
+    docs += [edited(docs[7], 1, rng), edited(docs[8], 2, rng), docs[9][:-2]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    assert ran(spark, rows) == brute(rows, 85)

@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    prefix = free_name("_found_", [c[:7] for c in docs.columns])
+    prefix = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), docs.columns, prefix=prefix)
     return found.where(~F.col(f"{prefix}contaminated")).select(*docs.columns)
 

@@ -259,14 +259,14 @@ def test_decontamination(spark, most):
     items = [(1, " ".join(some(14))), (2, "b c d"), (3, ""), (4, None), (5, " ".join(some(10))), (10, "B, C d!"), (None, "a"), (5, "e e")]
     docs = [(i, rng.choice([" ", "\n", ", "]).join(some(rng.randrange(0, 60)) + (items[0][1].split()[: rng.randrange(15)] if i % 2 else []) + some(3))) for i in range(40)] + [(90, None), (91, ""), (92, "x " * 90_000 + items[4][1]), (92, None)]
     got = decontaminate.scan(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_hit int"), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], most=most).collect()
-    windows = [(str(k), w[j : j + 10]) for k, t in items if k is not None for w in [words(t)] for j in range(max(1, len(w) - 9) if w else 0)]
+    windows = [(k, w[j : j + 10]) for k, t in items for w in [words(t)] for j in range(max(1, len(w) - 9) if w else 0)]
     want = []
     for i, t in docs:
         w, hit, of = words(t), set(), set()
         joined = " " + " ".join(w) + " "
         for k, x in windows:
             if " " + " ".join(x) + " " in joined:
-                of.add(k)
+                of |= {str(k)} - {"None"}  # an item without an id is hit but not named
                 hit |= {p for j in range(len(w) - len(x) + 1) if w[j : j + len(x)] == x for p in range(j, j + len(x))}
         want.append((i, len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), bool(hit)))
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
@@ -318,7 +318,7 @@ def test_plan_covers_any_histogram():
     rng = random.Random(2)
     for _ in range(12):
         histogram = {rng.randrange(1, 4097): rng.randrange(1, 50) for _ in range(rng.randrange(1, 60))}
-        runs = packing.plan(histogram)
+        runs, _ = packing.plan(histogram)
         held: dict = {}
         for number, parts in runs:
             assert sum(n * c for n, c in parts) <= 4096
@@ -346,3 +346,83 @@ def test_pipeline(spark):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontaminate.scan(kept, bench, ["doc_id"]).where("contaminated").count() == 0
     assert json.dumps(len(packed))
+
+
+CLASHES = ["_text", "_score", "_predicted", "_codes", "_host", "_no_host", "_kept", "_dropped", "_hits", "_items", "contaminated", "n_words", "_found_contaminated", "host", "codes", "c0"]
+
+
+def test_pipeline_columns_of_any_name(spark):
+    """Further columns pass through every stage, whatever their names; nulls, empty texts and repeated rows are judged; an empty table stays empty."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(None, None, None, None, None), (900_001, "", "en", None, 0), (900_001, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[3:4]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns, name
+        wrong = F.lit(False)
+        for c in CLASHES:
+            wrong = wrong | ~F.col(c).eqNullSafe(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")))
+        assert kept.where(wrong).count() == 0 and kept.where("doc_id IS NULL").count() == 1 and kept.where("doc_id = 900001").count() == 2, name
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_html_of_bad_numbers_and_open_styles():
+    import time
+
+    assert html_text.render(f"<table><tr><td colspan={'9' * 5000}>a<td>b</table>") == "a  b"
+    began = time.time()
+    assert html_text.render("<p>x<style>" + ".a{display:none} hidden /* " * 40_000) == "x"
+    assert html_text.render("<p>x<style>" + "@media none {" * 80_000) == "x"
+    assert time.time() - began < 3
+
+
+def test_windows_of_items_without_an_id(spark):
+    item = spark.createDataFrame([(None, "one two three"), (7, "four five")], "item_id long, text string")
+    got = decontaminate.scan(spark.createDataFrame([(1, "zero one two three"), (2, "four five")], "doc_id long, text string"), item, ["doc_id"]).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items, r.contaminated, r.item_ids) for r in got] == [(3, 0, True, []), (2, 1, True, ["7"])]
+
+
+def test_digests_of_segments_by_a_plain_loop():
+    """Texts are alike in digests as they are in segments: lines cut after a sentence and after 16 words, each with how many equal ones stand before it."""
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choice(["a", "b.", "c", "d!", "e"]) for _ in range(rng.randrange(0, 50))) for _ in range(rng.randrange(0, 12))) for _ in range(40)]
+    made = []
+    for text in texts:
+        segments, seen = set(), {}
+        for line in text.split("\n"):
+            now = []
+            for w in line.split():
+                now.append(w)
+                if w[-1] in ".!?" or len(now) == fingerprint.SEGMENT:
+                    segments.add((tuple(now), seen.setdefault(tuple(now), 0)))
+                    seen[tuple(now)] += 1
+                    now = [] if w[-1] in ".!?" or len(now) == fingerprint.SEGMENT else now
+            if now:
+                segments.add((tuple(now), seen.setdefault(tuple(now), 0)))
+                seen[tuple(now)] = seen[tuple(now)] + 1
+        made.append(segments)
+    of, keys = fingerprint.digests([t.encode() for t in texts])
+    sets = [set(keys[of == i].tolist()) for i in range(len(texts))]
+    for p, x in zip(made, sets, strict=True):
+        for q, y in zip(made, sets, strict=True):
+            assert (len(p), len(p ^ q)) == (len(x), len(x ^ y))
+
+
+def test_difference_of_returned_fingerprints(spark):
+    texts = ["one two. three four. five six.", "one two. three 4. five six. seven."]
+    rows = fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    p, q = (set(fingerprint.digests([t.encode()])[1].tolist()) for t in texts)
+    assert fingerprint.difference(rows[0].fingerprint, rows[1].fingerprint) == (sorted(p - q), sorted(q - p), True)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_the_program_places_the_pieces(spark, sf):
+    found = packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), packing.tokenizer())
+    histogram = {r[0]: r[1] for r in found.groupBy("length").count().collect()}
+    runs, placed = packing.plan(histogram)
+    plain = packing._Runs(packing.CAPACITY)
+    for length in sorted(histogram, reverse=True):
+        plain.fit(length, histogram[length])
+    assert placed >= 0.85 * sum(histogram.values()) and sum(n for n, _ in runs) <= sum(n for n, _ in plain.all())

@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import append_columns, map_batches, materialize, slices, table, utf8
 from ledgerloom.llm.hashing import mix, word_hashes
-from ledgerloom.operators.components import components, join_totals
 
 SHINGLE = 5
 COORDINATES = 192
@@ -125,6 +124,30 @@ def _mismatches(a: str, b: str) -> Column:
     return total
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (a, b): the least node of its connected component, by alternating large and small stars.
+
+    Only edges are moved: each step sends a node's neighbours to the least of them. A hub is a skewed join key, whose minimum is
+    reduced before the shuffle. Every step is written, so lineage stays short.
+    """
+    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(large, "large-star")
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        edges = materialize(small.distinct(), "small-star")
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == before:
+            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = now
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b: structs of id and digest) with what their full sets say: `linked` (100 * intersection >= percent * union), the shingles in
     `common`, b's number of shingles n, and those of b that are not in a, `outside`."""
@@ -227,7 +250,7 @@ def _by_rarest(nodes: DataFrame, texts: DataFrame, near: Column, percent: int) -
     """Candidate pairs (a, b) among nodes (node, root, minor, centre, n, sketch) of different components and centres, of which one is outside the largest component of a bucket."""
     index = materialize(_rarest(texts.join(nodes.select("node"), "node", "left_semi"), percent), "rarest")
     found = index.join(nodes.select("node", "minor"), "node").groupBy("shingle").agg(F.count("*").alias("n"), F.max("minor").alias("some")).where("n > 1 AND some")
-    kept = join_totals(index, found.select("shingle", "n"), ["shingle"], index.count()).withColumnRenamed("n", "often")
+    kept = index.join(found.select("shingle", F.col("n").alias("often")), "shingle")
     placed = materialize(kept.join(nodes, "node").withColumn("salts", F.ceil(F.col("often") / SALT_ROWS).cast("int")), "rarest-placed")
     x = placed.where("minor").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
     y = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("y")
@@ -261,13 +284,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     node = F.struct("id", "digest").alias("node")
 
     spread = classes.select(node, F.inline(F.arrays_zip(F.col("bands").alias("bucket"), F.concat(F.slice("bands", 2, last), F.slice("bands", 1, 1)).alias("next"))))
-    shared = classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(join_totals(spread, shared, ["bucket"], classes.count() * (last + 1)).withColumnRenamed("n", "size"), "members")
-    many = members.count()
+    shared = classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(spread.join(shared, "bucket"), "members")
 
     def stars(keys: list[str]) -> DataFrame:
-        centre = members.groupBy(*keys).agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-        return join_totals(members, centre, keys, many).select("a", F.col("node").alias("b")).where("a <> b")
+        centre = members.groupBy(*keys).agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return members.join(centre, keys).select("a", F.col("node").alias("b")).where("a <> b")
 
     info = classes.select(node, "n", "sketch")
     near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (_mismatches("x", "y") <= most_mismatches(percent))
@@ -282,9 +304,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     # by way of the centre if both have the same, else by their rarest shingles.
     open_ = members.where("size > 2").select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     by_root = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("low"))
-    most = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.min("low").alias("first"), F.sum("n").alias("n")).where("roots > 1")
+    most = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.min("low").alias("first")).where("roots > 1")
     centred = materialize(_centred(checked, roots), "centred")
-    outside = join_totals(open_, most, ["bucket"], many).where("node <> first").groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("most.root")).alias("minor"))
+    outside = open_.join(most, "bucket").where("node <> first").groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("most.root")).alias("minor"))
     nodes = materialize(outside.join(info, "node").join(centred.select(F.col("b").alias("node"), F.col("a").alias("centre")), "node", "left"), "open-nodes")
     by_rarest = _by_rarest(nodes, texts, near, percent)
     by_centre = _through_centres(centred, percent).join(side("b", "y"), "b").join(side("a", "x"), "a").where(near).select("a", "b")

@@ -74,8 +74,8 @@ def test_csv_files(spark, tmp_path):
     rows = csv_ledger.read_ledger(spark, f"{tmp_path}/*.csv", "A", book).collect()
     got = sorted((chr(r.book), r.row_index, str(r.date), r.description, r.debit, r.credit, r.balance, r.ref_number) for r in rows)
     assert got == [
-        ("a", 0, "2024-01-15", "Rent, March", 1200.5, None, 500.0, "ORD-1"), ("a", 1, "2024-01-16", "Salary", None, 3000.0, 3500.0, None), ("b", 0, "2024-01-15", "Rent", 1200.5, None, None, None),
-        ("b", 1, "2024-01-16", "Pay", None, 3000.0, None, None), ("c", 0, "2024-01-15", "Fee", 5.0, None, None, None), ("c", 1, "2024-01-16", "Fee", 6.0, None, None, None),
+        ("a", 0, "2024-01-15", "Rent, March", 1200.5, None, 500.0, "ORD-1"), ("a", 1, "2024-01-16", "Salary", None, 3000.0, 3500.0, None), ("b", 3, "2024-01-15", "Rent", 1200.5, None, None, None),
+        ("b", 4, "2024-01-16", "Pay", None, 3000.0, None, None), ("c", 5, "2024-01-15", "Fee", 5.0, None, None, None), ("c", 6, "2024-01-16", "Fee", 6.0, None, None, None),
     ]
     lost = csv_ledger.read_ledger(spark, f"{tmp_path}/c.csv", "A", lone_side=False).collect()
     assert [r.debit for r in lost] == [None, None]

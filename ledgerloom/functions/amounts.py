@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 SIGNS = "[$£€₹¥₩]"
 WORDS = r"\b(USD|EUR|GBP|INR|JPY|CHF|CAD|AUD)\b"
 CREDIT, DEBIT = r"\s*(CR|Cr|cr|CREDIT|Credit)\s*$", r"\s*(DR|Dr|dr|DEBIT|Debit)\s*$"
-#: What looks like an amount within a text.
+#: Currency signs that are counted in amounts as text.
+CURRENCIES = ["$", "£", "€", "₹", "¥", "₩", "R$", "CHF", "kr"]
+#: Fixed value: what looks like an amount within a text.
 IN_TEXT = r"[$£€₹¥]?\s*-?\(?\d[\d,. ]*\d\)?(?:\s*(?:CR|DR|Cr|Dr))?"
 
 
@@ -120,6 +122,13 @@ def detect_number_format(votes: Column) -> Column:
     )
 
 
+def currency_symbol(raw: Column) -> Column:
+    """An aggregate of amounts as text: the currency sign that most of them hold, of equals the first of CURRENCIES, a dollar where there is none."""
+    counts = F.array(*[F.struct(F.count_if(F.contains(raw, F.lit(s))).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(CURRENCIES)])
+    best = F.array_max(counts)
+    return F.when(best["n"] > 0, best["s"]).otherwise("$")
+
+
 def format_amount(value: Column, number_format: str = "US", symbol: str = "$", prefix: bool = True) -> Column:
     """An amount with its sign, grouping and currency sign."""
     cents = F.floor(F.abs(value) * 100 + 0.5).cast("long")

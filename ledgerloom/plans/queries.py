@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import MatchConfig
 from ledgerloom.fixtures import event_ledgers, ledger_sql, ledgers
-from ledgerloom.functions import amounts, dates, scoring
+from ledgerloom.functions import amounts, dates, keys, scoring
 from ledgerloom.functions import text as X
 from ledgerloom.operators import exact, fuzzy, residue, split, tolerance
 from ledgerloom.plans import engine, report
@@ -263,6 +265,86 @@ def merged_lines(spark, sf_dir):
     return removed.select("doc", "line_index", "reason")
 
 
+def _order_lines(spark, sf_dir):
+    """Statements of ten customers each as lines of words with boxes: date, weekday and signed total of every order, 40 lines a page."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("o_orderkey")) - 1
+    day = F.col("o_orderdate").cast("date")
+    shift = F.pmod(F.col("o_orderkey"), F.lit(5)).cast("double")
+    box = lambda a, b: F.struct((shift + a).alias("x0"), F.lit(0.0).alias("y0"), (shift + b).alias("x1"), F.lit(10.0).alias("y1"))
+    word = lambda text, a, b: F.struct(text.alias("text"), F.lit(90.0).alias("confidence"), box(a, b).alias("bbox"))
+    total = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
+    return orders.select(
+        F.floor(F.col("o_custkey") / 10).cast("string").alias("doc"), "o_orderkey", F.array(word(F.date_format(day, "yyyy-MM-dd"), 10, 90), word(F.date_format(day, "EEEE"), 200, 400), word(amounts.format_amount(total), 600, 680)).alias("words"),
+        box(0, 700).alias("bbox"),
+    ).withColumn("_at", at).select(
+        "doc", (F.floor(F.col("_at") / 40) + 1).cast("int").alias("page_number"), (F.col("_at") % 40).cast("int").alias("line_index"), F.array_join("words.text", " ").alias("text"), F.lit(90.0).alias("confidence"), "bbox", "words"
+    )
+
+
+def content_zones(spark, sf_dir):
+    """Zones of words in statements without a header, and what they hold."""
+    return lines.zones(_order_lines(spark, sf_dir)).select("doc", "zone", "x_start", "x_end", "role", "confidence")
+
+
+def line_ledgers(spark, sf_dir):
+    """Ledgers read from statements without a header: pages merged, columns by content, formats found, lines parsed."""
+    return lines.read_lines(_order_lines(spark, sf_dir), "A").select("doc", "row_index", "date", "description", "amount_cents")
+
+
+def currency_symbols(spark, sf_dir):
+    """The currency sign of amounts of each kind of writing."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey") % 4
+    text = F.when(key == 0, amounts.format_amount(F.col("o_totalprice"))).when(key == 1, amounts.format_amount(F.col("o_totalprice"), "EU", "€", False)).when(key == 2, amounts.format_amount(F.col("o_totalprice"), "IN", "₹")).otherwise(amounts.format_amount(F.col("o_totalprice"), symbol=""))
+    return orders.select(key.alias("written"), text.alias("text")).groupBy("written").agg(amounts.currency_symbol(F.col("text")).alias("symbol"))
+
+
+def entry_keys(spark, sf_dir):
+    """Keys and hashes of ledger B's entries."""
+    b = ledgers(spark, sf_dir)[1].withColumn("match_key", keys.match_key(F.col("date"), F.col("amount"), F.col("ref_number")))
+    return b.select("id", "match_key", keys.sha256(F.col("match_key")).alias("sha256"), keys.fnv1a(F.col("match_key")).alias("fnv1a"), keys.amount_to_cents(F.col("amount_abs")).alias("cents"))
+
+
+def merge_statistics(spark, sf_dir):
+    """Lines of each document, and those that merging pages takes away, by reason."""
+    all_lines = _document_lines(spark, sf_dir)
+    return lines.merge_stats(all_lines, lines.merge_pages(all_lines)[1])
+
+
+def deduped_entries(spark, sf_dir):
+    """Order lines of each supplier without those that repeat one of the same or the next page."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    entries = items.select(
+        F.col("l_suppkey").cast("string").alias("doc"), F.trunc("l_shipdate", "year").alias("date"), (F.col("l_quantity") * 100).cast("long").alias("amount_cents"), F.col("l_returnflag").alias("description"),
+        F.col("l_linenumber").cast("int").alias("page_number"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("row_index"), F.col("l_orderkey").alias("orderkey"),
+    )
+    return lines.dedupe_entries(entries).select("doc", "row_index", "page_number", "orderkey")
+
+
+def _items(spark, sf_dir):
+    """Words of documents as items on a page: a line is 10 high, and its words stand up to 0.4 above it."""
+    cut = _document_lines(spark, sf_dir).select("doc", "page_number", "line_index", F.posexplode(F.split("text", " ")).alias("at", "text"))
+    return cut.select("doc", "page_number", F.col("at").cast("double").alias("x"), (1e6 - F.col("line_index") * 10 + (F.col("at") % 3) * 0.2).alias("y"), "text")
+
+
+def grouped_items(spark, sf_dir):
+    """Lines put together from items of documents."""
+    return lines.group_items(_items(spark, sf_dir)).select("doc", "page_number", F.col("line_index").cast("int").alias("line_index"), "text")
+
+
+def digital_documents(spark, sf_dir):
+    """Which documents have enough text on their first pages."""
+    return lines.is_digital(_items(spark, sf_dir)).select("doc", F.round("mean_chars", 4).alias("mean_chars"), "digital")
+
+
+def filter_counts(spark, sf_dir):
+    """How many groups of passes 1 and 5 each filter shows."""
+    groups = materialize(_first_and_last(spark, sf_dir).groups, "filtered")
+    parts = [report.filter_groups(groups, name).agg(F.count("*").alias("n_groups")).select(F.lit(name).alias("filter"), "n_groups") for name in report.FILTERS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _SUMMED = f"""{_KEYED},
 key_a AS (SELECT *, concat_ws('|', coalesce(CAST(date AS VARCHAR), ''), CAST(amount_cents AS VARCHAR), substr(trim(lower(description)), 1, 50), coalesce(ref_number, '')) AS key FROM left_a),
 key_b AS (SELECT *, concat_ws('|', coalesce(CAST(date AS VARCHAR), ''), CAST(amount_cents AS VARCHAR), substr(trim(lower(description)), 1, 50), coalesce(ref_number, '')) AS key FROM left_b),
@@ -333,8 +415,12 @@ QUERIES = {
     "pass_summaries": pass_summaries, "type_histogram": type_histogram, "low_confidence_groups": low_confidence_groups, "unmatched_report": unmatched_report, "audit_trail": audit_trail, "match_report": match_report,
     "field_differences": field_differences, "result_documents": result_documents, "amount_texts": amount_texts, "number_formats": number_formats, "date_texts": date_texts, "csv_ledger_entries": csv_ledger_entries,
     "ledger_summary": ledger_summary, "polarity": polarity, "text_similarities": text_similarities, "jaro_winkler": jaro_winkler, "token_containment": token_containment, "ngram_index": ngram_index,
-    "line_kinds": line_kinds, "merged_lines": merged_lines,
+    "line_kinds": line_kinds, "merged_lines": merged_lines, "content_zones": content_zones, "line_ledgers": line_ledgers, "currency_symbols": currency_symbols, "entry_keys": entry_keys, "merge_statistics": merge_statistics,
+    "deduped_entries": deduped_entries, "grouped_items": grouped_items, "digital_documents": digital_documents, "filter_counts": filter_counts,
 }
+_WRITTEN = """l AS (SELECT CAST(o_custkey // 10 AS VARCHAR) AS doc, o_orderkey, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents,
+  row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderkey) AS r FROM orders)"""
+_WORDS = f"""{_LINES}, word AS (SELECT doc, page, line_index, i, w[i] AS t FROM (SELECT *, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM line))"""
 ORACLES = {
     "exact_matches": f"WITH {_KEYED} SELECT a_id, b_id, 100 AS confidence, 'Exact match: date identical, amount identical ($' || {_MONEY.format('amount_abs')} || ')' || CASE WHEN ref_number IS NULL THEN '' ELSE ', reference number identical' END AS match_reason FROM exact",
     "amount_date_candidates": f"WITH {_CAND} SELECT a_id, b_id, round(diff, 2) AS diff, days, ref FROM pair",
@@ -400,4 +486,21 @@ ORACLES = {
         WHEN regexp_matches(t, {_rx(lines.PAGE_SUBTOTAL)}) THEN 'subtotal' WHEN regexp_matches(t, {_rx(lines.CONTINUED)}) THEN 'continuation_marker' END AS reason FROM t LEFT JOIN head USING (doc)),
       k AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS flat FROM j WHERE reason IS NULL), d AS (SELECT *, flat = lag(flat) OVER (PARTITION BY doc ORDER BY line_index) AND length(flat) > 5 AS twice FROM k)
       SELECT doc, CAST(line_index AS INT) AS line_index, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT doc, CAST(line_index AS INT), 'duplicate_boundary' FROM d WHERE twice""",
+    "content_zones": f"""WITH {_WRITTEN} SELECT doc, z AS zone, CAST(min(o_orderkey % 5) + x AS DOUBLE) AS x_start, CAST(max(o_orderkey % 5) + x AS DOUBLE) AS x_end, role, CAST(1 AS DOUBLE) AS confidence
+      FROM l, (VALUES (0, 10, 'date'), (1, 200, 'description'), (2, 600, 'amount')) AS t(z, x, role) WHERE r BETWEEN 4 AND 20 GROUP BY doc, z, x, role""",
+    "line_ledgers": f"WITH {_WRITTEN} SELECT doc, r - 1 AS row_index, date, dayname(date) AS description, cents AS amount_cents FROM l",
+    "currency_symbols": "SELECT DISTINCT o_orderkey % 4 AS written, CASE o_orderkey % 4 WHEN 1 THEN '€' WHEN 2 THEN '₹' ELSE '$' END AS symbol FROM orders",
+    "entry_keys": f"""WITH {_LEDGERS}, k AS (SELECT *, concat_ws('|', coalesce(CAST(date AS VARCHAR), '0000-00-00'), CAST(CAST(floor(abs(amount) * 100 + 0.5) AS BIGINT) AS VARCHAR), {_REF}) AS match_key FROM b)
+      SELECT id, match_key, sha256(match_key) AS sha256, CAST(floor(amount_abs * 100 + 0.5) AS BIGINT) AS cents,
+        lpad(lower(to_hex(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(match_key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS fnv1a FROM k""",
+    "deduped_entries": """WITH e AS (SELECT CAST(l_suppkey AS VARCHAR) AS doc, l_orderkey * 10 + l_linenumber AS o, CAST(l_linenumber AS INT) AS page_number, l_orderkey AS orderkey,
+      lag(l_linenumber) OVER (PARTITION BY l_suppkey, date_trunc('year', l_shipdate), CAST(l_quantity * 100 AS BIGINT), l_returnflag ORDER BY l_linenumber, l_orderkey) AS before FROM lineitem)
+      SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page_number, o) - 1 AS row_index, page_number, orderkey FROM e WHERE before IS NULL OR page_number - before > 1""",
+    "grouped_items": f"""WITH {_WORDS}, g AS (SELECT doc, page, line_index, string_agg(t, ' ' ORDER BY i) AS text FROM word WHERE trim(t, ' ') <> '' GROUP BY doc, page, line_index)
+      SELECT doc, CAST(page AS INT) AS page_number, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY line_index) - 1 AS INT) AS line_index, text FROM g""",
+    "digital_documents": f"WITH {_WORDS} SELECT doc, round(sum(length(t)) / CAST(count(DISTINCT page) AS DOUBLE), 4) AS mean_chars, sum(length(t)) / CAST(count(DISTINCT page) AS DOUBLE) > 100 AS digital FROM word WHERE page <= 3 GROUP BY doc",
+    "filter_counts": f"""WITH {_SUMMED}, f AS (SELECT unnest(['all', 'matched', 'unmatched', 'unmatched_a', 'unmatched_b', 'partial', 'split', 'duplicate', 'disputed', 'low_confidence']) AS filter)
+      SELECT filter, count(g.match_type) AS n_groups FROM f LEFT JOIN groups g ON CASE filter WHEN 'all' THEN true WHEN 'matched' THEN match_type = 'exact' WHEN 'unmatched' THEN match_type LIKE 'unmatched%' WHEN 'low_confidence' THEN confidence < 70 ELSE match_type = filter END GROUP BY filter""",
 }
+ORACLES["merge_statistics"] = f"""SELECT doc, lines_in, {', '.join(f"coalesce(count(*) FILTER (reason = '{r}'), 0) AS {r}" for r in ('empty', 'repeated_header', 'page_footer', 'subtotal', 'continuation_marker', 'duplicate_boundary'))}
+FROM (SELECT CAST(doc_id AS VARCHAR) AS doc, len(string_split(text, chr(10))) AS lines_in FROM documents) LEFT JOIN ({ORACLES["merged_lines"]}) USING (doc) GROUP BY doc, lines_in"""

@@ -455,7 +455,8 @@ ORACLES = {
       UNION ALL SELECT k, c, CASE s WHEN 'A' THEN coalesce(CAST(date AS VARCHAR), '') ELSE '' END, CASE s WHEN 'A' THEN description ELSE '' END, CASE s WHEN 'A' THEN m ELSE '' END, CASE s WHEN 'A' THEN r ELSE '' END,
         CASE s WHEN 'B' THEN coalesce(CAST(date AS VARCHAR), '') ELSE '' END, CASE s WHEN 'B' THEN description ELSE '' END, CASE s WHEN 'B' THEN m ELSE '' END, CASE s WHEN 'B' THEN r ELSE '' END, dd FROM one""",
     "field_differences": f"""WITH {_KEYED}, t AS (SELECT x.date AS ad, y.date AS bd, x.description AS a_text, y.description AS b_text, x.amount AS am, y.amount AS bm, x.ref_number AS ar, y.ref_number AS br FROM exact JOIN a x ON x.id = a_id JOIN b y ON y.id = b_id)
-      SELECT 'date' AS field, count(*) AS n, count(*) FILTER (ad IS DISTINCT FROM bd) AS n_different FROM t UNION ALL SELECT 'description', count(*), count(*) FILTER (a_text IS DISTINCT FROM b_text) FROM t UNION ALL SELECT 'amount', count(*), count(*) FILTER (am IS DISTINCT FROM bm) FROM t UNION ALL SELECT 'ref_number', count(*), count(*) FILTER (ar IS DISTINCT FROM br) FROM t""",
+      SELECT 'date' AS field, count(*) AS n, count(*) FILTER (ad IS DISTINCT FROM bd) AS n_different FROM t UNION ALL SELECT 'description', count(*), count(*) FILTER (a_text IS DISTINCT FROM b_text) FROM t UNION ALL SELECT 'amount', count(*), count(*) FILTER (am IS DISTINCT FROM bm) FROM t
+      UNION ALL SELECT 'debit', count(*), count(*) FILTER (least(am, 0) IS DISTINCT FROM least(bm, 0)) FROM t UNION ALL SELECT 'credit', count(*), count(*) FILTER (CASE WHEN am >= 0 THEN am END IS DISTINCT FROM CASE WHEN bm >= 0 THEN bm END) FROM t UNION ALL SELECT 'balance', count(*), 0 FROM t UNION ALL SELECT 'ref_number', count(*), count(*) FILTER (ar IS DISTINCT FROM br) FROM t""",
     "result_documents": f"""WITH {_SUMMED} SELECT 'exact' AS match_type, count(*) AS n_groups, count(*) AS n_a, count(*) AS n_b FROM exact UNION ALL SELECT 'unmatched_a', count(*), count(*), 0 FROM of_a WHERE many = 1 HAVING count(*) > 0 UNION ALL SELECT 'unmatched_b', count(*), 0, count(*) FROM of_b WHERE many = 1 HAVING count(*) > 0
       UNION ALL SELECT 'duplicate', (SELECT count(*) FROM groups WHERE match_type = 'duplicate'), (SELECT count(*) FROM of_a WHERE many > 1), (SELECT count(*) FROM of_b WHERE many > 1) WHERE (SELECT count(*) FROM groups WHERE match_type = 'duplicate') > 0""",
     "reconcile_events": """WITH e AS (SELECT event_id, CAST(ts AS DATE) AS date, CAST(floor(value * 100 + 0.5) AS BIGINT) AS c, CAST(floor(abs(value) * 100 + 0.5) AS BIGINT) AS u, concat(event_type, ' user ', CAST(user_id AS VARCHAR)) AS d, event_id % 2 AS s FROM events),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, fingerprint, html_text, language, licenses, line_dedup, minhash, packing, toxicity, warc
+from ledgerloom.llm import decontaminate, fingerprint, html_text, language, licenses, line_dedup, manifest, minhash, packing, periodic, pii, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,10 +16,14 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_packing": packing.op10_packing,
+    "op11_manifest": manifest.op11_manifest,
+    "op12_periodic": periodic.op12_periodic,
+    "op13_pii": pii.op13_pii,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op2_minhash": minhash.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_manifest": manifest.ORACLE,
 }

@@ -1,11 +1,18 @@
-"""Pass 2: entries whose amount and date are within tolerance, if there is just one candidate."""
+"""Pass 2: entries whose amount and date are within tolerance, if there is just one candidate.
+
+Candidates are edges between classes of entries, not pairs of entries: entries of a side with equal book, amount and date have the same candidates. An entry takes a candidate only where
+that is the last one it sees, so of a class of two or more entries of B none is ever taken, and whoever sees such a class is ambiguous whatever the others do. So the ordered choices
+concern only entries of A all of whose classes of B have one member, and a pair is listed for each of those classes. What is ambiguous is kept as edges between classes, the members of
+classes, and when a single one was taken; `Ambiguous.candidates` lists it entry by entry when that is asked for, `Ambiguous.counts` only counts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import MatchConfig
@@ -96,16 +103,88 @@ def _scored(decided: DataFrame) -> DataFrame:
     )
 
 
-def amount_date_groups(a: DataFrame, b: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
-    """The match groups of pass 2, and the candidates of entries that have several (in ascending amount, then order of B), which stay unmatched."""
-    scored = materialize(_scored(decide(candidates(a, b, config))), "amount-date")  # groups and candidates are read one after the other
+_CLASS = ["book", "amount_abs", "date"]
+
+
+def classes(side: DataFrame) -> DataFrame:
+    """(book, amount_abs, date, n, id, row_index, ref_number): entries that have the same candidates, their number, and one of them, which is the only one where n is 1."""
+    one = F.min(F.struct("row_index", "id", "ref_number"))
+    return side.groupBy(*_CLASS).agg(F.count("*").alias("n"), one.alias("one")).select(*_CLASS, "n", "one.id", "one.row_index", "one.ref_number")
+
+
+def class_edges(a: DataFrame, b: DataFrame, config: MatchConfig) -> DataFrame:
+    """Edges between classes of A and of B whose entries are within tolerance: columns of both with a_ and b_."""
+    fits = amount_window(F.col("a_amount_abs"), F.col("b_amount_abs"), config) & S.dates_match(F.col("a_date"), F.col("b_date"), config.date_tolerance_days)
+    return near_pairs(classes(a).drop("id", "row_index", "ref_number"), classes(b), config, True, fits)
+
+
+def _of_class(entries: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """Entries of a side (its columns prefixed with name) with each edge of their class. Missing dates are equal here."""
+    side = entries.select(*[F.col(c).alias(f"{name}_{c}") for c in entries.columns])
+    keys = [f"{name}_{c}" for c in _CLASS]
+    drawn = edges.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in edges.columns if c not in side.columns])
+    same = (F.col(keys[0]) == F.col("_k0")) & (F.col(keys[1]) == F.col("_k1")) & F.col(keys[2]).eqNullSafe(F.col("_k2"))
+    return side.join(drawn, same).drop("_k0", "_k1", "_k2")
+
+
+def _told(pairs: DataFrame, config: MatchConfig) -> DataFrame:
+    """Pairs of entries with their differences."""
+    return pairs.select(
+        F.col("a_book").alias("book"), "a_id", "a_row_index", "b_id", "b_row_index", "a_amount_abs", "b_amount_abs", F.abs(F.col("a_amount_abs") - F.col("b_amount_abs")).alias("diff"),
+        S.day_difference(F.col("a_date"), F.col("b_date")).alias("days"), S.refs_match(F.col("a_ref_number"), F.col("b_ref_number"), config.case_sensitive_ref).alias("ref"),
+    )
+
+
+@dataclass
+class Ambiguous:
+    """What pass 2 leaves open: class edges whose entries of A see a class of several (`edges`), the decisions of all others (`scored`, with the candidates `live` at their turn), and both ledgers."""
+
+    edges: DataFrame
+    scored: DataFrame
+    a: DataFrame
+    b: DataFrame
+    config: MatchConfig
+
+    def _taken(self) -> DataFrame:
+        return self.scored.where("live = 1").select(F.col("book").alias("_book"), F.col("b_id").alias("_taken"), F.col("a_row_index").alias("_by"))
+
+    def counts(self) -> DataFrame:
+        """(book, entry_id, n_candidates) of each ambiguous entry: as many rows as entries, however many candidates they have."""
+        keys = ["a_book", "a_amount_abs", "a_date"]
+        total = self.edges.groupBy(*keys).agg(F.sum("b_n").alias("b_total"))
+        # Single candidates that an earlier entry has taken do not count.
+        gone = self.edges.where("b_n = 1").join(self._taken(), (F.col("a_book") == F.col("_book")) & (F.col("b_id") == F.col("_taken"))).select(*keys, F.col("_by").alias("b_by"))
+        by = gone.groupBy(*keys).agg(F.sort_array(F.collect_list("b_by")).alias("b_gone"))  # no more than the class has edges
+        same = lambda x, y: (x[keys[0]] == y[keys[0]]) & (x[keys[1]] == y[keys[1]]) & x[keys[2]].eqNullSafe(y[keys[2]])
+        drawn = total.join(by, same(total, by), "left").select(*[total[k] for k in keys], "b_total", "b_gone")
+        met = _of_class(self.a.select(*_CLASS, "id", "row_index"), drawn, "a")
+        lost = F.size(F.filter(F.coalesce("b_gone", F.array().cast("array<bigint>")), lambda r: r < F.col("a_row_index")))
+        static = met.select(F.col("a_book").alias("book"), F.col("a_id").alias("entry_id"), (F.col("b_total") - lost).cast("long").alias("n_candidates"))
+        others = self.scored.where("live > 1").groupBy("book", F.col("a_id").alias("entry_id")).agg(F.count("*").alias("n_candidates"))
+        return static.unionByName(others)
+
+    def candidates(self) -> DataFrame:
+        """(book, entry_id, cand_pos, cand_id, ...): every candidate of every ambiguous entry at its turn, in ascending amount, then order of B. As long as the product of the classes."""
+        keep = [*_CLASS, "id", "row_index", "ref_number"]
+        pairs = _of_class(self.b.select(*keep), _of_class(self.a.select(*keep), self.edges.drop("b_id", "b_row_index", "b_ref_number"), "a"), "b")
+        at = _scored(_told(pairs, self.config).withColumn("live", F.lit(2).cast("long")))
+        free = at.join(self._taken(), (F.col("book") == F.col("_book")) & (F.col("b_id") == F.col("_taken")) & (F.col("_by") < F.col("a_row_index")), "left_anti")
+        rows = free.unionByName(self.scored.where("live > 1"))
+        place = F.row_number().over(Window.partitionBy("book", "a_id").orderBy("b_amount_abs", "b_row_index", "b_id")) - 1
+        return rows.select("book", F.col("a_id").alias("entry_id"), place.alias("cand_pos"), F.col("b_id").alias("cand_id"), "confidence", "match_reason", "amount_difference", "date_difference")
+
+
+def amount_date_groups(a: DataFrame, b: DataFrame, config: MatchConfig) -> tuple[DataFrame, Ambiguous]:
+    """The match groups of pass 2, and what it leaves open, which stays unmatched."""
+    a, b = (side.select(*_CLASS, "id", "row_index", "ref_number") for side in (a, b))
+    edges = materialize(class_edges(a, b, config), "class-edges")
+    keys = [F.col("a_book"), F.col("a_amount_abs"), F.coalesce(F.col("a_date"), F.lit("0001-01-01").cast("date"))]
+    several = edges.where("b_n > 1").select(*[k.alias(f"_s{i}") for i, k in enumerate(keys)]).distinct()
+    sees = (keys[0] == F.col("_s0")) & (keys[1] == F.col("_s1")) & (keys[2] == F.col("_s2"))
+    static, single = materialize(edges.join(several, sees, "left_semi"), "ambiguous-edges"), edges.join(several, sees, "left_anti")
+    scored = materialize(_scored(decide(_told(_of_class(a, single, "a"), config))), "amount-date")  # groups and candidates are read one after the other
     groups = scored.where("live = 1").select(
         "book", "a_id", "b_id", F.lit("amount_date").alias("match_type"), "confidence", "match_reason", "amount_difference", "date_difference",
         F.lit(0.0).alias("description_similarity"), F.lit(2).alias("pass_number"),
     )
-    several = scored.where("live > 1").groupBy("book", F.col("a_id").alias("entry_id")).agg(
-        F.sort_array(F.collect_list(F.struct("b_amount_abs", "b_row_index", "b_id", "confidence", "match_reason", "amount_difference", "date_difference"))).alias("c")
-    )
-    listed = several.select("book", "entry_id", F.posexplode("c").alias("cand_pos", "c"))
-    ambiguous = listed.select("book", "entry_id", "cand_pos", F.col("c.b_id").alias("cand_id"), "c.confidence", "c.match_reason", "c.amount_difference", "c.date_difference")
-    return groups, ambiguous
+    return groups, Ambiguous(static, scored, a, b, config)

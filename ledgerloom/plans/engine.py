@@ -18,17 +18,18 @@ NAMES = {1: "Exact", 2: "Amount + Date", 3: "Fuzzy Description", 4: "Split Detec
 
 @dataclass
 class MatchResult:
-    """Groups, ambiguous candidates, and the ledgers they are of."""
+    """Groups, what is ambiguous, and the ledgers they are of. `ambiguous` lists every candidate when it is read, `ambiguous_counts` (book, entry_id, n_candidates) how many each entry has."""
 
     config: MatchConfig
     groups: DataFrame
     ambiguous: DataFrame
     ledger_a: DataFrame
     ledger_b: DataFrame
+    ambiguous_counts: DataFrame
 
     def register(self, prefix: str = "") -> None:
         """Temporary views of everything, for SQL."""
-        for name in ("groups", "ambiguous", "ledger_a", "ledger_b"):
+        for name in ("groups", "ambiguous", "ambiguous_counts", "ledger_a", "ledger_b"):
             getattr(self, name).createOrReplaceTempView(prefix + name)
 
 
@@ -67,6 +68,7 @@ def reconcile(
     left, right = (side.select(*[F.col(c).alias(c) for c in ENTRY_COLUMNS]) for side in (a, b))  # columns of their own, also if both come from one table
     groups: DataFrame = spark.createDataFrame([], GROUP)
     ambiguous: DataFrame = spark.createDataFrame([], AMBIGUOUS)
+    counts: DataFrame = spark.createDataFrame([], "book long, entry_id string, n_candidates long")
     for number in sorted(set(config.enabled_passes)):
         if cancelled and cancelled():
             break
@@ -76,7 +78,7 @@ def reconcile(
             found = exact.exact_groups(left, right, config)
         elif number == 2:
             found, several = tolerance.amount_date_groups(left, right, config)
-            ambiguous = materialize(several, "ambiguous")
+            ambiguous, counts = several.candidates(), several.counts()
         elif number == 3:
             found = fuzzy.fuzzy_groups(left, right, config)
         elif number == 4:
@@ -87,7 +89,7 @@ def reconcile(
         groups = made if number == min(config.enabled_passes) else groups.unionByName(made)
         if number < 5:
             left, right = materialize(without(left, made, "A"), "left"), materialize(without(right, made, "B"), "right")
-    return MatchResult(config, groups, ambiguous, a, b)
+    return MatchResult(config, groups, ambiguous, a, b, counts)
 
 
 def detect_polarity(a: DataFrame, b: DataFrame, sample: int = 20) -> str:

@@ -64,7 +64,7 @@ def amount_date_matches(spark, sf_dir):
 
 def ambiguous_candidates(spark, sf_dir):
     """The candidates of entries of which pass 2 cannot choose one."""
-    return tolerance.amount_date_groups(*_left(spark, sf_dir), MatchConfig())[1]
+    return tolerance.amount_date_groups(*_left(spark, sf_dir), MatchConfig())[1].candidates()
 
 
 def trigram_pairs(spark, sf_dir):

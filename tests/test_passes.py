@@ -1,6 +1,7 @@
 import datetime
 import random
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -48,7 +49,37 @@ def test_amount_date_is_the_loop(spark, cfg):
     groups, several = tolerance.amount_date_groups(*frames(spark, a, b), cfg)
     want, ambiguous = model.amount_date(a, b, cfg)
     assert {(r.a_id, r.b_id) for r in groups.collect()} == set(want)
-    assert {(r.entry_id, r.cand_pos, r.cand_id) for r in several.collect()} == set(ambiguous)
+    assert {(r.entry_id, r.cand_pos, r.cand_id) for r in several.candidates().collect()} == set(ambiguous)
+    assert {(r.entry_id, r.n_candidates) for r in several.counts().collect()} == set(Counter(e for e, _, _ in ambiguous).items())
+
+
+def test_amount_date_with_classes_is_the_loop(spark):
+    """Few amounts and dates, so that many entries are alike, on both sides; and a class that all see."""
+    matched = 0
+    for seed in range(2):
+        rng = random.Random(seed)
+        a, b = ledger(rng, "A", 50), ledger(rng, "B", 30)
+        for r in a + b:
+            r["amount_abs"] = r["amount"] = rng.choice([1.0, 1.04, 1.08, 1.3, 5.0, 5.2, 9.0])
+            r["date"] = None if rng.random() < 0.1 else datetime.date(2024, 1, 1) + datetime.timedelta(days=4 * rng.randrange(12))
+        for r in b[:4]:
+            r["amount_abs"], r["date"] = 9.0, None
+        groups, several = tolerance.amount_date_groups(*frames(spark, a, b), MatchConfig())
+        want, ambiguous = model.amount_date(a, b, MatchConfig())
+        assert {(r.a_id, r.b_id) for r in groups.collect()} == set(want)
+        matched += len(want)
+        assert {(r.entry_id, r.cand_pos, r.cand_id) for r in several.candidates().collect()} == set(ambiguous)
+        assert {(r.entry_id, r.n_candidates) for r in several.counts().collect()} == set(Counter(e for e, _, _ in ambiguous).items())
+    assert matched > 4
+
+
+def test_a_hot_class_is_not_listed(spark):
+    """A third of either side has one amount and date: edges stay as few as classes."""
+    rows = lambda side: [{"book": 0, "id": f"{side}:{i}", "row_index": i, "date": datetime.date(2024, 1, 1 + i % 20 if i % 3 else 5), "description": "x", "amount": 1.0 + i % 7 if i % 3 else 2.0, "amount_abs": 1.0 + i % 7 if i % 3 else 2.0, "amount_cents": 100, "ref_number": f"r{i}"} for i in range(900)]
+    a, b = frames(spark, rows("A"), rows("B"))
+    groups, several = tolerance.amount_date_groups(a, b, MatchConfig())
+    assert several.edges.count() < 2000 and several.scored.count() < 100
+    assert several.counts().count() == 900 and several.counts().where("n_candidates >= 300").count() >= 300
 
 
 def test_best_first_is_the_sweep(spark):

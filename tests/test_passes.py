@@ -109,6 +109,8 @@ def test_splits_of_dense_ledgers(spark, monkeypatch, undated, turn):
     """Targets that see one another's parts, in one turn or in many; and lists that run out."""
     monkeypatch.setattr(split, "TURN", turn)
     monkeypatch.setattr(split, "SPARE", 2)
+    monkeypatch.setattr(split, "UNDATED", 1)
+    monkeypatch.setattr(split, "TOGETHER", 0)
     rng = random.Random(12)
     a, b = ledger(rng, "A", 60), ledger(rng, "B", 120)
     for r in a + b:

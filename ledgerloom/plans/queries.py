@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,9 +41,18 @@ def _left(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return a.join(pairs.select(F.col("a_id").alias("id")), "id", "left_anti"), b.join(pairs.select(F.col("b_id").alias("id")), "id", "left_anti")
 
 
-def _first_and_last(spark: SparkSession, sf_dir: str) -> engine.MatchResult:
-    """Passes 1 and 5 alone, which SQL can follow."""
-    return engine.reconcile(*ledgers(spark, sf_dir), MatchConfig(enabled_passes=(1, 5)))
+#: Reconciliations of this session, by the files they read: all report queries are about one.
+_DONE: dict[tuple, engine.MatchResult] = {}
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> engine.MatchResult:
+    """Passes 1, 2, 3 and 5, which SQL can follow (pass 4 is a search). Its groups are written once in a session and read by all reports."""
+    files = tuple(spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").inputFiles())
+    key = (spark.sparkContext.applicationId, files)
+    if key not in _DONE:
+        found = engine.reconcile(*ledgers(spark, sf_dir), MatchConfig(enabled_passes=(1, 2, 3, 5)))
+        _DONE[key] = replace(found, groups=materialize(found.groups, "reconciled"))
+    return _DONE[key]
 
 
 def exact_matches(spark, sf_dir):
@@ -103,60 +113,68 @@ def reconcile_groups(spark, sf_dir):
 
 
 def reconcile_events(spark, sf_dir):
-    """Passes 1 and 5 over the denser pair of event ledgers; pass 3 does not run."""
-    found = engine.reconcile(*event_ledgers(spark, sf_dir), MatchConfig(enabled_passes=(1, 5)))
+    """Passes 1, 2, 3 and 5 over the denser pair of event ledgers."""
+    found = engine.reconcile(*event_ledgers(spark, sf_dir), MatchConfig(enabled_passes=(1, 2, 3, 5)))
     return engine.type_histogram(found.groups).select("match_type", "n_groups")
 
 
+def event_ambiguity(spark, sf_dir):
+    """How many candidates each entry of the event ledgers has that pass 2 cannot choose for, counted by classes."""
+    a, b = event_ledgers(spark, sf_dir)
+    pairs = materialize(exact.exact_pairs(a, b, MatchConfig()), "exact")
+    rest = a.join(pairs.select(F.col("a_id").alias("id")), "id", "left_anti"), b.join(pairs.select(F.col("b_id").alias("id")), "id", "left_anti")
+    return tolerance.amount_date_groups(*rest, MatchConfig())[1].counts().select("entry_id", "n_candidates")
+
+
 def reconcile_summary(spark, sf_dir):
-    """Counts and amounts after passes 1 and 5."""
-    s = engine.summary(_first_and_last(spark, sf_dir))
+    """Counts and amounts after passes 1, 2, 3 and 5."""
+    s = engine.summary(_reconciled(spark, sf_dir))
     money = ["total_amount_a", "total_amount_b", "total_discrepancy", "matched_amount", "unmatched_amount_a", "unmatched_amount_b"]
-    counts = ["total_entries_a", "total_entries_b", "matched_count", "unmatched_a_count", "unmatched_b_count", "duplicate_count"]
+    counts = ["total_entries_a", "total_entries_b", "matched_count", "unmatched_a_count", "unmatched_b_count", "duplicate_count", "partial_count"]
     return s.select(*counts, *[F.round(F.col(c) * 100).cast("long").alias(c) for c in money], F.round("match_rate", 6).alias("match_rate"), "average_confidence")
 
 
 def pass_summaries(spark, sf_dir):
     """Matches and mean confidence of each pass."""
-    return engine.pass_summaries(_first_and_last(spark, sf_dir)).select("pass_number", "pass_name", "match_count", "avg_confidence")
+    return engine.pass_summaries(_reconciled(spark, sf_dir)).select("pass_number", "pass_name", "match_count", "avg_confidence")
 
 
 def type_histogram(spark, sf_dir):
-    """Groups of each type after passes 1 and 5."""
-    return engine.type_histogram(_first_and_last(spark, sf_dir).groups).select("match_type", "n_groups")
+    """Groups of each type after passes 1, 2, 3 and 5."""
+    return engine.type_histogram(_reconciled(spark, sf_dir).groups).select("match_type", "n_groups")
 
 
 def low_confidence_groups(spark, sf_dir):
     """Groups below a confidence of 70 whose reason speaks of ledger A."""
-    found = report.filter_groups(_first_and_last(spark, sf_dir).groups, "low_confidence", " Ledger A ")
+    found = report.filter_groups(_reconciled(spark, sf_dir).groups, "low_confidence", " Ledger A ")
     return found.select(F.array_join("entries_b", ",").alias("entries_b"), "match_type", F.round("amount_difference", 2).alias("amount_difference"))
 
 
 def unmatched_report(spark, sf_dir):
-    """Entries that only one ledger has after passes 1 and 5."""
-    return report.unmatched_report(_first_and_last(spark, sf_dir)).select("ledger", "id", "date", "description", F.round("amount_abs", 2).alias("amount_abs"))
+    """Entries that only one ledger has after passes 1, 2, 3 and 5."""
+    return report.unmatched_report(_reconciled(spark, sf_dir)).select("ledger", "id", "date", "description", F.round("amount_abs", 2).alias("amount_abs"))
 
 
 def audit_trail(spark, sf_dir):
-    """One row for each group of passes 1 and 5."""
-    found = report.audit_trail(_first_and_last(spark, sf_dir))
+    """One row for each group of passes 1, 2, 3 and 5."""
+    found = report.audit_trail(_reconciled(spark, sf_dir))
     return found.select("type", "confidence", "status", "n_a", "n_b", "amount_a", "amount_b", "date_difference", "a_descriptions", "b_descriptions")
 
 
 def match_report(spark, sf_dir):
-    """The rows of the match report of passes 1 and 5."""
-    return report.match_report(_first_and_last(spark, sf_dir)).select("match_type", "confidence", "a_date", "a_description", "a_debit", "a_reference", "b_date", "b_description", "b_credit", "b_reference", "date_difference")
+    """The rows of the match report of passes 1, 2, 3 and 5."""
+    return report.match_report(_reconciled(spark, sf_dir)).select("match_type", "confidence", "a_date", "a_description", "a_debit", "a_reference", "b_date", "b_description", "b_credit", "b_reference", "date_difference")
 
 
 def field_differences(spark, sf_dir):
-    """Fields in which the entries of exact groups differ."""
-    return report.field_differences(_first_and_last(spark, sf_dir)).groupBy("field").agg(F.count("*").alias("n"), F.count_if("different").alias("n_different"))
+    """Fields in which the entries of matched groups differ."""
+    return report.field_differences(_reconciled(spark, sf_dir)).groupBy("field").agg(F.count("*").alias("n"), F.count_if("different").alias("n_different"))
 
 
 def result_documents(spark, sf_dir):
     """Groups by type after writing the result as JSON and reading it back."""
     path = scratch_path(spark, "documents")
-    results.write_documents(_first_and_last(spark, sf_dir), path)
+    results.write_documents(_reconciled(spark, sf_dir), path)
     return results.read_documents(spark, path).groupBy("match_type").agg(F.count("*").alias("n_groups"), F.sum(F.size("entries_a")).alias("n_a"), F.sum(F.size("entries_b")).alias("n_b"))
 
 
@@ -339,20 +357,12 @@ def digital_documents(spark, sf_dir):
 
 
 def filter_counts(spark, sf_dir):
-    """How many groups of passes 1 and 5 each filter shows."""
-    groups = materialize(_first_and_last(spark, sf_dir).groups, "filtered")
+    """How many groups of passes 1, 2, 3 and 5 each filter shows."""
+    groups = _reconciled(spark, sf_dir).groups
     parts = [report.filter_groups(groups, name).agg(F.count("*").alias("n_groups")).select(F.lit(name).alias("filter"), "n_groups") for name in report.FILTERS]
     return reduce(DataFrame.unionByName, parts)
 
 
-_SUMMED = f"""{_KEYED},
-key_a AS (SELECT *, concat_ws('|', coalesce(CAST(date AS VARCHAR), ''), CAST(amount_cents AS VARCHAR), substr(trim(lower(description)), 1, 50), coalesce(ref_number, '')) AS key FROM left_a),
-key_b AS (SELECT *, concat_ws('|', coalesce(CAST(date AS VARCHAR), ''), CAST(amount_cents AS VARCHAR), substr(trim(lower(description)), 1, 50), coalesce(ref_number, '')) AS key FROM left_b),
-of_a AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY key) AS many FROM key_a), of_b AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY key) AS many FROM key_b),
-groups AS (
-  SELECT 'exact' AS match_type, 100 AS confidence, 1 AS pass FROM exact UNION ALL SELECT 'unmatched_a', 0, 5 FROM of_a WHERE many = 1 UNION ALL SELECT 'unmatched_b', 0, 5 FROM of_b WHERE many = 1
-  UNION ALL SELECT 'duplicate', 0, 5 FROM (SELECT DISTINCT key FROM of_a WHERE many > 1) UNION ALL SELECT 'duplicate', 0, 5 FROM (SELECT DISTINCT key FROM of_b WHERE many > 1)
-)"""
 _NEAR = "abs(x.amount_abs - y.amount_abs) <= greatest(x.amount_abs, y.amount_abs) * 0.001 OR abs(x.amount_abs - y.amount_abs) <= 0.05"
 _CENTS = "CAST(floor({0} * 100 + 0.5) AS BIGINT)"
 _CAND = f"""{_KEYED}, {_BUCKETS},
@@ -377,6 +387,66 @@ scored AS (
       CASE WHEN days = 0 THEN ', same date' WHEN days = 1 THEN ', 1 day apart' WHEN days > 1 THEN concat(', ', days, ' days apart') ELSE ', date not compared' END, CASE WHEN ref THEN ', reference number matches' ELSE '' END) AS match_reason
   FROM live
 )"""
+#: What the days between two entries say in a reason; nothing where a date is missing.
+_DAYS = "CASE WHEN days = 0 THEN ', same date' WHEN days = 1 THEN ', 1 day apart' WHEN days > 1 THEN concat(', ', days, ' days apart') ELSE '' END"
+
+
+def _fuzzy_sql(left: str, right: str) -> str:
+    """Pass 3 between two relations as CTEs: pairs of near amounts with two shared trigrams, their similarity, and the sweep over all in order. `fuzzy` has what it takes."""
+    grams, flat = _GRAMS.format(_FLAT.format("description", "")), _FLAT.format("q", " ")
+    side = "SELECT *, {step} AS step, {grams} AS g FROM {of} WHERE length(description) > 2"
+    score = f"CASE WHEN list_contains(v, t) THEN 1.0 WHEN contains(body, t) THEN 0.8 WHEN len(list_filter(v, lambda x: starts_with(x, t) OR starts_with(t, x))) > 0 THEN 0.6 ELSE coalesce(0.5 * list_filter(list_transform(v, lambda x: CASE WHEN length(x) >= 3 AND length(t) >= 3 THEN {_LEV.format('t', 'x')} ELSE 0.0 END), lambda y: y >= 0.75)[1], 0.0) END"
+    return f"""gram_a AS MATERIALIZED ({side.format(step=_STEP, grams=grams, of=left)}), gram_b AS MATERIALIZED ({side.format(step=f"unnest([{_STEP} - 1, {_STEP}, {_STEP} + 1])", grams=grams, of=right)}),
+alike AS (
+  SELECT x.id AS a_id, y.id AS b_id, x.row_index AS a_row, y.row_index AS b_row, x.description AS p, y.description AS q, x.g AS g, y.g AS h, CAST(len(list_intersect(x.g, y.g)) AS BIGINT) AS shared, greatest(x.amount_abs, y.amount_abs) AS base,
+    abs(x.amount_abs - y.amount_abs) AS diff, CAST(coalesce(abs(x.date - y.date), -1) AS INT) AS days, x.ref_number IS NOT NULL AND y.ref_number IS NOT NULL AND {_REF.replace('ref_number', 'x.ref_number')} = {_REF.replace('ref_number', 'y.ref_number')} AND {_REF.replace('ref_number', 'x.ref_number')} <> '' AS ref
+  FROM gram_a x JOIN gram_b y ON x.step = y.step AND ({_NEAR})
+),
+spelt AS MATERIALIZED (
+  SELECT *, shared / CAST(len(g) + len(h) - shared AS DOUBLE) AS jaccard, list_position(list_transform(g, lambda x: list_contains(h, x)), true) AS place, lower(p) AS c, lower(q) AS d, greatest(greatest(length(p), length(q)) // 2 - 1, 0) AS w,
+    {_TOKENS.format('p')} AS u, {_TOKENS.format('q')} AS many, {flat} AS body FROM alike WHERE shared >= 2
+),
+met AS (SELECT *, list_filter(many, lambda x, i: list_position(many, x) = i) AS v, list_filter(u, lambda x: length(x) >= 2) AS asked, array_to_string(list_sort(u), ' ') AS su, array_to_string(list_sort(many), ' ') AS sv,
+  list_reduce(range(1, length(c) + 1), lambda s, i: list_append(s, coalesce(list_min(list_filter(range(greatest(1, i - w), least(length(d), i + w) + 1), lambda j: d[j] = c[i] AND NOT list_contains(s, j))), 0)), CAST([] AS BIGINT[])) AS js FROM spelt),
+placed AS (SELECT *, list_filter(range(1, length(c) + 1), lambda i: js[i] > 0) AS ci, list_sort(list_filter(js, lambda j: j > 0)) AS dj FROM met),
+counted AS (SELECT *, CAST(len(ci) AS DOUBLE) AS m, len(list_filter(range(1, len(ci) + 1), lambda k: c[ci[k]] <> d[dj[k]])) AS swapped FROM placed),
+jaros AS (SELECT *, CASE WHEN c = d THEN 1.0 WHEN m = 0 THEN 0.0 ELSE (m / length(c) + m / length(d) + (m - swapped / 2.0) / m) / 3 END AS jaro FROM counted),
+weighed AS (
+  SELECT *, least(1.0, CAST(CASE WHEN jaro IN (0, 1) THEN jaro ELSE jaro + CASE WHEN c[1] <> d[1] THEN 0.0 WHEN c[2] <> d[2] THEN 0.1 WHEN c[3] <> d[3] THEN CAST(2 AS DOUBLE) * CAST(0.1 AS DOUBLE) WHEN c[4] <> d[4] THEN CAST(3 AS DOUBLE) * CAST(0.1 AS DOUBLE) ELSE CAST(4 AS DOUBLE) * CAST(0.1 AS DOUBLE) END * (1 - jaro) END AS DOUBLE) * CAST(0.4 AS DOUBLE)
+    + CAST(CASE WHEN len(u) = 0 AND len(v) = 0 THEN 1.0 WHEN len(u) = 0 OR len(v) = 0 THEN 0.0 ELSE {_LEV.format('su', 'sv')} END AS DOUBLE) * CAST(0.3 AS DOUBLE)
+    + CASE WHEN len(asked) = 0 THEN CAST(0 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), list_reduce(list_transform(asked, lambda t: CAST({score} AS DOUBLE)), lambda s, x: s + x, CAST(0 AS DOUBLE)) / len(asked)) END * CAST(0.3 AS DOUBLE)) AS similarity FROM jaros
+),
+close AS MATERIALIZED (SELECT * FROM weighed WHERE similarity >= 0.82),
+swept AS MATERIALIZED (
+  SELECT list_reduce(list({{'x': a_row, 'y': b_row}} ORDER BY similarity DESC, a_row, jaccard DESC, place, b_row), lambda s, e: CASE WHEN list_contains(s.p, e.x) OR list_contains(s.q, e.y) THEN s
+    ELSE {{'x': e.x, 'y': e.y, 'p': list_append(s.p, e.x), 'q': list_append(s.q, e.y)}} END, {{'x': CAST(0 AS BIGINT), 'y': CAST(0 AS BIGINT), 'p': CAST([] AS BIGINT[]), 'q': CAST([] AS BIGINT[])}}) AS f FROM close
+),
+won AS (SELECT unnest(f.p) AS a_row, unnest(f.q) AS b_row FROM swept),
+fuzzy AS MATERIALIZED (
+  SELECT k.a_id, k.b_id, similarity, diff, days, CAST(floor(greatest(0.0, least(100.0, 65 + similarity * 30 - CASE WHEN days > 0 THEN days * 2 ELSE 0 END - CASE WHEN diff >= 0.01 AND base > 0 THEN diff / base * 50 ELSE 0.0 END + CASE WHEN ref THEN 10 ELSE 0 END)) + 0.5) AS INT) AS confidence,
+    concat('Fuzzy match: description ', CAST(floor(similarity * 100 + 0.5) AS BIGINT), '% similar, ', CASE WHEN diff < 0.01 THEN concat('amount identical ($', {_MONEY.format("base")}, ')') ELSE concat('amount within tolerance (±$', {_MONEY.format("diff")}, ')') END, {_DAYS}) AS match_reason
+  FROM close k JOIN won USING (a_row, b_row)
+)"""
+
+
+_KEY = "concat_ws('|', coalesce(CAST(date AS VARCHAR), ''), CAST(amount_cents AS VARCHAR), substr(trim(lower(description)), 1, 50), coalesce(ref_number, ''))"
+#: Passes 1, 2, 3 and 5: pairs of matched entries, what is left of each side with the number of equal entries, and one row for each group.
+_SUMMED = f"""{_TURNS},
+second AS MATERIALIZED (SELECT a_id, b_id, confidence, diff, days FROM scored WHERE chosen),
+open_a AS MATERIALIZED (SELECT * FROM left_a ANTI JOIN second ON left_a.id = second.a_id), open_b AS MATERIALIZED (SELECT * FROM left_b ANTI JOIN second ON left_b.id = second.b_id),
+{_fuzzy_sql("open_a", "open_b")},
+matched AS MATERIALIZED (
+  SELECT a_id, b_id, 'exact' AS match_type, 100 AS confidence, 1 AS pass, 0 AS days FROM exact UNION ALL SELECT a_id, b_id, 'amount_date', confidence, 2, days FROM second UNION ALL SELECT a_id, b_id, 'fuzzy', confidence, 3, days FROM fuzzy
+),
+of_a AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY key) AS many FROM (SELECT *, {_KEY} AS key FROM open_a ANTI JOIN fuzzy ON open_a.id = fuzzy.a_id)),
+of_b AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY key) AS many FROM (SELECT *, {_KEY} AS key FROM open_b ANTI JOIN fuzzy ON open_b.id = fuzzy.b_id)),
+groups AS MATERIALIZED (
+  SELECT match_type, confidence, pass FROM matched UNION ALL SELECT 'unmatched_a', 0, 5 FROM of_a WHERE many = 1 UNION ALL SELECT 'unmatched_b', 0, 5 FROM of_b WHERE many = 1
+  UNION ALL SELECT 'duplicate', 0, 5 FROM (SELECT DISTINCT key FROM of_a WHERE many > 1) UNION ALL SELECT 'duplicate', 0, 5 FROM (SELECT DISTINCT key FROM of_b WHERE many > 1)
+)"""
+_EVENTS = """SELECT CAST(0 AS BIGINT) AS book, concat('{side}:', CAST(event_id AS VARCHAR)) AS id, CAST(event_id AS BIGINT) AS row_index, CAST(ts AS DATE) AS date, concat(event_type, ' user ', CAST(user_id AS VARCHAR)) AS description,
+  value AS amount, abs(value) AS amount_abs, CAST(floor(value * 100 + 0.5) AS BIGINT) AS amount_cents, CAST(NULL AS VARCHAR) AS ref_number FROM events WHERE event_id % 2 = {rest}"""
+_EVENT_LEDGERS = f"a AS MATERIALIZED ({_EVENTS.format(side='A', rest=0)}), b AS MATERIALIZED ({_EVENTS.format(side='B', rest=1)})"
 _PARTS = "pair AS (SELECT p.p_partkey, p.p_name || ' ' || p.p_type AS p, q.p_name || ' ' || q.p_type AS q FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1)"
 _LINES = "line AS (SELECT doc, i - 1 AS line_index, (i - 1) // 3 + 1 AS page, l[i] AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS doc, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 
@@ -389,9 +459,10 @@ def _terms(text: str, terms: list[str]) -> str:
     return "(" + " + ".join(f"CAST(contains(lower({text}), '{t}') AS INT)" for t in terms) + ")"
 
 
+_LABEL = "CASE match_type WHEN 'exact' THEN 'Exact Match' WHEN 'amount_date' THEN 'Amount + Date' ELSE 'Fuzzy Match' END"
 _AUDIT = f"""
-SELECT 'Exact Match' AS type, '100%' AS confidence, 'Open' AS status, 1 AS n_a, 1 AS n_b, {_MONEY.format("a.amount_abs")} AS amount_a, {_MONEY.format("b.amount_abs")} AS amount_b, '0 days' AS date_difference, a.description AS a_descriptions, b.description AS b_descriptions
-FROM exact JOIN a ON a.id = a_id JOIN b ON b.id = b_id
+SELECT {_LABEL} AS type, concat(confidence, '%') AS confidence, 'Open' AS status, 1 AS n_a, 1 AS n_b, {_MONEY.format("a.amount_abs")} AS amount_a, {_MONEY.format("b.amount_abs")} AS amount_b, CASE WHEN days < 0 THEN 'N/A' ELSE concat(days, ' days') END AS date_difference, a.description AS a_descriptions, b.description AS b_descriptions
+FROM matched JOIN a ON a.id = a_id JOIN b ON b.id = b_id
 UNION ALL SELECT 'Only in Ledger A', '0%', 'Open', 1, 0, {_MONEY.format("amount_abs")}, '0.00', '0 days', description, '' FROM of_a WHERE many = 1
 UNION ALL SELECT 'Only in Ledger B', '0%', 'Open', 0, 1, '0.00', {_MONEY.format("amount_abs")}, '0 days', '', description FROM of_b WHERE many = 1
 UNION ALL SELECT 'Duplicate', '0%', 'Open', CAST(count(*) AS INT), 0, {_MONEY.format("sum(amount_abs)")}, '0.00', '0 days', string_agg(description, '; ' ORDER BY row_index), '' FROM of_a WHERE many > 1 GROUP BY key
@@ -411,7 +482,7 @@ SELECT p_partkey, round(jaro, 6) AS jaro, round(CASE WHEN jaro IN (0, 1) THEN ja
 
 QUERIES = {
     "exact_matches": exact_matches, "amount_date_candidates": amount_date_candidates, "amount_date_matches": amount_date_matches, "ambiguous_candidates": ambiguous_candidates, "trigram_pairs": trigram_pairs,
-    "fuzzy_matches": fuzzy_matches, "split_matches": split_matches, "residue_groups": residue_groups, "reconcile_groups": reconcile_groups, "reconcile_events": reconcile_events, "reconcile_summary": reconcile_summary,
+    "fuzzy_matches": fuzzy_matches, "split_matches": split_matches, "residue_groups": residue_groups, "reconcile_groups": reconcile_groups, "reconcile_events": reconcile_events, "event_ambiguity": event_ambiguity, "reconcile_summary": reconcile_summary,
     "pass_summaries": pass_summaries, "type_histogram": type_histogram, "low_confidence_groups": low_confidence_groups, "unmatched_report": unmatched_report, "audit_trail": audit_trail, "match_report": match_report,
     "field_differences": field_differences, "result_documents": result_documents, "amount_texts": amount_texts, "number_formats": number_formats, "date_texts": date_texts, "csv_ledger_entries": csv_ledger_entries,
     "ledger_summary": ledger_summary, "polarity": polarity, "text_similarities": text_similarities, "jaro_winkler": jaro_winkler, "token_containment": token_containment, "ngram_index": ngram_index,
@@ -437,33 +508,31 @@ ORACLES = {
     "residue_groups": f"""WITH {_LEDGERS}, k AS (SELECT *, concat_ws('|', coalesce(CAST(date AS VARCHAR), ''), CAST(amount_cents AS VARCHAR), substr(trim(lower(description)), 1, 50), coalesce(ref_number, '')) AS key FROM b)
       SELECT string_agg(id, ',' ORDER BY row_index) AS entries, CASE WHEN count(*) > 1 THEN 'duplicate' ELSE 'unmatched_b' END AS match_type, CASE WHEN count(*) > 1 THEN 'Duplicate: ' || count(*) || ' identical entries found on same ledger side' ELSE 'Unmatched: no corresponding entry found in Ledger A within ±3 days and ±0.1% amount tolerance' END AS match_reason,
       CASE WHEN count(*) > 1 THEN 0 ELSE round(max(amount_abs), 2) END AS amount_difference FROM k GROUP BY key""",
-    "reconcile_summary": f"""WITH {_SUMMED} SELECT (SELECT count(*) FROM a) AS total_entries_a, (SELECT count(*) FROM b) AS total_entries_b, (SELECT count(*) FROM exact) AS matched_count, (SELECT count(*) FROM of_a WHERE many = 1) AS unmatched_a_count,
-      (SELECT count(*) FROM of_b WHERE many = 1) AS unmatched_b_count, (SELECT count(*) FROM groups WHERE match_type = 'duplicate') AS duplicate_count, (SELECT CAST(sum(abs(amount_cents)) AS BIGINT) FROM a) AS total_amount_a, (SELECT CAST(sum(abs(amount_cents)) AS BIGINT) FROM b) AS total_amount_b,
-      (SELECT CAST(abs((SELECT sum(abs(amount_cents)) FROM a) - (SELECT sum(abs(amount_cents)) FROM b)) AS BIGINT)) AS total_discrepancy, (SELECT CAST(sum(abs(amount_cents)) AS BIGINT) FROM a WHERE id IN (SELECT a_id FROM exact)) AS matched_amount,
+    "reconcile_summary": f"""WITH {_SUMMED} SELECT (SELECT count(*) FROM a) AS total_entries_a, (SELECT count(*) FROM b) AS total_entries_b, (SELECT count(*) FROM matched) AS matched_count, (SELECT count(*) FROM of_a WHERE many = 1) AS unmatched_a_count,
+      (SELECT count(*) FROM of_b WHERE many = 1) AS unmatched_b_count, (SELECT count(*) FROM groups WHERE match_type = 'duplicate') AS duplicate_count, (SELECT count(*) FROM fuzzy) AS partial_count, (SELECT CAST(sum(abs(amount_cents)) AS BIGINT) FROM a) AS total_amount_a, (SELECT CAST(sum(abs(amount_cents)) AS BIGINT) FROM b) AS total_amount_b,
+      (SELECT CAST(abs((SELECT sum(abs(amount_cents)) FROM a) - (SELECT sum(abs(amount_cents)) FROM b)) AS BIGINT)) AS total_discrepancy, (SELECT CAST(sum(abs(amount_cents)) AS BIGINT) FROM a WHERE id IN (SELECT a_id FROM matched)) AS matched_amount,
       (SELECT CAST(coalesce(sum(abs(amount_cents)), 0) AS BIGINT) FROM of_a WHERE many = 1) AS unmatched_amount_a, (SELECT CAST(coalesce(sum(abs(amount_cents)), 0) AS BIGINT) FROM of_b WHERE many = 1) AS unmatched_amount_b,
-      round((SELECT count(*) FROM exact) / CAST(least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS DOUBLE), 6) AS match_rate, 100 AS average_confidence""",
-    "pass_summaries": f"WITH {_SUMMED} SELECT pass AS pass_number, CASE pass WHEN 1 THEN 'Exact' ELSE 'Residue Classification' END AS pass_name, count(*) AS match_count, CAST(floor(avg(confidence) + 0.5) AS INT) AS avg_confidence FROM groups GROUP BY pass",
+      round((SELECT count(*) FROM matched) / CAST(least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS DOUBLE), 6) AS match_rate, (SELECT CAST(floor(avg(confidence) + 0.5) AS INT) FROM matched WHERE confidence > 0) AS average_confidence""",
+    "pass_summaries": f"WITH {_SUMMED} SELECT pass AS pass_number, CASE pass WHEN 1 THEN 'Exact' WHEN 2 THEN 'Amount + Date' WHEN 3 THEN 'Fuzzy Description' ELSE 'Residue Classification' END AS pass_name, count(*) AS match_count, CAST(floor(avg(confidence) + 0.5) AS INT) AS avg_confidence FROM groups GROUP BY pass",
     "type_histogram": f"WITH {_SUMMED} SELECT match_type, count(*) AS n_groups FROM groups GROUP BY match_type",
     "low_confidence_groups": f"WITH {_SUMMED} SELECT id AS entries_b, 'unmatched_b' AS match_type, round(amount_abs, 2) AS amount_difference FROM of_b WHERE many = 1",
     "unmatched_report": f"WITH {_SUMMED} SELECT 'A' AS ledger, id, date, description, round(amount_abs, 2) AS amount_abs FROM of_a WHERE many = 1 UNION ALL SELECT 'B', id, date, description, round(amount_abs, 2) FROM of_b WHERE many = 1",
     "audit_trail": f"WITH {_SUMMED} {_AUDIT}",
-    "match_report": f"""WITH {_SUMMED}, t AS (SELECT x.date AS ad, x.description AS a_text, {_MONEY.format('x.amount_abs')} AS am, coalesce(x.ref_number, '') AS ar, y.date AS bd, y.description AS b_text, {_MONEY.format('y.amount_abs')} AS bm, coalesce(y.ref_number, '') AS br FROM exact JOIN a x ON x.id = a_id JOIN b y ON y.id = b_id),
+    "match_report": f"""WITH {_SUMMED}, t AS (SELECT match_type, confidence, days, x.date AS ad, x.description AS a_text, {_MONEY.format('x.amount_abs')} AS am, coalesce(x.ref_number, '') AS ar, y.date AS bd, y.description AS b_text, {_MONEY.format('y.amount_abs')} AS bm, coalesce(y.ref_number, '') AS br FROM matched JOIN a x ON x.id = a_id JOIN b y ON y.id = b_id),
       dup AS (SELECT 'B' AS s, *, row_number() OVER (PARTITION BY key ORDER BY row_index) AS i FROM of_b WHERE many > 1 UNION ALL SELECT 'A', *, row_number() OVER (PARTITION BY key ORDER BY row_index) FROM of_a WHERE many > 1),
       one AS (SELECT s, date, description, {_MONEY.format('amount_abs')} AS m, coalesce(ref_number, '') AS r, CASE WHEN i = 1 THEN 'Duplicate' ELSE '' END AS k, CASE WHEN i = 1 THEN '0%' ELSE '' END AS c, CASE WHEN i = 1 THEN '0' ELSE '' END AS dd FROM dup
         UNION ALL SELECT 'A', date, description, {_MONEY.format('amount_abs')}, coalesce(ref_number, ''), 'Only in Ledger A', '0%', '0' FROM of_a WHERE many = 1 UNION ALL SELECT 'B', date, description, {_MONEY.format('amount_abs')}, coalesce(ref_number, ''), 'Only in Ledger B', '0%', '0' FROM of_b WHERE many = 1)
-      SELECT 'Exact Match' AS match_type, '100%' AS confidence, CAST(ad AS VARCHAR) AS a_date, a_text AS a_description, am AS a_debit, ar AS a_reference, CAST(bd AS VARCHAR) AS b_date, b_text AS b_description, bm AS b_credit, br AS b_reference, '0' AS date_difference FROM t
+      SELECT {_LABEL} AS match_type, concat(confidence, '%') AS confidence, coalesce(CAST(ad AS VARCHAR), '') AS a_date, a_text AS a_description, am AS a_debit, ar AS a_reference, coalesce(CAST(bd AS VARCHAR), '') AS b_date, b_text AS b_description, bm AS b_credit, br AS b_reference, CASE WHEN days < 0 THEN '' ELSE CAST(days AS VARCHAR) END AS date_difference FROM t
       UNION ALL SELECT k, c, CASE s WHEN 'A' THEN coalesce(CAST(date AS VARCHAR), '') ELSE '' END, CASE s WHEN 'A' THEN description ELSE '' END, CASE s WHEN 'A' THEN m ELSE '' END, CASE s WHEN 'A' THEN r ELSE '' END,
         CASE s WHEN 'B' THEN coalesce(CAST(date AS VARCHAR), '') ELSE '' END, CASE s WHEN 'B' THEN description ELSE '' END, CASE s WHEN 'B' THEN m ELSE '' END, CASE s WHEN 'B' THEN r ELSE '' END, dd FROM one""",
-    "field_differences": f"""WITH {_KEYED}, t AS (SELECT x.date AS ad, y.date AS bd, x.description AS a_text, y.description AS b_text, x.amount AS am, y.amount AS bm, x.ref_number AS ar, y.ref_number AS br FROM exact JOIN a x ON x.id = a_id JOIN b y ON y.id = b_id)
+    "field_differences": f"""WITH {_SUMMED}, t AS (SELECT x.date AS ad, y.date AS bd, x.description AS a_text, y.description AS b_text, x.amount AS am, y.amount AS bm, x.ref_number AS ar, y.ref_number AS br FROM matched JOIN a x ON x.id = a_id JOIN b y ON y.id = b_id)
       SELECT 'date' AS field, count(*) AS n, count(*) FILTER (ad IS DISTINCT FROM bd) AS n_different FROM t UNION ALL SELECT 'description', count(*), count(*) FILTER (a_text IS DISTINCT FROM b_text) FROM t UNION ALL SELECT 'amount', count(*), count(*) FILTER (am IS DISTINCT FROM bm) FROM t
       UNION ALL SELECT 'debit', count(*), count(*) FILTER (least(am, 0) IS DISTINCT FROM least(bm, 0)) FROM t UNION ALL SELECT 'credit', count(*), count(*) FILTER (CASE WHEN am >= 0 THEN am END IS DISTINCT FROM CASE WHEN bm >= 0 THEN bm END) FROM t UNION ALL SELECT 'balance', count(*), 0 FROM t UNION ALL SELECT 'ref_number', count(*), count(*) FILTER (ar IS DISTINCT FROM br) FROM t""",
-    "result_documents": f"""WITH {_SUMMED} SELECT 'exact' AS match_type, count(*) AS n_groups, count(*) AS n_a, count(*) AS n_b FROM exact UNION ALL SELECT 'unmatched_a', count(*), count(*), 0 FROM of_a WHERE many = 1 HAVING count(*) > 0 UNION ALL SELECT 'unmatched_b', count(*), 0, count(*) FROM of_b WHERE many = 1 HAVING count(*) > 0
+    "result_documents": f"""WITH {_SUMMED} SELECT match_type, count(*) AS n_groups, count(*) AS n_a, count(*) AS n_b FROM matched GROUP BY match_type UNION ALL SELECT 'unmatched_a', count(*), count(*), 0 FROM of_a WHERE many = 1 HAVING count(*) > 0 UNION ALL SELECT 'unmatched_b', count(*), 0, count(*) FROM of_b WHERE many = 1 HAVING count(*) > 0
       UNION ALL SELECT 'duplicate', (SELECT count(*) FROM groups WHERE match_type = 'duplicate'), (SELECT count(*) FROM of_a WHERE many > 1), (SELECT count(*) FROM of_b WHERE many > 1) WHERE (SELECT count(*) FROM groups WHERE match_type = 'duplicate') > 0""",
-    "reconcile_events": """WITH e AS (SELECT event_id, CAST(ts AS DATE) AS date, CAST(floor(value * 100 + 0.5) AS BIGINT) AS c, CAST(floor(abs(value) * 100 + 0.5) AS BIGINT) AS u, concat(event_type, ' user ', CAST(user_id AS VARCHAR)) AS d, event_id % 2 AS s FROM events),
-      n AS (SELECT *, row_number() OVER (PARTITION BY s, date, u ORDER BY event_id) AS r FROM e), m AS (SELECT x.event_id AS p, y.event_id AS q FROM n x JOIN n y ON x.s = 0 AND y.s = 1 AND x.date = y.date AND x.u = y.u AND x.r = y.r),
-      l AS (SELECT *, count(*) OVER (PARTITION BY s, date, c, lower(d)[1:50]) AS many FROM e WHERE event_id NOT IN (SELECT p FROM m UNION ALL SELECT q FROM m))
-      SELECT 'exact' AS match_type, count(*) AS n_groups FROM m HAVING count(*) > 0 UNION ALL SELECT 'unmatched_a', count(*) FROM l WHERE s = 0 AND many = 1 HAVING count(*) > 0 UNION ALL SELECT 'unmatched_b', count(*) FROM l WHERE s = 1 AND many = 1 HAVING count(*) > 0
-      UNION ALL SELECT 'duplicate', count(*) FROM (SELECT DISTINCT s, date, c, lower(d)[1:50] FROM l WHERE many > 1) HAVING count(*) > 0""",
+    "reconcile_events": f"WITH {_SUMMED.replace(_LEDGERS, _EVENT_LEDGERS)} SELECT match_type, count(*) AS n_groups FROM groups GROUP BY match_type",
+    "event_ambiguity": f"WITH {_TURNS.replace(_LEDGERS, _EVENT_LEDGERS)} SELECT a_id AS entry_id, count(*) AS n_candidates FROM scored WHERE a_row NOT IN (SELECT by_row FROM taken) GROUP BY a_id HAVING count(*) > 1",
+    "fuzzy_matches": f"WITH {_KEYED}, {_fuzzy_sql('left_a', 'left_b')} SELECT a_id, b_id, confidence, match_reason, round(similarity, 6) AS similarity FROM fuzzy",
     "amount_texts": f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 2, 4) THEN -1 ELSE 1 END * {_CENTS.format('o_totalprice')} AS cents, o_orderkey % 6 IN (1, 2, 4) AS is_negative, o_orderkey % 6 = 5 AS is_credit FROM orders",
     "number_formats": "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'EU' ELSE 'IN' END AS written, CASE o_orderkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'EU' ELSE 'AMBIGUOUS' END AS format, count(*) AS samples FROM orders GROUP BY 1, 2",
     "date_texts": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders",
@@ -501,7 +570,7 @@ ORACLES = {
       SELECT doc, CAST(page AS INT) AS page_number, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY line_index) - 1 AS INT) AS line_index, text FROM g""",
     "digital_documents": f"WITH {_WORDS} SELECT doc, round(sum(length(t)) / CAST(count(DISTINCT page) AS DOUBLE), 4) AS mean_chars, sum(length(t)) / CAST(count(DISTINCT page) AS DOUBLE) > 100 AS digital FROM word WHERE page <= 3 GROUP BY doc",
     "filter_counts": f"""WITH {_SUMMED}, f AS (SELECT unnest(['all', 'matched', 'unmatched', 'unmatched_a', 'unmatched_b', 'partial', 'split', 'duplicate', 'disputed', 'low_confidence']) AS filter)
-      SELECT filter, count(g.match_type) AS n_groups FROM f LEFT JOIN groups g ON CASE filter WHEN 'all' THEN true WHEN 'matched' THEN match_type = 'exact' WHEN 'unmatched' THEN match_type LIKE 'unmatched%' WHEN 'low_confidence' THEN confidence < 70 ELSE match_type = filter END GROUP BY filter""",
+      SELECT filter, count(g.match_type) AS n_groups FROM f LEFT JOIN groups g ON CASE filter WHEN 'all' THEN true WHEN 'matched' THEN match_type IN ('exact', 'amount_date', 'fuzzy') WHEN 'partial' THEN match_type = 'fuzzy' WHEN 'unmatched' THEN match_type LIKE 'unmatched%' WHEN 'low_confidence' THEN confidence < 70 ELSE match_type = filter END GROUP BY filter""",
 }
 ORACLES["merge_statistics"] = f"""SELECT doc, lines_in, {', '.join(f"coalesce(count(*) FILTER (reason = '{r}'), 0) AS {r}" for r in ('empty', 'repeated_header', 'page_footer', 'subtotal', 'continuation_marker', 'duplicate_boundary'))}
 FROM (SELECT CAST(doc_id AS VARCHAR) AS doc, len(string_split(text, chr(10))) AS lines_in FROM documents) LEFT JOIN ({ORACLES["merged_lines"]}) USING (doc) GROUP BY doc, lines_in"""

@@ -54,10 +54,19 @@ def _both(a: Column, b: Column, value: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(value)
 
 
+def sorted_words(c: Column) -> Column:
+    """The words of the token form in order of the alphabet, as a text."""
+    return F.array_join(F.array_sort(tokens(c)), " ")
+
+
+def sorted_ratio(x: Column, y: Column) -> Column:
+    """Levenshtein similarity of two texts of sorted words; 0 if one has none."""
+    return F.when((x == "") & (y == ""), 1.0).when((x == "") | (y == ""), 0.0).otherwise(levenshtein_similarity(x, y))
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Levenshtein similarity of the sorted words."""
-    x, y = tokens(a), tokens(b)
-    return _both(x, y, levenshtein_similarity(F.array_join(F.array_sort(x), " "), F.array_join(F.array_sort(y), " ")))
+    return sorted_ratio(sorted_words(a), sorted_words(b))
 
 
 def _jaccard(x: Column, y: Column) -> Column:
@@ -75,7 +84,11 @@ def token_containment(query: Column, target: Column, least: int = 2) -> Column:
     """How far the query's words are found in the target: the mean of 1 for a word, 0.8 for a part of its text, 0.6 for a beginning either way, and half the
     similarity of the first word that is three quarters alike."""
     asked = F.filter(tokens(query), lambda t: F.length(t) >= least)
-    text, given = normalize_tokens(target), F.array_distinct(tokens(target))
+    return words_contained(asked, normalize_tokens(target), F.array_distinct(tokens(target)))
+
+
+def words_contained(asked: Column, text: Column, given: Column) -> Column:
+    """The same for words that are asked for, and a target's token form and distinct words. For many pairs, make these once for each text."""
 
     def found(t: Column) -> Column:
         near = F.filter(given, lambda g: (F.length(g) >= 3) & (F.length(t) >= 3) & (levenshtein_similarity(t, g) >= 0.75))
@@ -83,8 +96,7 @@ def token_containment(query: Column, target: Column, least: int = 2) -> Column:
             F.when(F.array_contains(given, t), 1.0)
             .when(F.contains(text, t), 0.8)
             .when(F.exists(given, lambda g: F.startswith(g, t) | F.startswith(t, g)), 0.6)
-            .when(F.size(near) > 0, levenshtein_similarity(t, F.get(near, F.lit(0))) * 0.5)
-            .otherwise(0.0)
+            .otherwise(F.coalesce(levenshtein_similarity(t, F.get(near, F.lit(0))) * 0.5, F.lit(0.0)))
         )
 
     total = F.aggregate(F.transform(asked, found), F.lit(0.0), lambda s, x: s + x)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import MatchConfig
 
+#: A bucket is heavy if it has so many entries of A, and at least one in SHARE of all; so there are at most SHARE heavy buckets, whose numbers are broadcast.
+HEAVY, SHARE = 2000, 20_000
 #: Matching amounts are at most 1.0064 apart on the scale below.
 WIDTH = 1.1
 
@@ -46,7 +48,7 @@ def near_pairs(a: DataFrame, b: DataFrame, config: MatchConfig, dated: bool, con
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("_near", F.explode(neighbours(amount_bucket(F.col("b_amount_abs"), config), config)))
     same = (F.col("a_book") == F.col("b_book")) & (F.col("_bucket") == F.col("_near")) & condition
     if not dated:
-        return left.join(right, same).drop("_bucket", "_near")
+        return _spread(left, right, same, condition)
     days = config.date_tolerance_days + 1
     day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / days)
     at = left.where("a_date IS NOT NULL").withColumn("_day", day("a_date"))
@@ -54,3 +56,20 @@ def near_pairs(a: DataFrame, b: DataFrame, config: MatchConfig, dated: bool, con
     within = at.join(around, same & (F.col("_day") == F.col("_days"))).drop("_day", "_days")
     undated = left.where("a_date IS NULL").join(right, same).unionByName(left.where("a_date IS NOT NULL").join(right.where("b_date IS NULL"), same))
     return within.unionByName(undated).drop("_bucket", "_near")
+
+
+def _spread(left: DataFrame, right: DataFrame, same: Column, condition: Column) -> DataFrame:
+    """The join on bucket alone, for conditions that are dear: entries of A in a heavy bucket are dealt to several tasks, each of which gets that bucket's entries of B.
+
+    Partitions are asked for by number, as the adaptive planner would put these few bytes together in one task, however long their pairs take.
+    """
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = left.groupBy("a_book", "_bucket").agg(F.count("*").alias("_n"))
+    most = F.greatest(F.lit(HEAVY), F.lit(left.count() // SHARE))
+    heavy = F.broadcast(sizes.where(F.col("_n") > most).select(F.col("a_book").alias("_hot_book"), F.col("_bucket").alias("_hot"), F.ceil(F.col("_n") / most).alias("_cuts")))
+    at = lambda side, book, bucket: side.join(heavy, F.col(book).eqNullSafe(F.col("_hot_book")) & (F.col(bucket) == F.col("_hot")), "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(1))).drop("_hot_book", "_hot")
+    x = at(left, "a_book", "_bucket").withColumn("_cut", F.pmod(F.xxhash64("a_id"), F.col("_cuts"))).drop("_cuts")
+    y = at(right, "b_book", "_near").withColumn("_cut_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1))).drop("_cuts")
+    x, y = x.repartition(parts, "a_book", "_bucket", "_cut"), y.repartition(parts, "b_book", "_near", "_cut_b")
+    return x.join(y, same & (F.col("_cut") == F.col("_cut_b"))).drop("_bucket", "_near", "_cut", "_cut_b")

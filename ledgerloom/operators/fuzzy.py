@@ -22,24 +22,32 @@ SHARED = 2
 def similar_pairs(a: DataFrame, b: DataFrame, config: MatchConfig) -> DataFrame:
     """Pairs within the amount tolerance that share trigrams and whose descriptions are similar enough. Dates do not exclude a pair.
 
-    The amount is joined first, which leaves few pairs to compare texts in; trigrams are made once for each entry, and the Arrow function sees only pairs
-    that pass both.
+    The amount is joined first; trigrams and words are made once for each entry. What words alone give decides which pairs can still reach the threshold with a Jaro-Winkler similarity
+    of 1: only those are written and seen by the Arrow function.
     """
-    with_grams = lambda side: side.where(F.length("description") > 2).withColumn("grams", F.array_distinct(X.ngrams(F.col("description"))))
-    near = near_pairs(with_grams(a), with_grams(b), config, False, S.amounts_match(F.col("a_amount_abs"), F.col("b_amount_abs"), config))
+    weights = config.description_weight
+    keep = ["book", "id", "row_index", "amount_abs", "date", "ref_number", "description"]
+    d = F.col("description")
+    forms = {"grams": F.array_distinct(X.ngrams(d)), "sorted": X.sorted_words(d), "asked": F.filter(X.tokens(d), lambda t: F.length(t) >= 2), "text": X.normalize_tokens(d), "given": F.array_distinct(X.tokens(d))}
+    with_forms = lambda side, *names: side.where(F.length("description") > 2).select(*keep, *[forms[n].alias(n) for n in names])
+    left, right = materialize(with_forms(a, "grams", "sorted", "asked"), "fuzzy-a"), materialize(with_forms(b, "grams", "sorted", "text", "given"), "fuzzy-b")
+    near = near_pairs(left, right, config, False, S.amounts_match(F.col("a_amount_abs"), F.col("b_amount_abs"), config))
     shared = near.withColumn("_shared", F.size(F.array_intersect("a_grams", "b_grams"))).where(F.col("_shared") >= SHARED)
+    p, q = F.col("a_description"), F.col("b_description")
+    words = shared.withColumns({"_sort": X.sorted_ratio(F.col("a_sorted"), F.col("b_sorted")) * weights.token_sort, "_found": X.words_contained(F.col("a_asked"), F.col("b_text"), F.col("b_given")) * weights.token_containment})
+    reachable = words.where(weights.jaro_winkler + F.col("_sort") + F.col("_found") >= config.description_threshold - 1e-9)
     jaccard = F.col("_shared") / (F.size("a_grams") + F.size("b_grams") - F.col("_shared"))
     place = F.array_position(F.transform("a_grams", lambda g: F.array_contains(F.col("b_grams"), g)), F.lit(True))
     listed = materialize(
-        shared.select(
+        reachable.select(
             F.col("a_book").alias("book"), "a_id", "a_row_index", "b_id", "b_row_index", "a_amount_abs", "b_amount_abs", "a_description", "b_description", jaccard.alias("jaccard"), place.alias("place"),
             F.abs(F.col("a_amount_abs") - F.col("b_amount_abs")).alias("diff"), S.day_difference(F.col("a_date"), F.col("b_date")).alias("days"),
-            S.refs_match(F.col("a_ref_number"), F.col("b_ref_number"), config.case_sensitive_ref).alias("ref"),
+            S.refs_match(F.col("a_ref_number"), F.col("b_ref_number"), config.case_sensitive_ref).alias("ref"), "_sort", "_found",
         ),
         "fuzzy-candidates",
     )
-    scored = listed.withColumn("similarity", X.description_similarity(F.col("a_description"), F.col("b_description"), config.description_weight))
-    return scored.where(F.col("similarity") >= config.description_threshold).drop("a_description", "b_description")
+    total = F.least(F.lit(1.0), X.jaro_winkler_ci(p, q) * weights.jaro_winkler + F.col("_sort") + F.col("_found"))
+    return listed.withColumn("similarity", total).where(F.col("similarity") >= config.description_threshold).drop("a_description", "b_description", "_sort", "_found")
 
 
 def _one_round(live: DataFrame):

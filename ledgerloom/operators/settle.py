@@ -18,7 +18,7 @@ from ledgerloom.scratch import materialize
 #: Rounds of joins before components are looked for.
 ROUNDS = 2
 #: So few pairs are read as one component of their book.
-FEW = 50_000
+FEW = 200_000
 #: Pairs of one component that a task reads as a stream.
 MOST = 20_000_000
 

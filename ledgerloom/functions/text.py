@@ -195,20 +195,3 @@ def register(spark) -> None:
         return pd.Series([None if p is None or q is None else _jaro_winkler(p, q, 0.1, 4) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     spark.udf.register("jaro_winkler", plain)
-
-
-def best_matches(queries, targets, k: int = 5, threshold: float = 0.8, most: int = 10_000):
-    """(query_id, target_id, score, rank): for each of a few queries (id, text) the k most similar targets (id, text) of all.
-
-    The queries are a stated set of at most `most` rows, which is checked before they are broadcast. Each task keeps its own best before they are shuffled.
-    """
-    from pyspark.sql import Window
-
-    if queries.count() > most:
-        raise ValueError(f"more than {most} queries")
-    pairs = targets.select(F.col("id").alias("target_id"), F.col("text").alias("t")).crossJoin(F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("text").alias("q"))))
-    scored = pairs.select("query_id", "target_id", jaro_winkler_ci(F.col("q"), F.col("t")).alias("score")).where(F.col("score") >= threshold)
-    order = [F.desc("score"), "target_id"]
-    local = scored.withColumn("_part", F.pmod(F.xxhash64("target_id"), F.lit(256)))
-    few = local.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_r") <= k)
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "target_id", "score", "rank")

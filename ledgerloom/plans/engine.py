@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import MatchConfig
@@ -92,15 +92,25 @@ def reconcile(
     return MatchResult(config, groups, ambiguous, a, b, counts)
 
 
+def polarity_by_book(a: DataFrame, b: DataFrame, sample: int = 20) -> DataFrame:
+    """(book, same, opposite, polarity): whether entries of about the same size have the same or opposite signs: those of the first rows of a book's A against all of its B.
+
+    Sizes meet in logarithmic buckets, as they do for tolerances, so that no book's entries are compared all with all. A book without such a pair is `absolute`.
+    """
+    bucket = lambda c: F.floor(F.log(F.abs(c)) / 0.0111)  # noqa: E731  sizes within a hundredth are less than 0.01006 apart
+    first = a.withColumn("_n", F.row_number().over(Window.partitionBy("book").orderBy("row_index"))).where(F.col("_n") <= sample)  # each task keeps a book's first rows
+    few = first.where("amount_abs >= 0.01").select("book", F.col("amount").alias("x"), F.explode(F.array(*[bucket(F.col("amount")) + i for i in (-1, 0, 1)])).alias("_at"))
+    near = b.where("amount <> 0").select("book", F.col("amount").alias("y"), bucket(F.col("amount")).alias("_at")).join(few, ["book", "_at"]).where(F.abs(F.abs("y") - F.abs("x")) < F.abs("x") * 0.01)
+    counts = near.groupBy("book").agg(F.count_if(F.signum("x") == F.signum("y")).alias("same"), F.count_if(F.signum("x") != F.signum("y")).alias("opposite"))
+    found = a.select("book").distinct().join(counts, "book", "left").na.fill(0, ["same", "opposite"])
+    told = F.when(F.col("opposite") > 2 * F.col("same"), "opposite_sign").when(F.col("same") > 2 * F.col("opposite"), "same_sign").otherwise("absolute")
+    return found.withColumn("polarity", told)
+
+
 def detect_polarity(a: DataFrame, b: DataFrame, sample: int = 20) -> str:
-    """Whether entries of about the same size have the same or opposite signs: those of the first rows of A against all of B. The answer concerns reports alone."""
-    few = a.orderBy("book", "row_index").limit(sample).where("amount_abs >= 0.01").select("book", F.col("amount").alias("x"))
-    close = F.abs(F.abs("y") - F.abs("x")) < F.abs("x") * 0.01
-    near = b.select(F.col("book").alias("of"), F.col("amount").alias("y")).join(F.broadcast(few), (F.col("of") == F.col("book")) & close)
-    row = near.agg(F.count_if(F.signum("x") == F.signum("y")).alias("same"), F.count_if(F.signum("x") != F.signum("y")).alias("opposite")).first()
-    if row.opposite > 2 * row.same:
-        return "opposite_sign"
-    return "same_sign" if row.same > 2 * row.opposite else "absolute"
+    """The polarity that all books have, else `absolute`. The answer concerns reports alone."""
+    answers = [r.polarity for r in polarity_by_book(a, b, sample).select("polarity").distinct().limit(2).collect()]
+    return answers[0] if len(answers) == 1 else "absolute"
 
 
 def summary(result: MatchResult) -> DataFrame:

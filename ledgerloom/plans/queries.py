@@ -12,7 +12,7 @@ from ledgerloom.config import MatchConfig
 from ledgerloom.fixtures import event_ledgers, ledger_sql, ledgers
 from ledgerloom.functions import amounts, dates, keys, scoring
 from ledgerloom.functions import text as X
-from ledgerloom.operators import exact, fuzzy, residue, split, tolerance
+from ledgerloom.operators import exact, fuzzy, residue, similar, split, tolerance
 from ledgerloom.plans import engine, report
 from ledgerloom.scratch import materialize, scratch_path
 from ledgerloom.sources import csv_ledger, lines, results
@@ -229,6 +229,30 @@ def ledger_summary(spark, sf_dir):
     return s.select("party", "total_rows", "valid_rows", "skipped_rows", F.round(F.col("total_debit") * 100).cast("long").alias("debit_cents"), F.round(F.col("total_credit") * 100).cast("long").alias("credit_cents"), "earliest", "latest")
 
 
+def book_polarity(spark, sf_dir):
+    """Polarity of four books, in every other of which ledger A has the other sign."""
+    a, b = ledgers(spark, sf_dir, books=4)
+    turned = a.withColumn("amount", F.when(F.col("book") % 2 == 1, -F.col("amount")).otherwise(F.col("amount")))
+    return engine.polarity_by_book(turned, b)
+
+
+def groups_page(spark, sf_dir):
+    """The third page of fifty groups, by amount difference."""
+    groups, last = _reconciled(spark, sf_dir).groups, None
+    for _ in range(2):
+        rows = report.page_after(groups, "amount", True, last).collect()  # a page is at most fifty rows
+        last = rows[-1] if rows else last
+    found = report.page_after(groups, "amount", True, last)
+    return found.select("group_id", "match_type", F.round(F.col("amount_difference") * 100).cast("long").alias("difference_cents"))
+
+
+def similar_parts(spark, sf_dir):
+    """The five parts most similar by name and type to each hundredth part."""
+    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    found = similar.best_matches(part.where("id % 100 = 0"), part, 5, 0.8)
+    return found.select("query_id", "target_id", F.round("score", 6).alias("score"), "rank")
+
+
 def polarity(spark, sf_dir):
     """Whether entries of like size have opposite signs."""
     return spark.range(1).select(F.lit(engine.detect_polarity(*ledgers(spark, sf_dir))).alias("polarity"))
@@ -467,9 +491,8 @@ UNION ALL SELECT 'Only in Ledger A', '0%', 'Open', 1, 0, {_MONEY.format("amount_
 UNION ALL SELECT 'Only in Ledger B', '0%', 'Open', 0, 1, '0.00', {_MONEY.format("amount_abs")}, '0 days', '', description FROM of_b WHERE many = 1
 UNION ALL SELECT 'Duplicate', '0%', 'Open', CAST(count(*) AS INT), 0, {_MONEY.format("sum(amount_abs)")}, '0.00', '0 days', string_agg(description, '; ' ORDER BY row_index), '' FROM of_a WHERE many > 1 GROUP BY key
 UNION ALL SELECT 'Duplicate', '0%', 'Open', 0, CAST(count(*) AS INT), '0.00', {_MONEY.format("sum(amount_abs)")}, '0 days', '', string_agg(description, '; ' ORDER BY row_index) FROM of_b WHERE many > 1 GROUP BY key"""
-_JARO = f"""
-WITH {_PARTS},
-low AS (SELECT p_partkey, lower(p) AS a, lower(q) AS b, greatest(greatest(length(p), length(q)) // 2 - 1, 0) AS w FROM pair),
+_JARO_OF = """
+low AS (SELECT *, lower(p) AS a, lower(q) AS b, greatest(greatest(length(p), length(q)) // 2 - 1, 0) AS w FROM pair),
 taken AS (
   SELECT *, list_reduce(range(1, length(a) + 1), lambda s, i: list_append(s, coalesce(list_min(list_filter(range(greatest(1, i - w), least(length(b), i + w) + 1), lambda j: b[j] = a[i] AND NOT list_contains(s, j))), 0)), CAST([] AS BIGINT[])) AS js FROM low
 ),
@@ -477,15 +500,16 @@ seen AS (
   SELECT *, list_filter(range(1, length(a) + 1), lambda i: js[i] > 0) AS ai, list_sort(list_filter(js, lambda j: j > 0)) AS bj FROM taken
 ),
 counted AS (SELECT *, CAST(len(ai) AS DOUBLE) AS m, len(list_filter(range(1, len(ai) + 1), lambda k: a[ai[k]] <> b[bj[k]])) AS t FROM seen),
-scored AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN m = 0 THEN 0.0 ELSE (m / length(a) + m / length(b) + (m - t / 2.0) / m) / 3 END AS jaro FROM counted)
-SELECT p_partkey, round(jaro, 6) AS jaro, round(CASE WHEN jaro IN (0, 1) THEN jaro ELSE jaro + 0.1 * (1 - jaro) * (CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END) END, 6) AS jaro_winkler FROM scored"""
+scored AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN m = 0 THEN 0.0 ELSE (m / length(a) + m / length(b) + (m - t / 2.0) / m) / 3 END AS jaro FROM counted),
+winkler AS (SELECT *, CASE WHEN jaro IN (0, 1) THEN jaro ELSE jaro + 0.1 * (1 - jaro) * (CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END) END AS jw FROM scored)"""
+_JARO = f"WITH {_PARTS}, {_JARO_OF} SELECT p_partkey, round(jaro, 6) AS jaro, round(jw, 6) AS jaro_winkler FROM winkler"
 
 QUERIES = {
     "exact_matches": exact_matches, "amount_date_candidates": amount_date_candidates, "amount_date_matches": amount_date_matches, "ambiguous_candidates": ambiguous_candidates, "trigram_pairs": trigram_pairs,
     "fuzzy_matches": fuzzy_matches, "split_matches": split_matches, "residue_groups": residue_groups, "reconcile_groups": reconcile_groups, "reconcile_events": reconcile_events, "event_ambiguity": event_ambiguity, "reconcile_summary": reconcile_summary,
     "pass_summaries": pass_summaries, "type_histogram": type_histogram, "low_confidence_groups": low_confidence_groups, "unmatched_report": unmatched_report, "audit_trail": audit_trail, "match_report": match_report,
     "field_differences": field_differences, "result_documents": result_documents, "amount_texts": amount_texts, "number_formats": number_formats, "date_texts": date_texts, "csv_ledger_entries": csv_ledger_entries,
-    "ledger_summary": ledger_summary, "polarity": polarity, "text_similarities": text_similarities, "jaro_winkler": jaro_winkler, "token_containment": token_containment, "ngram_index": ngram_index,
+    "ledger_summary": ledger_summary, "polarity": polarity, "book_polarity": book_polarity, "groups_page": groups_page, "similar_parts": similar_parts, "text_similarities": text_similarities, "jaro_winkler": jaro_winkler, "token_containment": token_containment, "ngram_index": ngram_index,
     "line_kinds": line_kinds, "merged_lines": merged_lines, "content_zones": content_zones, "line_ledgers": line_ledgers, "currency_symbols": currency_symbols, "entry_keys": entry_keys, "merge_statistics": merge_statistics,
     "deduped_entries": deduped_entries, "grouped_items": grouped_items, "digital_documents": digital_documents, "filter_counts": filter_counts,
 }
@@ -538,6 +562,16 @@ ORACLES = {
     "date_texts": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders",
     "csv_ledger_entries": f"WITH {_LEDGERS} SELECT concat('A:', CAST(r AS VARCHAR)) AS id, r AS row_index, date, description, ref_number, amount_cents FROM (SELECT *, row_number() OVER (ORDER BY row_index) - 1 AS r FROM a)",
     "ledger_summary": f"WITH {_LEDGERS}, u AS (SELECT 'A' AS party, * FROM a UNION ALL SELECT 'B', * FROM b) SELECT party, count(*) AS total_rows, count(date) AS valid_rows, count(*) - count(date) AS skipped_rows, CAST(coalesce(sum(-amount_cents) FILTER (amount_cents < 0), 0) AS BIGINT) AS debit_cents, CAST(coalesce(sum(amount_cents) FILTER (amount_cents >= 0), 0) AS BIGINT) AS credit_cents, min(date) AS earliest, max(date) AS latest FROM u GROUP BY party",
+    "book_polarity": f"""WITH ra AS MATERIALIZED (SELECT row_index % 4 AS book, CASE WHEN row_index % 4 % 2 = 1 THEN -amount ELSE amount END AS amount, amount_abs, row_number() OVER (PARTITION BY row_index % 4 ORDER BY row_index) AS r FROM ({_A})), rb AS MATERIALIZED (SELECT row_index // 3 % 4 AS book, amount, amount_abs FROM ({_B})),
+      n AS (SELECT x.book, count(y.book) FILTER (sign(x.amount) = sign(y.amount)) AS same, count(y.book) FILTER (sign(x.amount) <> sign(y.amount)) AS opposite FROM ra x LEFT JOIN rb y ON x.book = y.book AND x.r <= 20 AND x.amount_abs >= 0.01 AND abs(y.amount_abs - x.amount_abs) < x.amount_abs * 0.01 GROUP BY x.book)
+      SELECT book, same, opposite, CASE WHEN opposite > 2 * same THEN 'opposite_sign' WHEN same > 2 * opposite THEN 'same_sign' ELSE 'absolute' END AS polarity FROM n""",
+    "groups_page": f"""WITH {_SUMMED}, told AS (
+        SELECT concat('0/1/exact/', a_id) AS group_id, 'exact' AS match_type, 1 AS pass, 0.0 AS off FROM exact UNION ALL SELECT concat('0/2/amount_date/', a_id), 'amount_date', 2, diff FROM second UNION ALL SELECT concat('0/3/fuzzy/', a_id), 'fuzzy', 3, diff FROM fuzzy
+        UNION ALL SELECT concat('0/5/unmatched_a/', id), 'unmatched_a', 5, amount_abs FROM of_a WHERE many = 1 UNION ALL SELECT concat('0/5/unmatched_b/', id), 'unmatched_b', 5, amount_abs FROM of_b WHERE many = 1
+        UNION ALL SELECT concat('0/5/duplicate/', arg_min(id, row_index)), 'duplicate', 5, 0.0 FROM of_a WHERE many > 1 GROUP BY key UNION ALL SELECT concat('0/5/duplicate/', arg_min(id, row_index)), 'duplicate', 5, 0.0 FROM of_b WHERE many > 1 GROUP BY key)
+      SELECT group_id, match_type, CAST(round(off * 100) AS BIGINT) AS difference_cents FROM (SELECT *, row_number() OVER (ORDER BY off DESC, pass, group_id) AS r FROM told) WHERE r BETWEEN 101 AND 150""",
+    "similar_parts": f"""WITH pair AS (SELECT p.p_partkey AS query_id, q.p_partkey AS target_id, p.p_name || ' ' || p.p_type AS p, q.p_name || ' ' || q.p_type AS q FROM part p JOIN part q ON p.p_partkey % 100 = 0), {_JARO_OF},
+      best AS (SELECT query_id, target_id, jw, row_number() OVER (PARTITION BY query_id ORDER BY jw DESC, target_id) AS r FROM winkler WHERE jw >= 0.8) SELECT query_id, target_id, round(jw, 6) AS score, CAST(r AS INT) AS rank FROM best WHERE r <= 5""",
     "polarity": f"WITH {_LEDGERS}, few AS (SELECT * FROM a ORDER BY row_index LIMIT 20), n AS (SELECT count(*) FILTER (sign(few.amount) = sign(b.amount)) AS same, count(*) FILTER (sign(few.amount) <> sign(b.amount)) AS opposite FROM few JOIN b ON abs(b.amount_abs - few.amount_abs) < few.amount_abs * 0.01 WHERE few.amount_abs >= 0.01) SELECT CASE WHEN opposite > 2 * same THEN 'opposite_sign' WHEN same > 2 * opposite THEN 'same_sign' ELSE 'absolute' END AS polarity FROM n",
     "text_similarities": f"""WITH {_PARTS}, w AS (SELECT *, {_TOKENS.format('p')} AS u, {_TOKENS.format('q')} AS v, {_GRAMS.format(_FLAT.format('p', ''))} AS g, {_GRAMS.format(_FLAT.format('q', ''))} AS h, lower(p) AS lp, lower(q) AS lq FROM pair),
       s AS (SELECT *, array_to_string(list_sort(u), ' ') AS su, array_to_string(list_sort(v), ' ') AS sv, len(list_intersect(g, h)) AS shared FROM w)

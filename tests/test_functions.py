@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import MatchConfig, Weights
 from ledgerloom.functions import amounts, dates, scoring
 from ledgerloom.functions import text as X
+from ledgerloom.operators import similar
 from ledgerloom.sources import csv_ledger, lines
 
 AMOUNTS = [
@@ -110,7 +111,7 @@ def test_keys(spark):
 def test_best_matches(spark):
     queries = spark.createDataFrame([(1, "rent march")], "id long, text string")
     targets = spark.createDataFrame([(1, "Rent March"), (2, "rent marsh"), (3, "zzz"), (4, "rent march x")], "id long, text string")
-    assert [r.target_id for r in X.best_matches(queries, targets, 2).orderBy("rank").collect()] == [1, 4]
+    assert [r.target_id for r in similar.best_matches(queries, targets, 2).orderBy("rank").collect()] == [1, 4]
 
 
 def test_columns_of_lines(spark):

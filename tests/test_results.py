@@ -56,3 +56,43 @@ def test_exact_stream(spark, tmp_path):
     query = micro_batch.exact_stream(read("a"), read("b")).writeStream.format("memory").queryName("exact_pairs").trigger(availableNow=True).start()
     query.awaitTermination(300)
     assert spark.sql("SELECT count(*) FROM exact_pairs").first()[0] >= 668
+
+
+def test_one_ordered_csv_file(spark, tmp_path):
+    rows = [(i, 'say "hi", ' + "é" * (i % 3) if i % 4 else None, i / 2) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id long, text string, x double").repartition(7)
+    line = lambda r: ",".join('"' + ("" if v is None else str(v)).replace('"', '""') + '"' for v in r)
+    want = "\r\n".join(line(r) for r in [("id", "text", "x"), *rows]).encode()
+    for bom in (False, True):
+        results.write_csv_file(frame, f"file://{tmp_path}/one.csv", ["id"], bom=bom)
+        assert (tmp_path / "one.csv").read_bytes() == (b"\xef\xbb\xbf" if bom else b"") + want
+    results.write_csv_file(frame.limit(0), f"file://{tmp_path}/none.csv", ["id"], bom=True)
+    assert (tmp_path / "none.csv").read_bytes() == b""
+    results.write_csv_file(frame.where("id < 1"), f"file://{tmp_path}/tab.csv", ["id"], separator="\t")
+    assert (tmp_path / "tab.csv").read_bytes() == b'"id"\t"text"\t"x"\r\n"0"\t""\t"0.0"'
+
+
+def test_pages_by_place(spark, result):
+    for by, descending in (("amount", True), ("confidence", False), ("type", True)):
+        want = [r.group_id for r in report.sort_groups(result.groups, by, descending).limit(130).collect()]
+        got, last = [], None
+        for _ in range(3):
+            rows = report.page_after(result.groups, by, descending, last, 40).collect()
+            got, last = got + [r.group_id for r in rows], rows[-1]
+        assert got == want[:120]
+    nulls = spark.createDataFrame([(1, "a", None), (1, "b", 2.0), (2, "c", None), (2, "d", 1.0)], "pass_number int, group_id string, amount_difference double")
+    for descending, order in ((True, "bdac"), (False, "acdb")):
+        got, last = "", None
+        for _ in range(4):
+            last = report.page_after(nulls, "amount", descending, last, 1).first()
+            got += last.group_id
+        assert got == order and report.page_after(nulls, "amount", descending, last, 1).first() is None
+    with pytest.raises(ValueError, match="cannot be sorted by date"):
+        report.sort_groups(result.groups, "date")
+
+
+def test_polarity_of_each_book(spark):
+    a, b = ledgers(spark, SF, books=2)
+    turned = a.selectExpr("* EXCEPT (amount)", "IF(book = 1, -amount, amount) AS amount")
+    assert {r.book: r.polarity for r in engine.polarity_by_book(turned, b).collect()} == {0: "opposite_sign", 1: "same_sign"}
+    assert engine.detect_polarity(turned, b) == "absolute" and engine.detect_polarity(a, b) == "opposite_sign"

@@ -118,6 +118,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return made.select("doc_id", F.inline("pieces"))
 
 
+#: Shares of the sequences, loosest first, that are taken apart in search of a better end.
+REPAIRS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
+
+
 class _Runs:
     """Runs of equal sequences: [number, gap, [(length, copies), ...]], found by gap."""
 
@@ -272,7 +276,33 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID)
             grid *= 2
     for length in sorted(histogram, reverse=True):
         made.fit(length, left.get(length, 0) + reserve.get(length, 0))
-    return made.all(), placed
+    return _repaired(made.all(), histogram, capacity), placed
+
+
+def _repaired(runs: list[tuple[int, list[tuple[int, int]]]], histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Runs whose loosest sequences are taken apart and filled anew by best fit, if that saves sequences: the least share of REPAIRS that reaches the lower bound, else the best of them.
+
+    The program's rounding leaves its slack in the last sequences; what is tight stays as it is.
+    """
+    many = sum(n for n, _ in runs)
+    bound = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    gap = lambda held: capacity - sum(x * n for x, n in held)
+    loosest, best = sorted(runs, key=lambda r: -gap(r[1])), runs
+    for share in REPAIRS:
+        if sum(n for n, _ in best) <= bound:
+            break
+        made, apart, open_ = _Runs(capacity), {}, max(2, int(share * many))
+        for number, held in loosest:
+            out = min(number, open_)
+            open_ -= out
+            for x, n in held:
+                apart[x] = apart.get(x, 0) + out * n
+            made.add(number - out, gap(held), held)
+        for length in sorted(apart, reverse=True):
+            made.fit(length, apart[length])
+        if sum(n for n, _ in made.all()) < sum(n for n, _ in best):
+            best = made.all()
+    return best
 
 
 def _slots(runs: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarray]:

@@ -417,7 +417,7 @@ def test_difference_of_returned_fingerprints(spark):
     assert fingerprint.difference(rows[0].fingerprint, rows[1].fingerprint) == (sorted(p - q), sorted(q - p), True)
 
 
-@pytest.mark.parametrize("sf", ["sf0.01"])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_the_program_places_the_pieces(spark, sf):
     found = packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), packing.tokenizer())
     histogram = {r[0]: r[1] for r in found.groupBy("length").count().collect()}
@@ -426,3 +426,9 @@ def test_the_program_places_the_pieces(spark, sf):
     for length in sorted(histogram, reverse=True):
         plain.fit(length, histogram[length])
     assert placed >= 0.85 * sum(histogram.values()) and sum(n for n, _ in runs) <= sum(n for n, _ in plain.all())
+    held = {}
+    for n, part in runs:
+        assert sum(x * c for x, c in part) <= packing.CAPACITY
+        for x, c in part:
+            held[x] = held.get(x, 0) + n * c
+    assert held == {x: n for x, n in histogram.items() if n}

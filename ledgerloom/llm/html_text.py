@@ -3,7 +3,7 @@
 Building: end tags that HTML lets authors leave out are implied, an end tag without its start is ignored, rows and cells outside a table are
 plain blocks, and what is left open ends with the page. Visibility: elements that are never shown, `hidden`, `display: none` and `visibility: hidden` in attributes or in simple
 rules (a tag, classes and ids of one element) of the page's own style sheets that hold for a screen of 1280 pixels, by weight, specificity and order. Layout: blocks begin lines, paragraphs and their like stand between blank lines, list items have
-bullets or numbers and are indented, table cells are padded to columns (a colspan counts up to 1000; one of more than four digits is no number), preformatted text keeps its white space.
+bullets or numbers and are indented, table cells are padded to columns of up to WIDEST characters (a colspan counts up to 1000 columns in which some cell begins; one of more than four digits is no number), indentation ends at DEEPEST columns, preformatted text keeps its white space.
 
 Nothing that is visible is dropped: menus, asides and footers are text like any other.
 
@@ -14,6 +14,7 @@ unless named in `keep`. Nesting of any depth is rendered without recursion.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ from ledgerloom.llm.common import append_columns, free_name, table
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*+(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _DISPLAY = re.compile(r"none|(?:block|inline|flow|flow-root|flex|grid|table|ruby|list-item|contents|inherit|initial|unset|revert|inline-[a-z]+|table-[a-z-]+|ruby-[a-z-]+|revert-layer|-webkit-[a-z-]+)(?:\s+[a-z-]+)*")
+#: Indentation grows up to so many columns, and cells are padded up to so many, so that no nesting and no long cell makes text out of nothing.
+DEEPEST, WIDEST = 40, 60
 #: The width of the screen that media queries are asked of.
 WIDTH = 1280
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -73,21 +76,31 @@ def parse(html: str) -> tuple[Element, list[str]]:
     """The tree of a page, and the texts of its style sheets."""
     root = Element("#root", {})
     stack, styles, at = [root], [], 0
+    places: dict[str, list[int]] = {}  # where on the stack each tag is open, so that no search walks over the stack
+
+    def push(element: Element) -> None:
+        places.setdefault(element.tag, []).append(len(stack))
+        stack.append(element)
+
+    def pop() -> None:
+        places[stack.pop().tag].pop()
+
+    def nearest(names: frozenset[str] | set[str]) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
 
     def text(part: str, raw: bool = False) -> None:
         if part:
             if stack[-1].tag == "head" and part.strip():
-                stack.pop()
+                pop()
             stack[-1].children.append(part if raw else unescape(part))
 
     def end(names: frozenset[str] | set[str], until: frozenset[str]) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return True
-            if stack[i].tag in until:
-                return False
-        return False
+        at = nearest(names)
+        if not at or at < nearest(until):
+            return False
+        while len(stack) > at:
+            pop()
+        return True
 
     def start(tag: str, attrs: dict[str, str]) -> Element:
         made = Element(tag, attrs)
@@ -112,7 +125,7 @@ def parse(html: str) -> tuple[Element, list[str]]:
             continue
         rest = found["rest"]
         attrs = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(rest)} if len(rest) > 2 else {}
-        if tag in ("html", "body") and any(e.tag == tag for e in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag in _IMPLIED:
             end(*_IMPLIED[tag])
@@ -121,10 +134,10 @@ def parse(html: str) -> tuple[Element, list[str]]:
                 if tag != "tr":
                     end(frozenset(("tr",)), frozenset(("table",)))
         if tag in _CELLS and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            stack.append(start("tr", {}))
+            push(start("tr", {}))
         if stack[-1].tag == "head" and tag not in _NEVER | {"base", "basefont", "bgsound"}:
-            stack.pop()
-        if any(tag in names and any(e.tag == of for e in stack) for of, names in _UNDRAWN.items()):
+            pop()
+        if any(tag in names and places.get(of) for of, names in _UNDRAWN.items()):
             attrs[_UNDRAWN_MARK] = ""
         made = start(tag, attrs)
         if tag in _RAW:
@@ -134,8 +147,8 @@ def parse(html: str) -> tuple[Element, list[str]]:
             made.children.append(unescape(inner) if tag in ("textarea", "title") else inner)
             if tag == "style":
                 styles.append(inner)
-        elif tag not in _VOID and not (rest.endswith("/>") and any(e.tag in ("svg", "math") for e in (*stack, made))):
-            stack.append(made)  # outside drawings and formulas, HTML ignores the slash of an element that may have content
+        elif tag not in _VOID and not (rest.endswith("/>") and (tag in _UNDRAWN or any(places.get(t) for t in _UNDRAWN))):
+            push(made)  # outside drawings and formulas, HTML ignores the slash of an element that may have content
             if tag == "pre" and html.startswith("\n", at):
                 at += 1
     text(html[at:])
@@ -319,13 +332,13 @@ def _write(root: Element, rules, flat: bool = False) -> str:
         inner = lists
         if tag in ("ul", "ol", "menu"):
             start = node.attrs.get("start", "1")
-            inner = (*lists, [tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+            inner = ([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1],)
         elif tag == "li" and not hidden:
             of = lists[-1] if lists else ["ul", 1]
             mark = f"{of[1]}. " if of[0] == "ol" else "- "
             of[1] += 1
             old = page.indent
-            page.indent, page.mark = old + " " * len(mark), mark
+            page.indent, page.mark = (old + " " * len(mark))[: max(DEEPEST, len(mark))], mark
 
             def leave(old=old) -> None:
                 page.indent, page.mark = old, ""
@@ -333,7 +346,7 @@ def _write(root: Element, rules, flat: bool = False) -> str:
             after.append(leave)
         elif tag in ("dd", "blockquote"):
             old = page.indent
-            page.indent = old + "  "
+            page.indent = (old + "  ")[:DEEPEST]
             after.append(lambda old=old: setattr(page, "indent", old))
         if spacing:
             after.append(lambda n=spacing if not (tag in ("ul", "ol") and lists) else 1: page.block(n))
@@ -388,21 +401,29 @@ def _rows(root: Element, rules, hidden: bool) -> list[str]:
             shell.children = [holder]
             if shown := _write(shell, rules, flat=True):
                 lines.append(shown)
-    widths: list[int] = []
+    # Columns are the places where a cell of some row begins; what a cell spans beyond those has no width.
+    begins = []
     for cells in rows:
         column = 0
-        for shown, span in cells:
-            widths += [0] * (column + span - len(widths))
-            if span == 1:
-                widths[column] = max(widths[column], len(shown))
+        for _, span in cells:
+            begins.append(column)
             column += span
+    begins = sorted(set(begins))
+    widths = [0] * len(begins)
+    placed = []
     for cells in rows:
-        line, column = "", 0
+        column, line = 0, []
         for shown, span in cells:
-            line += shown.ljust(sum(widths[column : column + span]) + 2 * (span - 1)) + "  "
+            first, end = bisect_left(begins, column), bisect_left(begins, column + span)
+            line.append((shown, first, end))
+            if end - first <= 1:
+                widths[first] = max(widths[first], min(len(shown), WIDEST))
             column += span
-        if line.strip():
-            lines.append(line.rstrip())
+        placed.append(line)
+    for cells in placed:
+        parts = [shown.ljust(min(sum(widths[first:end]) + 2 * (end - first - 1), 4 * WIDEST)) for shown, first, end in cells]
+        if line := "  ".join(parts).rstrip():
+            lines.append(line)
     return lines
 
 

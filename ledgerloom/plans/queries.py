@@ -14,6 +14,7 @@ from ledgerloom.functions import amounts, dates, keys, scoring
 from ledgerloom.functions import text as X
 from ledgerloom.operators import exact, fuzzy, residue, similar, split, tolerance
 from ledgerloom.plans import engine, report
+from ledgerloom.schema import STATUSES
 from ledgerloom.scratch import materialize, scratch_path
 from ledgerloom.sources import csv_ledger, lines, results
 
@@ -221,6 +222,25 @@ def csv_ledger_entries(spark, sf_dir):
     return read.select("id", "row_index", "date", "description", "ref_number", "amount_cents")
 
 
+def change_log(spark, sf_dir):
+    """Events as changes to their users, appended in four parts and compacted between: last status, last value of each edited field, comments."""
+    from ledgerloom.sources.changes import ChangeLog
+
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), "event_type", "value")
+    log = ChangeLog(spark, scratch_path(spark, "changes"))
+    status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (F.col("seq") % len(STATUSES) + 1).cast("int"))
+    for part in range(4):
+        some = events.where(F.col("seq") % 11 % 4 == part)
+        log.set_status(some.select(F.col("key").alias("group_id"), status.alias("status"), "at", "seq"))
+        log.edit(some.select(F.col("key").alias("id"), F.when(F.col("seq") % 5 == 0, F.col("event_type")).alias("description"), F.when(F.col("seq") % 3 == 0, F.col("value")).alias("credit"), "at", "seq"))
+        log.comment(some.where("seq % 7 = 0").select(F.col("key").alias("group_id"), F.col("event_type").alias("text"), "at", "seq"))
+        if part in (1, 2):
+            log.compact()
+    told = log.comments().groupBy(F.col("group_id").alias("key")).agg(F.count("*").alias("n_comments"), F.max_by("text", F.struct("at", "seq")).alias("last_comment"))
+    found = log.statuses().withColumnRenamed("group_id", "key").join(log.overrides().withColumnRenamed("id", "key"), "key", "full").join(told, "key", "full")
+    return found.select("key", "status", "description", F.floor(F.col("credit") * 100 + 0.5).cast("long").alias("credit_cents"), F.coalesce("n_comments", F.lit(0)).cast("long").alias("n_comments"), "last_comment")
+
+
 def ledger_summary(spark, sf_dir):
     """Totals of both ledgers."""
     a, b = ledgers(spark, sf_dir)
@@ -511,12 +531,16 @@ QUERIES = {
     "field_differences": field_differences, "result_documents": result_documents, "amount_texts": amount_texts, "number_formats": number_formats, "date_texts": date_texts, "csv_ledger_entries": csv_ledger_entries,
     "ledger_summary": ledger_summary, "polarity": polarity, "book_polarity": book_polarity, "groups_page": groups_page, "similar_parts": similar_parts, "text_similarities": text_similarities, "jaro_winkler": jaro_winkler, "token_containment": token_containment, "ngram_index": ngram_index,
     "line_kinds": line_kinds, "merged_lines": merged_lines, "content_zones": content_zones, "line_ledgers": line_ledgers, "currency_symbols": currency_symbols, "entry_keys": entry_keys, "merge_statistics": merge_statistics,
-    "deduped_entries": deduped_entries, "grouped_items": grouped_items, "digital_documents": digital_documents, "filter_counts": filter_counts,
+    "change_log": change_log, "deduped_entries": deduped_entries, "grouped_items": grouped_items, "digital_documents": digital_documents, "filter_counts": filter_counts,
 }
 _WRITTEN = """l AS (SELECT CAST(o_custkey // 10 AS VARCHAR) AS doc, o_orderkey, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents,
   row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderkey) AS r FROM orders)"""
 _WORDS = f"""{_LINES}, word AS (SELECT doc, page, line_index, i, w[i] AS t FROM (SELECT *, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM line))"""
+_LAST = "arg_max({0}, (ts, event_id)) FILTER ({1})"
 ORACLES = {
+    "change_log": f"""SELECT 'u' || CAST(user_id AS VARCHAR) AS key, {_LAST.format("CASE event_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' WHEN 2 THEN 'disputed' ELSE 'ignored' END", 'true')} AS status,
+      {_LAST.format('event_type', 'event_id % 5 = 0 AND event_type IS NOT NULL')} AS description, CAST(floor({_LAST.format('value', 'event_id % 3 = 0 AND value IS NOT NULL')} * 100 + 0.5) AS BIGINT) AS credit_cents,
+      count(*) FILTER (event_id % 7 = 0) AS n_comments, {_LAST.format('event_type', 'event_id % 7 = 0')} AS last_comment FROM events GROUP BY user_id""",
     "exact_matches": f"WITH {_KEYED} SELECT a_id, b_id, 100 AS confidence, 'Exact match: date identical, amount identical ($' || {_MONEY.format('amount_abs')} || ')' || CASE WHEN ref_number IS NULL THEN '' ELSE ', reference number identical' END AS match_reason FROM exact",
     "amount_date_candidates": f"WITH {_CAND} SELECT a_id, b_id, round(diff, 2) AS diff, days, ref FROM pair",
     "amount_date_matches": f"WITH {_TURNS} SELECT a_id, b_id, confidence, match_reason FROM scored WHERE chosen",

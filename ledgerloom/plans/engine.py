@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,12 +57,75 @@ def without(entries: DataFrame, groups: DataFrame, side: str) -> DataFrame:
     return entries.join(used, ["book", "id"], "left_anti")
 
 
+class Cancelled(Exception):
+    """A pass was ended by request."""
+
+
+def _tasks(spark: SparkSession, known: set[int]) -> tuple[int, int]:
+    """(done, all) tasks of the stages seen so far; `known` is kept by the caller, as the tracker forgets old stages slowly but lists only active ones."""
+    tracker = spark.sparkContext.statusTracker()
+    known.update(tracker.getActiveStageIds())
+    told = [i for i in map(tracker.getStageInfo, known) if i]
+    return sum(i.numCompletedTasks for i in told), sum(i.numTasks for i in told)
+
+
+@contextmanager
+def watched(spark: SparkSession, label: str, cancelled: Callable[[], bool] | None = None, tasks: Callable[[int, int], None] | None = None, every: float = 0.5) -> Iterator[None]:
+    """Spark jobs started within carry a tag of their own. A thread asks `cancelled` and, once it says so, cancels the jobs of that tag, again and again, as a pass is many jobs; the body then ends as Cancelled.
+
+    `tasks` is told (done, all) tasks of stages that ran meanwhile, those of other work in the session included. Jobs of other tags are never cancelled. Errors of the callbacks end the body too.
+    """
+    if not cancelled and not tasks:
+        yield
+        return
+    context, tag = spark.sparkContext, f"{label}-{uuid.uuid4().hex}"
+    over, asked, known, raised = threading.Event(), threading.Event(), set(), []
+
+    def watch() -> None:
+        while not over.wait(every):
+            try:
+                if tasks:
+                    tasks(*_tasks(spark, known))
+                if asked.is_set() or (cancelled and cancelled()):
+                    asked.set()
+                    context.cancelJobsWithTag(tag)
+            except Exception as error:  # noqa: BLE001  raised again where the pass runs
+                raised.append(error)
+                asked.set()
+                cancel_only()
+                return
+
+    def cancel_only() -> None:
+        while not over.wait(every):
+            context.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True, name=tag)
+    context.addJobTag(tag)
+    watcher.start()
+    try:
+        yield
+    except Exception as error:
+        if raised:
+            raise raised[0] from error
+        if asked.is_set():
+            raise Cancelled(label) from error
+        raise
+    finally:
+        over.set()
+        watcher.join()
+        context.removeJobTag(tag)
+    if raised:
+        raise raised[0]
+
+
 def reconcile(
-    a: DataFrame, b: DataFrame, config: MatchConfig | None = None, progress: Callable[[int, str], None] | None = None, cancelled: Callable[[], bool] | None = None
-) -> MatchResult:
+    a: DataFrame, b: DataFrame, config: MatchConfig | None = None, progress: Callable[[int, str], None] | None = None, cancelled: Callable[[], bool] | None = None,
+    tasks: Callable[[int, int, int], None] | None = None,
+) -> MatchResult:
     """Run the enabled passes; each sees only what the ones before left. Their groups are written, so a later pass never recomputes an earlier one.
 
-    progress is called before each pass; cancelled is asked there too, and ends the run with what there is.
+    progress is called before each pass. cancelled is asked there and, twice a second, while a pass runs; it ends the run with the groups of the passes that were finished, a pass that was running
+    counting as not begun. tasks is told (pass, done, all) twice a second.
     """
     config = config or MatchConfig()
     spark: SparkSession = a.sparkSession
@@ -74,21 +140,28 @@ def reconcile(
             break
         if progress:
             progress(number, NAMES[number])
-        if number == 1:
-            found = exact.exact_groups(left, right, config)
-        elif number == 2:
-            found, several = tolerance.amount_date_groups(left, right, config)
+        told = (lambda done, whole, n=number: tasks(n, done, whole)) if tasks else None
+        try:
+            with watched(spark, f"pass-{number}", cancelled, told):
+                several = None
+                if number == 1:
+                    found = exact.exact_groups(left, right, config)
+                elif number == 2:
+                    found, several = tolerance.amount_date_groups(left, right, config)
+                elif number == 3:
+                    found = fuzzy.fuzzy_groups(left, right, config)
+                elif number == 4:
+                    found = split.split_groups(left, right, config)
+                else:
+                    found = residue.residue_groups(left, "A", config).unionByName(residue.residue_groups(right, "B", config))
+                made = materialize(_as_groups(found), f"pass-{number}")
+                if number < 5:
+                    left, right = materialize(without(left, made, "A"), "left"), materialize(without(right, made, "B"), "right")
+        except Cancelled:
+            break
+        if several:
             ambiguous, counts = several.candidates(), several.counts()
-        elif number == 3:
-            found = fuzzy.fuzzy_groups(left, right, config)
-        elif number == 4:
-            found = split.split_groups(left, right, config)
-        else:
-            found = residue.residue_groups(left, "A", config).unionByName(residue.residue_groups(right, "B", config))
-        made = materialize(_as_groups(found), f"pass-{number}")
         groups = made if number == min(config.enabled_passes) else groups.unionByName(made)
-        if number < 5:
-            left, right = materialize(without(left, made, "A"), "left"), materialize(without(right, made, "B"), "right")
     return MatchResult(config, groups, ambiguous, a, b, counts)
 
 

@@ -39,3 +39,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once nothing reads them any more: what was made of them has been written itself. Other files are never touched."""
+    for table in tables:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in {found.group(1) for found in (re.match(r"(.*-[0-9a-f]{32})/[^/]+$", f) for f in table.inputFiles()) if found}:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)

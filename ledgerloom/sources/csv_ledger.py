@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.amounts import detect_number_format, format_votes, parse_amount
 from ledgerloom.functions.dates import detect_date_formats, parse_date
 from ledgerloom.schema import LEDGER
-from ledgerloom.scratch import materialize
+from ledgerloom.scratch import discard, materialize
 from ledgerloom.sources import files
 
 #: Words that name a column's role, in the order in which roles are tried.
@@ -195,7 +195,9 @@ def read_cells(spark: SparkSession, path: str, bad: str = "refuse", most_bytes:
         result, short = result.where(~F.col("path").isin(whole)), short.where(~F.col("path").isin(whole))
     empty = short.select("path", F.lit(-1).cast("long").alias("row_index"), F.lit("").alias("raw"), F.lit("single").alias("style"), F.lit(False).alias("headed"), *[F.lit("").alias(f"c_{r}") for r in ROLES])
     result = result.select(*names).unionByName(empty)
-    return materialize(result.unionByName(_whole_files(spark, whole)) if whole else result, "csv-cells")
+    done = materialize(result.unionByName(_whole_files(spark, whole)) if whole else result, "csv-cells")
+    discard(lines, splits, known, shaped)
+    return done
 
 
 def _formats(cells: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import pathlib
+
 import pytest
 
 from ledgerloom.plans.engine import reconcile, type_histogram
+from ledgerloom.scratch import scratch_dir
 from ledgerloom.sources import csv_ledger, files
 
 
@@ -64,6 +67,16 @@ def test_lines_are_cut_as_the_csv_module_cuts_them(spark, tmp_path):
         assert sorted(got[name]) == want, name
 
 
+def test_only_the_cells_stay(spark, tmp_path):
+    """What is written on the way to the cells is deleted; the source files are not."""
+    path = write(tmp_path / "g", plain="Date,Amount,Balance\n2024-01-05,5,1\n")
+    held = lambda: {p.name for p in pathlib.Path(scratch_dir(spark).removeprefix("file://")).glob("csv-*")}
+    before = held()
+    cells = csv_ledger.read_cells(spark, path)
+    assert [name.rsplit("-", 1)[0] for name in held() - before] == ["csv-cells"]
+    assert cells.count() == 1 and csv_ledger.read_cells(spark, path).count() == 1
+
+
 def test_size_is_an_option(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "e", plain="Date,Amount,Balance\n2024-01-05,5,1\n2024-01-06,6,1\n")
     monkeypatch.setattr(files, "MOST_BYTES", 20)

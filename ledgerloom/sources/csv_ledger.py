@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.amounts import detect_number_format, format_votes, parse_amount
+from ledgerloom.functions.amounts import detect_number_format, exact_sum, format_votes, parse_amount
 from ledgerloom.functions.dates import detect_date_formats, parse_date
 from ledgerloom.schema import LEDGER
 from ledgerloom.scratch import discard, materialize
@@ -253,9 +253,10 @@ def warnings(cells: DataFrame) -> DataFrame:
 
 def ledger_summary(entries: DataFrame) -> DataFrame:
     """One row for each book and party: rows, rows with and without a date, rows of low confidence, totals, dates and mean confidence."""
+    debit, credit = (F.coalesce(exact_sum(F.col(c)), F.lit(0.0)) for c in ("debit", "credit"))
     return entries.groupBy("book", "party").agg(
         F.count("*").alias("total_rows"), F.count("date").alias("valid_rows"), (F.count("*") - F.count("date")).alias("skipped_rows"), F.count_if(F.col("ocr_confidence") < 70).alias("low_confidence_rows"),
-        F.coalesce(F.sum("debit"), F.lit(0.0)).alias("total_debit"), F.coalesce(F.sum("credit"), F.lit(0.0)).alias("total_credit"),
-        (F.coalesce(F.sum("credit"), F.lit(0.0)) - F.coalesce(F.sum("debit"), F.lit(0.0))).alias("net_amount"), F.min("date").alias("earliest"), F.max("date").alias("latest"),
+        debit.alias("total_debit"), credit.alias("total_credit"),
+        (credit - debit).alias("net_amount"), F.min("date").alias("earliest"), F.max("date").alias("latest"),
         (F.floor(F.avg("ocr_confidence") * 100 + 0.5) / 100).alias("average_confidence"),
     )

@@ -127,3 +127,13 @@ def test_columns_of_lines(spark):
 def test_clean_text(spark):
     row = spark.range(1).select(lines.clean_ocr_text(F.lit("| 1l2  4O5 “a” ")), csv_ledger.ledger_summary is not None and F.lit(1)).first()
     assert row[0] == '112 405 "a"'
+
+
+def test_totals_do_not_pile_up_errors(spark):
+    from ledgerloom.sources.csv_ledger import ledger_summary
+
+    rows = spark.range(100_000).selectExpr("0L AS book", "'A' AS party", "CAST(NULL AS DATE) AS date", "0.1D AS debit", "IF(id = 7, 1e11D, 0.01D) AS credit", "90D AS ocr_confidence")
+    got = ledger_summary(rows).first()
+    assert (got.total_debit, got.total_credit) == (10_000.0, 100_000_000_999.99)
+    huge = ledger_summary(rows.selectExpr("* EXCEPT (debit)", "1e300D AS debit")).first()
+    assert huge.total_debit == pytest.approx(1e305)

@@ -82,6 +82,24 @@ def test_a_hot_class_is_not_listed(spark):
     assert several.counts().count() == 900 and several.counts().where("n_candidates >= 300").count() >= 300
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_amount_date_without_pairs_of_those_that_never_take(spark, monkeypatch, seed):
+    """Dense entries, each with an amount of its own, beside a sparse chain: choices are made as by the loop, but only the chain's pairs are listed for them."""
+    monkeypatch.setattr(tolerance.choices, "FEW", 0)
+    rng = random.Random(seed)
+    a, b = ledger(rng, "A", 60), ledger(rng, "B", 60)
+    for side in (a, b):
+        for i, r in enumerate(side):
+            r["amount_abs"] = r["amount"] = 1000 + i / 100 if i < 40 else rng.randrange(100, 220) / 100
+            r["date"] = datetime.date(2024, 1, 1) + datetime.timedelta(days=0 if i < 40 else rng.randrange(12))
+    groups, several = tolerance.amount_date_groups(*frames(spark, a, b), MatchConfig())
+    want, ambiguous = model.amount_date(a, b, MatchConfig())
+    assert want and {(r.a_id, r.b_id) for r in groups.collect()} == set(want)
+    assert {(r.entry_id, r.cand_pos, r.cand_id) for r in several.candidates().collect()} == set(ambiguous)
+    assert {(r.entry_id, r.n_candidates) for r in several.counts().collect()} == set(Counter(e for e, _, _ in ambiguous).items())
+    assert several.scored.where("a_row_index < 40").isEmpty()
+
+
 def test_best_first_is_the_sweep(spark):
     rng = random.Random(3)
     pairs = [(0, f"A:{i}", i, f"B:{j}", j, rng.choice([0.85, 0.9, 0.95]), rng.choice([0.4, 0.5]), rng.randrange(1, 4)) for i in range(15) for j in range(15) if rng.random() < 0.4]

@@ -48,33 +48,36 @@ def _header_words(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z\s]", ""), r"\s+"), lambda w: F.length(w) > 2)
 
 
-def merge_pages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed) lines of each document: empty lines, headers repeated on later pages, footers, subtotals and continuation marks go, and lines that
-    repeat the one kept before them. removed has the `reason`."""
-    text = F.trim("text")
-    first_page = F.min("page_number").over(Window.partitionBy("doc"))
-    marked = lines.withColumn("_first", F.col("page_number") == first_page)
-    head = marked.where(F.col("_first") & (F.col("line_index") < 10) & (_terms(F.col("text"), HEADER_TERMS[:-1]) >= 2))
-    head = head.groupBy("doc").agg(F.min_by(_header_words(F.col("text")), "line_index").alias("_head"))
+def judge_pages(lines: DataFrame) -> DataFrame:
+    """lines with `reason`: why merging pages takes a line away, null if it stays. One shuffle and one sort: all that a line is compared with stands before it in its document."""
+    text, along = F.trim("text"), Window.partitionBy("doc").orderBy("page_number", "line_index")
+    marked = lines.withColumn("_first", F.col("page_number") == F.min("page_number").over(along))
+    is_head = F.col("_first") & (F.col("line_index") < 10) & F.col("doc").isNotNull() & (_terms(F.col("text"), HEADER_TERMS[:-1]) >= 2)
+    headed = marked.withColumn("_head", F.first(F.when(is_head, _header_words(F.col("text"))), ignorenulls=True).over(along))
     shared = F.size(F.filter("_head", lambda w: F.array_contains(_header_words(F.col("text")), w)))
-    repeated = ~F.col("_first") & (F.size(_header_words(F.col("text"))) > 0) & (F.size("_head") > 0) & (shared / F.greatest(F.size("_head"), F.lit(1)) >= 0.6)
+    repeated = ~F.col("_first") & (F.size("_head") > 0) & (F.size(_header_words(F.col("text"))) > 0) & (shared / F.greatest(F.size("_head"), F.lit(1)) >= 0.6)
     reason = (
         F.when(F.length(text) < 2, "empty").when(F.coalesce(repeated, F.lit(False)), "repeated_header").when(_any(text, PAGE_FOOTER), "page_footer")
         .when(_any(text, PAGE_SUBTOTAL), "subtotal").when(_any(text, CONTINUED), "continuation_marker")
     )
-    judged = marked.join(head, "doc", "left").withColumn("reason", reason).drop("_head", "_first")
-    flat = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    along = Window.partitionBy("doc").orderBy("page_number", "line_index")
-    left = judged.where("reason IS NULL").withColumn("_flat", flat).withColumn("_twice", F.coalesce((F.col("_flat") == F.lag("_flat").over(along)) & (F.length("_flat") > 5), F.lit(False)))
-    again = left.where("_twice").withColumn("reason", F.lit("duplicate_boundary"))
-    keep = left.where("NOT _twice").select(*lines.columns)
-    removed = judged.where("reason IS NOT NULL").select(*lines.columns, "reason").unionByName(again.select(*lines.columns, "reason"))
-    return keep, removed
+    flat = F.when(F.col("reason").isNull(), F.struct(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).alias("t")))
+    judged = headed.withColumn("reason", reason).withColumn("_flat", flat)
+    before = F.last("_flat", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))  # of the line kept before
+    twice = F.coalesce((F.col("_flat.t") == before["t"]) & (F.length("_flat.t") > 5), F.lit(False))
+    return judged.withColumn("_twice", twice).withColumn("reason", F.when(F.col("_twice"), "duplicate_boundary").otherwise(F.col("reason"))).select(*lines.columns, "reason")
+
+
+def merge_pages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed) lines of each document: empty lines, headers repeated on later pages, footers, subtotals and continuation marks go, and lines that
+    repeat the one kept before them. removed has the `reason`."""
+    judged = judge_pages(lines)
+    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
-def merge_stats(lines: DataFrame, removed: DataFrame) -> DataFrame:
-    """How many lines each document had, and lost for which reason."""
-    return lines.groupBy("doc").agg(F.count("*").alias("lines_in")).join(removed.groupBy("doc").pivot("reason", ["empty", "repeated_header", "page_footer", "subtotal", "continuation_marker", "duplicate_boundary"]).count(), "doc", "left").na.fill(0)
+def merge_stats(lines: DataFrame) -> DataFrame:
+    """How many lines each document has, and loses for which reason."""
+    reasons = ["empty", "repeated_header", "page_footer", "subtotal", "continuation_marker", "duplicate_boundary"]
+    return judge_pages(lines).groupBy("doc").agg(F.count("*").alias("lines_in"), *[F.count_if(F.col("reason") == r).alias(r) for r in reasons])
 
 
 def classify(lines: DataFrame) -> DataFrame:

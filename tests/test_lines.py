@@ -63,3 +63,20 @@ def test_currency_symbol(spark):
     rows = [("a", "£5"), ("a", "£6"), ("a", "$7"), ("b", "8"), ("b", None), ("c", "$1"), ("c", "€1"), ("d", "5 kr")]
     got = spark.createDataFrame(rows, "k string, t string").groupBy("k").agg(amounts.currency_symbol(F.col("t")).alias("s")).collect()
     assert dict(got) == {"a": "£", "b": "$", "c": "$", "d": "kr"}
+
+
+def shuffles(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_pages_are_merged_in_one_shuffle(spark):
+    """Lines are judged where their document stands, once; what is between two like lines counts only if it stays."""
+    text = ["Date Description Amount", "coffee and cake", "", "Page 2", "Coffee  and cake", "Date Description", "tea", "tea", "coffee and cake", "coffee and cake"]
+    page = [1, 1, 1, 1, 2, 2, 2, 2, 2, 3]
+    frame = spark.createDataFrame([("d", p, i, t, 90.0, None, None) for i, (p, t) in enumerate(zip(page, text, strict=True))], LINES)
+    kept, removed = lines.merge_pages(frame)
+    assert shuffles(removed) == shuffles(lines.merge_stats(frame)) == 1  # of plans that have not run
+    assert {r.line_index: r.reason for r in removed.collect()} == {2: "empty", 3: "page_footer", 4: "duplicate_boundary", 5: "repeated_header", 9: "duplicate_boundary"}
+    assert sorted(r.line_index for r in kept.collect()) == [0, 1, 6, 7, 8]
+    told = lines.merge_stats(frame).first()
+    assert (told.lines_in, told.empty, told.repeated_header, told.page_footer, told.subtotal, told.continuation_marker, told.duplicate_boundary) == (10, 1, 1, 1, 0, 0, 2)

@@ -153,7 +153,8 @@ def parse_lines(classified: DataFrame, columns: list[tuple[str, float, float]] |
 
 def group_items(items: DataFrame) -> DataFrame:
     """Lines of positioned text items (doc, page_number, x, y, text): items of a rounded height are a line, top to bottom, left to right."""
-    line = items.where(F.trim("text") != "").withColumn("_y", F.floor(F.col("y") + 0.5)).groupBy("doc", "page_number", "_y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda i: i["text"]), " ").alias("text"))
+    dealt = items.where(F.trim("text") != "").select("doc", "page_number", "x", "y", "text").repartition("doc", "page_number")  # the only shuffle: a page's lines are put together and numbered where they are
+    line = dealt.withColumn("_y", F.floor(F.col("y") + 0.5)).groupBy("doc", "page_number", "_y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda i: i["text"]), " ").alias("text"))
     return line.withColumn("line_index", F.row_number().over(Window.partitionBy("doc", "page_number").orderBy(F.desc("_y"))) - 1).drop("_y")
 
 

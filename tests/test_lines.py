@@ -80,3 +80,10 @@ def test_pages_are_merged_in_one_shuffle(spark):
     assert sorted(r.line_index for r in kept.collect()) == [0, 1, 6, 7, 8]
     told = lines.merge_stats(frame).first()
     assert (told.lines_in, told.empty, told.repeated_header, told.page_footer, told.subtotal, told.continuation_marker, told.duplicate_boundary) == (10, 1, 1, 1, 0, 0, 2)
+
+
+def test_items_are_grouped_in_one_shuffle(spark):
+    items = spark.createDataFrame([("d", 1, 2.0, 20.1, "b"), ("d", 1, 1.0, 19.9, "a"), ("d", 1, 1.0, 10.0, "c"), ("d", 2, 1.0, 5.0, "e"), ("d", 2, 0.0, 5.0, " ")], "doc string, page_number int, x double, y double, text string")
+    found = lines.group_items(items)
+    assert shuffles(found) == 1  # of a plan that has not run
+    assert {(r.page_number, r.line_index, r.text) for r in found.collect()} == {(1, 0, "a b"), (1, 1, "c"), (2, 0, "e")}
